@@ -75,10 +75,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One input view; ``spread`` deals a few-file input out to all slots for heavy row work."""
     text = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    slots = spark.sparkContext.defaultParallelism
+    if spread and df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
+    return df
 
 
 def with_views(*names: str, also: str = "") -> str:
