@@ -71,6 +71,29 @@ def scan_last(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
     return carried.drop(*[f"_{p}_{n}" for n in cols for p in "vc"])
 
 
+def scan_next(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
+              cols: Mapping[str, Column]) -> DataFrame:
+    """Earliest non-null value of each expression strictly after the row."""
+    staged = runs
+    for name, expr in cols.items():
+        staged = staged.withColumn(f"_v_{name}", expr)
+    position = F.struct(*order)
+    summary = staged.groupBy(*keys, RUN).agg(*[
+        F.min_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), position)).alias(f"_s_{n}")
+        for n in cols])
+    later = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
+        .orderBy(RUN).rowsBetween(1, Window.unboundedFollowing)
+    carried = _with_carry(
+        staged, keys, summary,
+        {f"_c_{n}": F.first(f"_s_{n}", ignorenulls=True).over(later) for n in cols},
+        broadcast=not keys)
+    frame = _run_window(keys, order).rowsBetween(1, Window.unboundedFollowing)
+    for name in cols:
+        inside = F.first(f"_v_{name}", ignorenulls=True).over(frame)
+        carried = carried.withColumn(name, F.coalesce(inside, F.col(f"_c_{name}")))
+    return carried.drop(*[f"_{p}_{n}" for n in cols for p in "vc"])
+
+
 def scan_sum(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
              cols: Mapping[str, Column]) -> DataFrame:
     """Running sum of each expression up to and including the row."""
@@ -115,6 +138,15 @@ def scan_index(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
     return scan_sum(runs, keys, order, {name: F.lit(1).cast("long")})
 
 
+def count_until(times: DataFrame, probes: DataFrame, column: str, out: str = "n_until") -> DataFrame:
+    """(column, out): how many distinct ``times`` are at or before each distinct probe."""
+    marked = (times.select(column).withColumn("_hit", F.lit(1).cast("long"))
+              .unionByName(probes.select(column).withColumn("_hit", F.lit(0).cast("long")))
+              .where(F.col(column).isNotNull()).groupBy(column).agg(F.max("_hit").alias("_hit")))
+    runs = sorted_runs(marked, [], [column])
+    return scan_sum(runs, [], [column], {out: F.col("_hit")}).select(column, out)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: Mapping[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per key without gathering a key in one task."""
