@@ -111,7 +111,7 @@ def hash_embed_dense(df: DataFrame, id_col: str, text_col: str, dims: int = 128,
     packed = (hash_embed_sparse(df, id_col, text_col, dims).groupBy(id_col)
               .agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m")))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(
-        F.try_element_at(F.col("m"), i.cast("long")), F.lit(0.0)).cast("float"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
+        F.try_element_at(F.col("m"), i.cast("long")), F.lit(0.0)))
+    zeros = F.array_repeat(F.lit(0.0), dims)
     return (df.join(packed.select(id_col, dense.alias(out)), id_col, "left")
             .withColumn(out, F.coalesce(out, zeros)))

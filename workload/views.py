@@ -30,6 +30,16 @@ SELECT o_orderkey AS market_id,
 FROM (SELECT *, CAST(year(o_orderdate) + 25 AS STRING) AS yr,
              substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 5) AS md,
              CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS amt FROM {orders}) q""",
+    "v_rich": """
+SELECT market_id, platform, question, price, close_time,
+       CASE market_id % 6
+         WHEN 0 THEN 'President Donald Trump and senator Jane Smith will not pass the bill'
+         WHEN 1 THEN 'Holders of $BTC and $ETH, according to Bloomberg News, use the closing price'
+         WHEN 2 THEN 'Official results reported by Associated Press. Deadline 12/31/2026 in California'
+         WHEN 3 THEN 'Priced at least 5k or over $2.5 million in "Wall Street" terms by Jan. 5, 2027'
+         WHEN 4 THEN 'No market margin of more than 2,000 billion points, at most exactly 40 percent'
+         ELSE '' END AS description
+FROM (v_question_text) q""",
     "v_price": """
 SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'alpha' ELSE 'beta' END AS platform,
        event_type AS market_id, CAST(ts AS TIMESTAMP) AS ts, least(value / 500.0, 1.0) AS yes_price
@@ -70,6 +80,8 @@ SELECT DISTINCT l_suppkey AS id_a, l_partkey + 1000000 AS id_b
 FROM {lineitem} WHERE l_quantity < 2.0 AND l_partkey % 11 = 0""",
 }
 
+VIEWS["v_rich"] = VIEWS["v_rich"].replace("v_question_text", VIEWS["v_question"])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
