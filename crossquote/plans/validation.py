@@ -259,11 +259,18 @@ def decide(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     relation = F.coalesce("judge_relationship", F.lit("unrelated"))
     hints = F.coalesce("judge_hints", empty)
     a, b = F.col("a"), F.col("b")
-    mapped = judged.withColumn("outcome_mapping", oc.outcome_mapping(
-        a["outcomes"], b["outcomes"], relation, F.coalesce("judge_confidence", F.lit(0.0)), hints))
-    checked = mapped.withColumn("basket", oc.basket_check(
-        a["outcomes"], b["outcomes"], relation, hints, F.col("outcome_mapping")))
-    legged = checked.withColumn("legs", oc.basket_legs(a, b, F.col("outcome_mapping"), F.col("basket")))
+
+    def with_basket(mapping):
+        return tx.bind(oc.basket_check(a["outcomes"], b["outcomes"], relation, hints, mapping),
+                       lambda basket: F.struct(mapping.alias("mapping"), basket.alias("basket"),
+                                               oc.basket_legs(a, b, mapping, basket).alias("legs")))
+
+    # Bound step by step: a filter pushed below this projection repeats the whole expression.
+    mapping = oc.outcome_mapping(a["outcomes"], b["outcomes"], relation,
+                                 F.coalesce("judge_confidence", F.lit(0.0)), hints)
+    legged = judged.withColumn("_o", tx.bind(mapping, with_basket)).select(
+        "*", F.col("_o.mapping").alias("outcome_mapping"), F.col("_o.basket").alias("basket"),
+        F.col("_o.legs").alias("legs"))
     hard = F.col("hard_reject")
     asked = F.coalesce("judge_verdict", F.lit("REVIEW"))
     verdict = (F.when(hard, "REJECT")
@@ -284,6 +291,12 @@ def decide(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
         F.when(F.col("verdict") == "REJECT", 0.0).otherwise(blended).alias("confidence"))
 
 
+def leg_rows(decisions: DataFrame) -> DataFrame:
+    """One row per basket leg. (The outer form keeps the planner from filtering on the legs first.)"""
+    rows = decisions.select("candidate_id", F.posexplode_outer("legs").alias("leg_no", "leg"))
+    return rows.where(F.col("leg_no").isNotNull()).select("candidate_id", "leg_no", "leg.*")
+
+
 def accepted(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates whose decision is ACCEPT."""
     kept = decisions.where(F.col("verdict") == "ACCEPT").select(

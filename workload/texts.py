@@ -348,9 +348,9 @@ SELECT candidate_id, oa AS outcome_a, CASE WHEN jr = 'equivalent' THEN oa WHEN o
   CASE WHEN jr = 'complement' THEN 'complement' ELSE 'binary' END AS leg_type
 FROM mapped, (SELECT unnest(['Yes', 'No']) AS oa) o WHERE NOT hard_reject AND jr IN ('equivalent', 'complement')""")
 def basket_legs(spark, sf_dir):
-    legs = decisions(spark, sf_dir).select("candidate_id", F.explode("legs").alias("l"))
-    return legs.select("candidate_id", "l.outcome_a", "l.outcome_b",
-                       F.round("l.combined_price", 6).alias("combined_price"), "l.leg_type")
+    legs = va.leg_rows(decisions(spark, sf_dir))
+    return legs.select("candidate_id", "outcome_a", "outcome_b",
+                       F.round("combined_price", 6).alias("combined_price"), "leg_type")
 
 
 @query("accepted_pairs", _QJ + """
