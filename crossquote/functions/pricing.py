@@ -54,7 +54,8 @@ def volume_ratio(a: Column, b: Column) -> Column:
 def days_to_close(close: Column, as_of: Column) -> Column:
     """Fractional days until close, 0 when past, 365 when unknown."""
     seconds = F.unix_micros(close.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))
-    return F.coalesce(F.round(F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0)), 2), F.lit(365.0))
+    days = F.round(F.greatest(seconds / F.lit(86_400_000_000.0), F.lit(0.0)), 2)
+    return F.when(close.isNotNull(), days).otherwise(365.0)
 
 
 def convergence_heuristic(current, velocity, z, days, ratio) -> Column:

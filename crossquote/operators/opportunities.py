@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crossquote.operators import runs as rn
 from crossquote.operators.replay import KEY, SNAPSHOT_EVENTS
+from crossquote.session import materialize
 
 # Fixed values.
 MIN_NET_EDGE = 0.005
@@ -56,9 +57,9 @@ def pair_states(events: DataFrame, pairs: DataFrame, keep: list[str] | None = No
         **{s: F.when((F.col("side") == s) & ~resolved, F.col("quote")) for s in "ab"},
         **{f"done_{s}": F.when((F.col("side") == s) & resolved, F.lit(True)) for s in "ab"}})
     at = F.struct("seq", "side")
-    settled = filled.groupBy("pair_id", "ts").agg(
+    settled = materialize(filled.groupBy("pair_id", "ts").agg(  # the next scan reads it twice
         *[F.max_by(c, at).alias(c) for c in ("a", "b", "done_a", "done_b")],
-        F.max(rn.RUN).alias(rn.RUN))
+        F.max(rn.RUN).alias(rn.RUN)))
     return rn.scan_next(settled, ["pair_id"], ["ts"], {"until": F.col("ts")}).drop(rn.RUN)
 
 

@@ -50,9 +50,10 @@ def _with_carry(runs, keys, summary, carries, broadcast):
 
 
 def scan_last(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
-              cols: Mapping[str, Column], inclusive: bool = True) -> DataFrame:
-    """Latest non-null value of each expression up to (or strictly before) the row."""
-    staged = runs
+              cols: Mapping[str, Column], before: Mapping[str, Column] | None = None) -> DataFrame:
+    """Latest non-null value up to the row for ``cols``, strictly before it for ``before``."""
+    staged, strict = runs, before or {}
+    cols = {**cols, **strict}
     for name, expr in cols.items():
         staged = staged.withColumn(f"_v_{name}", expr)
     position = F.struct(*order)
@@ -63,9 +64,9 @@ def scan_last(runs: DataFrame, keys: Sequence[str], order: Sequence[str],
         staged, keys, summary,
         {f"_c_{n}": F.last(f"_s_{n}", ignorenulls=True).over(_earlier_runs(keys)) for n in cols},
         broadcast=not keys)
-    frame = _run_window(keys, order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
     for name in cols:
+        frame = _run_window(keys, order).rowsBetween(
+            Window.unboundedPreceding, -1 if name in strict else 0)
         inside = F.last(f"_v_{name}", ignorenulls=True).over(frame)
         carried = carried.withColumn(name, F.coalesce(inside, F.col(f"_c_{name}")))
     return carried.drop(*[f"_{p}_{n}" for n in cols for p in "vc"])
@@ -147,21 +148,27 @@ def count_until(times: DataFrame, probes: DataFrame, column: str, out: str = "n_
     return scan_sum(runs, [], [column], {out: F.col("_hit")}).select(column, out)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    quantiles: Mapping[str, float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key without gathering a key in one task."""
-    present = df.where(F.col(value).isNotNull()).select(*keys, value)
-    tagged = present.withColumn("_tie", F.monotonically_increasing_id())
-    runs = sorted_runs(tagged, keys, [value, "_tie"])
-    ranked = scan_index(runs, keys, [value, "_tie"], "_i")
-    totals = ranked.groupBy(*keys).agg(F.max("_i").alias("_n"))
-    joined = ranked.join(totals, list(keys))
+def exact_quantiles(df: DataFrame, keys: Sequence[str],
+                    wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Exact linear-interpolated quantiles per key, without gathering a key in one task.
+
+    ``wanted`` maps a column to {result name: quantile}. All columns are stacked and sorted in
+    one pass; a quantile is then read off the two rows next to its position.
+    """
+    stacked = df.withColumn("_tie", F.monotonically_increasing_id()).select(
+        *keys, "_tie", F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in wanted])).alias("s"))
+    rows = stacked.select(*keys, "s._col", "s._val", "_tie").where(F.col("_val").isNotNull())
+    group, order = [*keys, "_col"], ["_val", "_tie"]
+    ranked = scan_index(sorted_runs(rows, group, order), group, order, "_i")
+    totals = ranked.groupBy(*group).agg(F.max("_i").alias("_n"))
+    joined = ranked.join(totals, group)
     out = []
-    for name, q in quantiles.items():
-        at = (F.col("_n") - 1) * F.lit(float(q))
-        low = F.floor(at) + 1
-        share = at - F.floor(at)
-        picked = (F.when(F.col("_i") == low, F.col(value) * (1 - share))
-                  .when(F.col("_i") == low + 1, F.col(value) * share))
-        out.append(F.sum(picked).alias(name))
+    for column, named in wanted.items():
+        for name, q in named.items():
+            at = (F.col("_n") - 1) * F.lit(float(q))
+            low, share = F.floor(at) + 1, at - F.floor(at)
+            part = (F.when(F.col("_i") == low, F.col("_val") * (1 - share))
+                    .when(F.col("_i") == low + 1, F.col("_val") * share))
+            out.append(F.sum(F.when(F.col("_col") == column, part)).alias(name))
     return joined.groupBy(*keys).agg(*out)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossquote.operators import runs as rn
+from crossquote.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 OPEN_ABOVE = 0.02
@@ -131,12 +132,12 @@ def mark_episodes(rows: DataFrame, open_above: float = OPEN_ABOVE,
     """Rows (pair_id, ts, seq, raw_spread) with ``state`` (-1, 0, 1) and running ``episode_no``."""
     keys = ["pair_id"]
     marked = rn.sorted_runs(rows, keys, ORDER)
-    marked = rn.scan_last(marked, keys, ORDER, {"_prev": F.col("raw_spread")}, inclusive=False)
+    marked = rn.scan_last(marked, keys, ORDER, {}, before={"_prev": F.col("raw_spread")})
     marked = marked.withColumn("_cross", crossing(F.col("raw_spread"), F.col("_prev"), open_above, close_below))
-    marked = rn.scan_last(marked, keys, ORDER, {"_state": F.col("_cross")})
-    marked = marked.withColumn("state", F.coalesce("_state", F.lit(0)))
-    marked = rn.scan_last(marked, keys, ORDER, {"_before": F.col("state")}, inclusive=False)
-    fresh = (F.col("state") != 0) & (F.col("state") != F.coalesce("_before", F.lit(0)))
+    marked = rn.scan_last(marked, keys, ORDER, {"_state": F.col("_cross")}, before={"_before": F.col("_cross")})
+    marked = materialize(marked.withColumns({  # each scan reads its input twice
+        "state": F.coalesce("_state", F.lit(0)), "_before": F.coalesce("_before", F.lit(0))}))
+    fresh = (F.col("state") != 0) & (F.col("state") != F.col("_before"))
     marked = rn.scan_sum(marked, keys, ORDER, {"episode_no": fresh.cast("long")})
     return marked.drop("_prev", "_cross", "_state", "_before", rn.RUN)
 
@@ -168,7 +169,7 @@ def episodes(rows: DataFrame, open_above: float = OPEN_ABOVE, close_below: float
         F.col("ts") < limit)
     stats = inside.groupBy(*keys).agg(
         F.min_by(size, at).alias("opening_spread"), F.max(size).alias("peak_spread"),
-        F.min(F.when(F.lit(True), F.struct((-size).alias("d"), F.col("ts").alias("t")))).alias("_peak"),
+        F.min(F.struct((-size).alias("d"), F.col("ts").alias("t"))).alias("_peak"),
         F.max_by(size, at).alias("current_spread"), F.max("ts").alias("_seen"), F.count("*").alias("snapshot_count"))
     joined = bounds.join(stats, keys)
     expired = F.coalesce(F.col("_stop") >= limit, F.lit(False)) | (
@@ -213,20 +214,27 @@ def episode_metrics(rows: DataFrame, found: DataFrame, max_seconds: float = MAX_
         seconds("_half", "peak_time").alias("half_life_seconds"), "start_time", "snapshot_count")
 
 
-def decay_after(rows: DataFrame, found: DataFrame, minutes: int) -> DataFrame:
-    """(pair_id, episode_no, decay): share of the opening spread gone ``minutes`` after the start."""
-    until = F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    span = found.where(F.col("end_time").isNotNull() & (F.col("end_time") >= until)).select(
-        "pair_id", "episode_no", "start_time", "opening_spread")
-    seen = rows.join(span, "pair_id").where((F.col("ts") >= F.col("start_time")) & (F.col("ts") <= until))
-    return seen.groupBy("pair_id", "episode_no").agg(
-        (1.0 - F.max_by(F.abs("raw_spread"), F.struct(*ORDER)) / F.max("opening_spread")).alias("decay"))
+def decay_after(rows: DataFrame, found: DataFrame, minutes: tuple[int, ...] = (5, 15, 30)) -> DataFrame:
+    """(pair_id, episode_no, decay_5m, ...): share of the opening spread gone after so many minutes.
+
+    Null when the episode ended earlier.
+    """
+    later = lambda m: F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(m))
+    span = found.where(F.col("end_time").isNotNull()).select(
+        "pair_id", "episode_no", "start_time", "end_time", "opening_spread")
+    seen = rows.join(span, "pair_id").where(
+        (F.col("ts") >= F.col("start_time")) & (F.col("ts") <= later(max(minutes))))
+    at = F.struct(*ORDER)
+    decay = lambda m: F.when(
+        F.max(F.col("end_time") >= later(m)),
+        1.0 - F.max_by(F.abs("raw_spread"), F.when(F.col("ts") <= later(m), at)) / F.max("opening_spread"))
+    return seen.groupBy("pair_id", "episode_no").agg(*[decay(m).alias(f"decay_{m}m") for m in minutes])
 
 
 def baselines(rows: DataFrame, found: DataFrame, metrics: DataFrame,
               min_episodes: int = BASELINE_MIN_EPISODES) -> DataFrame:
     """Typical decay per pair from its finished episodes (exact quantiles, skew-safe)."""
-    ended = metrics.where(F.col("status") == "closed")
+    ended = materialize(metrics.where(F.col("status") == "closed"))
     base = ended.groupBy("pair_id").agg(F.count("*").alias("episode_count")).where(
         F.col("episode_count") >= min_episodes)
     wanted = {"opening_spread": {"median_opening_spread": 0.5},
@@ -234,14 +242,11 @@ def baselines(rows: DataFrame, found: DataFrame, metrics: DataFrame,
               "duration_seconds": {"median_time_to_close_seconds": 0.5},
               "persistence_score": {"persistence_p25": 0.25, "persistence_p50": 0.5, "persistence_p75": 0.75},
               "peak_spread": {"typical_peak_spread": 0.5}}
-    out = base
-    for column, names in wanted.items():
-        out = out.join(rn.exact_quantiles(ended, ["pair_id"], column, names), "pair_id", "left")
-    closed = found.where(F.col("status") == "closed")
-    for m in (5, 15, 30):
-        mean = decay_after(rows, closed, m).groupBy("pair_id").agg(F.avg("decay").alias(f"avg_percent_decay_{m}m"))
-        out = out.join(mean, "pair_id", "left")
-    return out
+    out = base.join(rn.exact_quantiles(ended, ["pair_id"], wanted), "pair_id", "left")
+    minutes = (5, 15, 30)
+    after = decay_after(rows, found.where(F.col("status") == "closed"), minutes).groupBy("pair_id").agg(
+        *[F.avg(f"decay_{m}m").alias(f"avg_percent_decay_{m}m") for m in minutes])
+    return out.join(after, "pair_id", "left")
 
 
 def decay_signals(metrics: DataFrame, base: DataFrame) -> DataFrame:

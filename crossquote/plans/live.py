@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
+from crossquote.operators.barrier import compute_once
 
 
 def latest_prices(ticks: DataFrame) -> DataFrame:
@@ -85,8 +86,8 @@ def validate(signals: DataFrame, min_spread: float = px.MIN_SPREAD) -> DataFrame
         "liquidity_ok": F.size("_issues") == 0, "executable": executable, "reasons": reasons,
         "live_price_a": F.col("_live_a"), "live_price_b": F.col("_live_b"),
         "price_correlation": corr, "actions": F.when(executable, _actions(F.col("direction"), half))})
-    return done.drop("_corr", "_corr_ok", "_issues", "live_a", "live_b",
-                     *[f"_{p}_{s}" for p in ("known", "live", "liq") for s in "ab"])
+    return compute_once(done.drop("_corr", "_corr_ok", "_issues", "live_a", "live_b",
+                     *[f"_{p}_{s}" for p in ("known", "live", "liq") for s in "ab"]))
 
 
 def action_rows(validated: DataFrame) -> DataFrame:

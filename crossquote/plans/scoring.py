@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
 from crossquote.functions.filters import platform_name
+from crossquote.operators.barrier import compute_once
 
 NEUTRAL = {"points": 1, "velocity": 0.0, "volatility": 0.01, "volume_ratio": 1.0,
            "days_to_close": 365.0, "z_score": 0.0}
@@ -72,7 +73,7 @@ def score_pairs(pairs: DataFrame, features: DataFrame | None = None, *,
         .withColumns({
             "expected_profit": px.expected_value(prob, raw, F.col("size_usd"), F.col("capture"), F.col("risk")),
             "confidence": px.signal_confidence(prob, raw, sure, sim, F.col("points"))}))
-    return sized.where((F.col("capture") > 0) & (F.col("size_usd") > 0) & (F.col("expected_profit") > 0)
+    return compute_once(sized).where((F.col("capture") > 0) & (F.col("size_usd") > 0) & (F.col("expected_profit") > 0)
                        & (F.col("confidence") >= px.MIN_CONFIDENCE)).drop("_f")
 
 

@@ -219,8 +219,9 @@ def daily_pnl(trades: DataFrame, start: Column, end: Column) -> DataFrame:
     Trades are summed per day before anything is ordered, so the running sum sees one row per
     calendar day of the report.
     """
-    day = F.greatest(F.try_to_date("exit_date", "yyyy-MM-dd"), start)
-    sums = trades.where(F.col("exit_date").isNotNull()).groupBy(day.alias("date")).agg(
+    exit_day = F.try_to_date("exit_date", "yyyy-MM-dd")
+    day = F.greatest(exit_day, start)
+    sums = trades.where(exit_day.isNotNull()).groupBy(day.alias("date")).agg(
         F.sum(F.coalesce("realized_pnl", F.lit(0.0))).alias("pnl"))
     days = trades.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("date"))
     dense = days.join(sums, "date", "left").select("date", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))

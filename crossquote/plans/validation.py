@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crossquote.functions import outcomes as oc
 from crossquote.functions import text as tx
 from crossquote.functions.templates import add_template
+from crossquote.operators.barrier import compute_once
 
 # ---------------------------------------------------------------- fixed values
 DATE_TOLERANCE_DAYS = 45
@@ -134,16 +135,16 @@ def contradictions(pairs: DataFrame) -> DataFrame:
         F.when(yes(template), TEMPLATE_CONFIDENCE).otherwise(0.0),
         F.when(yes(date), DATE_CONFIDENCE).otherwise(0.0),
         F.when(yes(stage), NOMINATION_CONFIDENCE).otherwise(0.0))
-    return pairs.withColumns({
+    return compute_once(pairs.withColumns({
         "flags": F.filter(flags, lambda f: f.isNotNull()),
-        "hard_reject": hard, "contradiction_confidence": confidence})
+        "hard_reject": hard, "contradiction_confidence": confidence}))
 
 
 def overlap_score(a: Column, b: Column) -> Column:
     """struct(score, text_overlap, date_proximity, outcome_overlap) of two market structs."""
     text = tx.jaccard(a["words"], b["words"])
     gap = tx.day_gap(a["last_date"], b["last_date"])
-    date = F.coalesce(F.greatest(F.lit(0.0), F.lit(1.0) - gap / RERANK_DATE_SPAN), F.lit(0.5))
+    date = F.when(gap.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - gap / RERANK_DATE_SPAN)).otherwise(0.5)
     outcome = oc.label_overlap(a["outcomes"], b["outcomes"])
     w = RERANK_WEIGHTS
     total = w["text"] * text + w["date"] * date + w["outcome"] * outcome
@@ -280,7 +281,7 @@ def decide(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
         w["rerank"] * F.col("rerank.score") + w["judge"] * F.coalesce("judge_confidence", F.lit(0.0))
         + F.when(hard, 0.0).otherwise(w["no_contradiction"]))))
     soft = lambda c: F.when(~hard, c)
-    return legged.withColumn("verdict", verdict).select(
+    decided = legged.withColumn("verdict", verdict).select(
         "candidate_id", "platform_a", "id_a", "platform_b", "id_b", "similarity", "verdict",
         F.when(hard, F.concat(F.lit("hard contradiction: "), F.concat_ws("; ", "flags")))
         .otherwise(F.coalesce("judge_reasoning", F.lit("no judge verdict"))).alias("reason"),
@@ -289,6 +290,7 @@ def decide(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
         soft(F.col("outcome_mapping")).alias("outcome_mapping"), soft(F.col("basket")).alias("basket"),
         F.when(hard, F.slice("legs", 1, 0)).otherwise(F.col("legs")).alias("legs"),
         F.when(F.col("verdict") == "REJECT", 0.0).otherwise(blended).alias("confidence"))
+    return compute_once(decided)
 
 
 def leg_rows(decisions: DataFrame) -> DataFrame:
