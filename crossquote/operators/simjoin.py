@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_CARRIED = ("platform", "id", "vector", "day", "fresh")
 MAX_PIVOTS = 512          # bounds the driver-side pivot table: 512 vectors
 ROWS_PER_PIVOT = 8192
 TILE_ROWS = 2048          # a tile is at most about TILE_ROWS x TILE_ROWS scores
@@ -69,8 +70,11 @@ def _cell_stats(staged: DataFrame, pivots: np.ndarray) -> dict[int, tuple[float,
     return {r[0]: (r[1], r[2], r[3]) for r in rows}
 
 
-def _visit_mask(angles, norms, home, radius, reach, threshold):
-    """Cells a row must visit: the home cell plus every cell the bound cannot exclude."""
+def _visit_mask(angles, norms, home, fresh, radius, reach, threshold):
+    """Cells a row must visit: the home cell plus every cell the bound cannot exclude.
+
+    Rows that are not fresh stay at home.
+    """
     if threshold <= 0:
         mask = np.ones_like(angles, dtype=bool)
     else:
@@ -78,19 +82,24 @@ def _visit_mask(angles, norms, home, radius, reach, threshold):
         best = np.cos(np.minimum(nearest, np.pi)) * norms[:, None] * reach[None, :]
         mask = best >= threshold - 1e-6
     mask[np.arange(len(home)), home] = True
-    return mask & (radius >= 0)[None, :]
+    return mask & (radius >= 0)[None, :] & fresh[:, None]
+
+
+def _flags(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _visit_counts(staged, pivots, radius, reach, threshold) -> dict[int, int]:
     def visits(batches):
         for batch in batches:
             angles, norms = _angles(_matrix(batch.column("vector")), pivots)
-            mask = _visit_mask(angles, norms, angles.argmin(axis=1), radius, reach, threshold)
+            mask = _visit_mask(angles, norms, angles.argmin(axis=1), _flags(batch.column("fresh")),
+                               radius, reach, threshold)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(mask.shape[1]), pa.int32()),
                  pa.array(mask.sum(axis=0), pa.int64())], ["cell", "n"])
 
-    rows = (staged.select("vector").mapInArrow(visits, "cell int, n long")
+    rows = (staged.select("vector", "fresh").mapInArrow(visits, "cell int, n long")
             .groupBy("cell").agg(F.sum("n")).collect())
     return {r[0]: r[1] for r in rows}
 
@@ -113,7 +122,7 @@ def _route(staged, pivots, radius, reach, threshold, home_slices, visit_slices)
             angles, norms = _angles(_matrix(batch.column("vector")), pivots)
             salt = batch.column("salt").to_numpy()
             home = angles.argmin(axis=1)
-            mask = _visit_mask(angles, norms, home, radius, reach, threshold)
+            mask = _visit_mask(angles, norms, home, _flags(batch.column("fresh")), radius, reach, threshold)
             h_row, h_cell, h_copy = expand(np.arange(len(home)), home, visit_slices)
             v_row, v_cell, v_copy = expand(*np.nonzero(mask), home_slices)
             take = np.concatenate([h_row, v_row])
@@ -125,11 +134,11 @@ def _route(staged, pivots, radius, reach, threshold, home_slices, visit_slices)
                 part = pa.array(take[start:start + 4096])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tile[start:start + 4096]), pa.array(visitor[start:start + 4096]),
-                     *[batch.column(n).take(part) for n in ("platform", "id", "vector", "day")]],
-                    ["tile", "visitor", "platform", "id", "vector", "day"])
+                     *[batch.column(n).take(part) for n in _CARRIED]],
+                    ["tile", "visitor", *_CARRIED])
 
-    return staged.mapInArrow(
-        tiles, "tile long, visitor boolean, platform string, id string, vector array<float>, day int")
+    return staged.mapInArrow(tiles, "tile long, visitor boolean, platform string, id string, "
+                                    "vector array<float>, day int, fresh boolean")
 
 
 def _tile_id(cell, home_slice, visit_slice):
@@ -146,11 +155,13 @@ def _match_tile(threshold: float, max_gap: int | None):
         platform = np.asarray(table.column("platform").to_pylist(), dtype=object)
         vectors = _matrix(table.column("vector"))
         day = table.column("day").to_numpy(zero_copy_only=False).astype(np.float64)
+        fresh = table.column("fresh").to_numpy()
         left, right = np.flatnonzero(visitor), np.flatnonzero(~visitor)
         found_l, found_r, scores = [], [], []
         for name in sorted(set(platform[left])):
             rows = left[platform[left] == name]
-            others = right[platform[right] > name]
+            # two fresh rows meet twice; the meeting with the smaller platform visiting counts
+            others = right[(platform[right] > name) | ((platform[right] < name) & ~fresh[right])]
             if not len(others):
                 continue
             other_vectors = vectors[others]
@@ -172,8 +183,11 @@ def _match_tile(threshold: float, max_gap: int | None):
                 found_l.append(block[i[sure]])
                 found_r.append(others[j[sure]])
                 scores.append(exact[sure])
-        a = pa.array(np.concatenate(found_l) if found_l else np.empty(0, np.int64), pa.int64())
-        b = pa.array(np.concatenate(found_r) if found_r else np.empty(0, np.int64), pa.int64())
+        first = np.concatenate(found_l) if found_l else np.empty(0, np.int64)
+        second = np.concatenate(found_r) if found_r else np.empty(0, np.int64)
+        swap = platform[first] > platform[second]
+        a = pa.array(np.where(swap, second, first), pa.int64())
+        b = pa.array(np.where(swap, first, second), pa.int64())
         s = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())
         return pa.table({
             "platform_a": table.column("platform").take(a), "id_a": table.column("id").take(a),
@@ -184,21 +198,25 @@ def _match_tile(threshold: float, max_gap: int | None):
 
 def similarity_pairs(vectors: DataFrame, threshold: float, *, platform: str = "platform",
                      id_col: str = "market_id", vector: str = "vector",
-                     close_day: Column | None = None, max_gap_days: int | None = 90) -> DataFrame:
+                     close_day: Column | None = None, max_gap_days: int | None = 90,
+                     fresh: Column | None = None) -> DataFrame:
     """Every cross-platform pair with dot product >= threshold.
 
     ``close_day`` (a date Column) adds the close-date rule: a pair is dropped only when both
-    dates are known and further apart than ``max_gap_days``. Rows without a vector take no part.
+    dates are known and further apart than ``max_gap_days``. ``fresh`` (a boolean Column) asks
+    only for pairs with at least one fresh row: known rows then wait in their home cells and the
+    work follows the number of fresh rows. Rows without a vector take no part.
     """
     day = F.lit(None).cast("int") if close_day is None else F.unix_date(close_day)
     staged = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(
         F.col(platform).alias("platform"), F.col(id_col).cast("string").alias("id"),
         F.col(vector).cast("array<float>").alias("vector"), day.alias("day"),
+        (F.lit(True) if fresh is None else fresh).alias("fresh"),
         F.pmod(F.xxhash64(platform, id_col), F.lit(1 << 31)).alias("salt"))
     gap = None if close_day is None else max_gap_days
 
-    rows, dims_low, dims_high = staged.agg(
-        F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    rows, moving, dims_low, dims_high = staged.agg(
+        F.count("*"), F.count_if("fresh"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if not rows:
         return staged.sparkSession.createDataFrame([], _PAIR)
     if dims_low != dims_high:
@@ -209,7 +227,7 @@ def similarity_pairs(vectors: DataFrame, threshold: float, *, platform: str = "p
     wanted = min(MAX_PIVOTS, rows // ROWS_PER_PIVOT)
     if wanted <= 1:
         pivots, radius, reach = np.eye(1, dims_low), np.array([math.pi]), np.array([np.inf])
-        homes, visits, limit = {0: rows}, {0: rows}, 0.0
+        homes, visits, limit = {0: rows}, {0: moving}, 0.0
     else:
         pivots, limit = _choose_pivots(staged, wanted), threshold
         stats = _cell_stats(staged, pivots)

@@ -165,15 +165,16 @@ def episodes(rows: DataFrame, open_above: float = OPEN_ABOVE, close_below: float
         F.coalesce("_end_raw", "_next_raw").alias("_stop_raw"))
     limit = F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(max_seconds)))
     size = F.abs("raw_spread")
-    inside = marked.where(F.col("state") != 0).join(bounds.select(*keys, "start_time"), keys).where(
-        F.col("ts") < limit)
+    counts = F.col("ts") < limit
+    inside = marked.where(F.col("state") != 0).join(bounds.select(*keys, "start_time"), keys)
     stats = inside.groupBy(*keys).agg(
-        F.min_by(size, at).alias("opening_spread"), F.max(size).alias("peak_spread"),
-        F.min(F.struct((-size).alias("d"), F.col("ts").alias("t"))).alias("_peak"),
-        F.max_by(size, at).alias("current_spread"), F.max("ts").alias("_seen"), F.count("*").alias("snapshot_count"))
+        F.min_by(size, at).alias("opening_spread"), F.max(F.when(counts, size)).alias("peak_spread"),
+        F.min(F.when(counts, F.struct((-size).alias("d"), F.col("ts").alias("t")))).alias("_peak"),
+        F.max_by(size, F.when(counts, at)).alias("current_spread"), F.max(F.when(counts, F.col("ts"))).alias("_seen"),
+        F.count_if(counts).alias("snapshot_count"), F.max("ts").alias("_latest"))
     joined = bounds.join(stats, keys)
     expired = F.coalesce(F.col("_stop") >= limit, F.lit(False)) | (
-        F.col("_stop").isNull() & (F.col("_seen") >= limit))
+        F.col("_stop").isNull() & (F.col("_latest") >= limit))
     status = (F.when(expired, "expired").when(F.col("_stop").isNull(), "open")
               .when(F.abs("_stop_raw") < close_below, "closed").otherwise("reversed"))
     end = F.when(expired, limit).otherwise(F.col("_stop"))

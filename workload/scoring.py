@@ -378,12 +378,12 @@ e5 AS (SELECT pair_id, no, min(ts) AS start_ts, arg_min(raw, (ts, seq)) AS first
 e6 AS (SELECT *, coalesce(zero_ts, lead(start_ts) OVER w) AS stop_ts, coalesce(zero_raw, lead(first_raw) OVER w) AS stop_raw FROM e5
   WINDOW w AS (PARTITION BY pair_id ORDER BY no)),
 e7 AS (SELECT e6.pair_id, e6.no, any_value(start_ts) AS start_ts, any_value(stop_ts) AS stop_ts, any_value(stop_raw) AS stop_raw,
-  arg_min(abs(raw), (ts, seq)) AS opening, max(abs(raw)) AS peak, arg_max(abs(raw), (ts, seq)) AS cur, max(ts) AS seen, count(*) AS n,
-  min((-abs(raw), ts)) AS pk
-  FROM e6 JOIN e4 ON e4.pair_id = e6.pair_id AND e4.no = e6.no AND state <> 0 AND ts < start_ts + INTERVAL 24 HOUR GROUP BY 1, 2),
-ep AS (SELECT *, struct_extract(pk, 2) AS peak_ts, CASE WHEN stop_ts >= start_ts + INTERVAL 24 HOUR THEN 'expired' WHEN stop_ts IS NULL THEN 'open'
+  arg_min(abs(raw), (ts, seq)) AS opening, max(abs(raw)) FILTER (ok) AS peak, arg_max(abs(raw), (ts, seq)) FILTER (ok) AS cur, max(ts) FILTER (ok) AS seen,
+  count(*) FILTER (ok) AS n, min((-abs(raw), ts)) FILTER (ok) AS pk, coalesce(any_value(stop_ts), max(ts)) >= any_value(start_ts) + INTERVAL 24 HOUR AS late
+  FROM e6 JOIN (SELECT * FROM e4 WHERE state <> 0) e4 ON e4.pair_id = e6.pair_id AND e4.no = e6.no, LATERAL (SELECT ts < start_ts + INTERVAL 24 HOUR AS ok) GROUP BY 1, 2),
+ep AS (SELECT *, struct_extract(pk, 2) AS peak_ts, CASE WHEN late THEN 'expired' WHEN stop_ts IS NULL THEN 'open'
   WHEN abs(stop_raw) < 0.005 THEN 'closed' ELSE 'reversed' END AS status,
-  CASE WHEN stop_ts >= start_ts + INTERVAL 24 HOUR THEN start_ts + INTERVAL 24 HOUR ELSE stop_ts END AS end_ts FROM e7),
+  CASE WHEN late THEN start_ts + INTERVAL 24 HOUR ELSE stop_ts END AS end_ts FROM e7),
 em AS (SELECT *, coalesce(CASE WHEN status IN ('closed', 'reversed') THEN abs(stop_raw) END, cur) AS last,
   (epoch_us(coalesce(end_ts, seen)) - epoch_us(start_ts)) / 1e6 AS dur,
   (SELECT min(ts) FROM sn WHERE sn.pair_id = ep.pair_id AND ts >= peak_ts AND ts <= coalesce(end_ts, TIMESTAMP '9999-12-31') AND abs(raw) <= peak / 2) AS half_ts FROM ep)"""
