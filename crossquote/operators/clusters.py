@@ -22,9 +22,10 @@ def arb_baskets(edges: DataFrame) -> DataFrame:
 
 def graph_counts(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("id_a").alias("n")).union(edges.select("id_b")).distinct()
-    counted = nodes.agg(F.count("*").alias("nodes"))
-    links = edges.select("id_a", "id_b").distinct().agg(F.count("*").alias("edges"))
-    return counted.join(F.broadcast(links), F.lit(True))
+    links = edges.select("id_a", "id_b").distinct()
+    kinds = nodes.select(F.lit("node").alias("kind")).unionByName(links.select(F.lit("edge").alias("kind")))
+    return kinds.agg(F.count_if(F.col("kind") == "node").alias("nodes"),
+                     F.count_if(F.col("kind") == "edge").alias("edges"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def with_observations(intervals: DataFrame, events: DataFrame) -> DataFrame:
     A replay observes after every distinct event time except the last one.
     """
     times = events.select("ts").distinct()
-    last = F.broadcast(events.agg(F.max("ts").alias("_last"), F.countDistinct("ts").alias("_total")))
+    total = events.select("ts").distinct().count()
     edges = (intervals.select(F.col("from_ts").alias("ts"))
              .union(intervals.select("until")).union(intervals.select("visible_until")))
     counted = rn.count_until(times, edges, "ts")
@@ -104,11 +104,9 @@ def with_observations(intervals: DataFrame, events: DataFrame) -> DataFrame:
     for name in ("from_ts", "until", "visible_until"):
         out = out.join(counted.select(F.col("ts").alias(name), F.col("n_until").alias(f"_{name}")),
                        name, "left")
-    bounded = out.join(last, F.lit(True))
-    end = F.least(F.coalesce(F.col("_until") - 1, F.col("_total")), F.col("_visible_until"),
-                  F.col("_total") - 1)
-    return (bounded.withColumn("observations", F.greatest(end - F.col("_from_ts") + 1, F.lit(0)))
-            .drop("_from_ts", "_until", "_visible_until", "_last", "_total"))
+    end = F.least(F.coalesce(F.col("_until") - 1, F.lit(total)), F.col("_visible_until"), F.lit(total - 1))
+    return (out.withColumn("observations", F.greatest(end - F.col("_from_ts") + 1, F.lit(0).cast("long")))
+            .drop("_from_ts", "_until", "_visible_until"))
 
 
 def exhaustive_baskets(outcome_asks: DataFrame, group: str, expected: str | None = None,

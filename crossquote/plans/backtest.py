@@ -11,6 +11,7 @@ from crossquote.operators import fills as fl
 from crossquote.operators import opportunities as op
 from crossquote.operators import replay as rp
 from crossquote.plans import portfolio as pf
+from crossquote.session import materialize
 
 
 def greedy_strategy(size: float = 10.0, min_net: float = 0.005) -> Callable[[DataFrame], DataFrame]:
@@ -85,11 +86,11 @@ def run(events: DataFrame, pairs: DataFrame, *modes: str, initial: float = 10_00
     ``events`` are normalised event rows with a snapshot struct, ``pairs`` the validated pairs.
     """
     states = op.pair_states(op.quotes_of(events), pairs, keep=["snapshot"])
-    intervals = op.with_observations(
-        op.opportunity_intervals(states, tolerance_seconds), events).where(F.col("observations") > 0)
+    intervals = materialize(op.with_observations(
+        op.opportunity_intervals(states, tolerance_seconds), events).where(F.col("observations") > 0))
     legs, basket_fills = attempts(intervals, pairs, *modes, strategy=strategy,
                                   min_profit=min_profit, **overrides)
-    entered = entries(basket_fills)
+    entered = materialize(entries(basket_fills))  # few rows: at most one basket per pair and mode
     baskets = entered.withColumn("open_time", F.when(F.col("fill_status") == "filled", F.col("entry_time"))) \
         .withColumn("arb_type", F.lit("binary_pair"))
     basket_legs = legs.join(baskets.select("mode", "pair_id", "entry_time", "basket_id"),
@@ -99,9 +100,9 @@ def run(events: DataFrame, pairs: DataFrame, *modes: str, initial: float = 10_00
         events.withColumns({"resolution_value": F.col("resolution_value").cast("double")})))
     closed = pf.close_baskets(baskets, positions, settlements)
     final_states = rp.latest_state(events)
-    last = events.agg(F.max("ts").alias("_t"))
-    forced = pf.value_open_baskets(baskets, closed, positions, final_states, F.lit(None)).drop("close_time") \
-        .join(F.broadcast(last), F.lit(True)).withColumnRenamed("_t", "close_time")
+    last = events.agg(F.max(F.unix_micros("ts"))).first()[0]
+    forced = pf.value_open_baskets(baskets, closed, positions, final_states,
+                                   F.timestamp_micros(F.lit(last).cast("long")))
     done = closed.unionByName(forced, allowMissingColumns=True)
     return {"intervals": intervals, "fills": basket_fills, "baskets": baskets, "legs": basket_legs,
             "positions": positions, "settlements": settlements, "closed": done,

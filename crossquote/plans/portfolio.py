@@ -240,8 +240,8 @@ def open_counts(baskets: DataFrame, limit: int | None = None) -> DataFrame:
 def summary(fill_row: DataFrame, basket_row: DataFrame, drawdown_row: DataFrame,
             initial: float) -> DataFrame:
     """One flat rounded row of all metrics (three one-row inputs)."""
-    joined = fill_row.join(F.broadcast(basket_row), F.lit(True)).join(
-        F.broadcast(drawdown_row), F.lit(True))
+    keyed = [row.withColumn("_one", F.lit(1)) for row in (fill_row, basket_row, drawdown_row)]
+    joined = keyed[0].join(keyed[1], "_one").join(keyed[2], "_one").drop("_one")
     digits = {"fill_rate": 4, "total_slippage": 4, "max_locked_capital": 4, "total_realized_pnl": 4,
               "win_rate": 4, "avg_profit": 6, "avg_holding_hours": 2, "sharpe": 4, "max_drawdown": 4}
     return joined.withColumn("final_equity", F.round(F.lit(initial) + F.col("total_realized_pnl"), 4)) \

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
 from crossquote.functions.text import topic_words
-from crossquote.operators import runs as rn
 
 # ---------------------------------------------------------------- fixed values
 MAX_POOL = 1000
@@ -225,9 +224,8 @@ def daily_pnl(trades: DataFrame, start: Column, end: Column) -> DataFrame:
         F.sum(F.coalesce("realized_pnl", F.lit(0.0))).alias("pnl"))
     days = trades.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("date"))
     dense = days.join(sums, "date", "left").select("date", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
-    runs = rn.sorted_runs(dense, [], ["date"])
-    return rn.scan_sum(runs, [], ["date"], {"total": F.col("pnl")}).select(
-        "date", F.round("pnl", 2).alias("daily_pnl"), F.round("total", 2).alias("cumulative_pnl"))
+    total = F.sum("pnl").over(Window.orderBy("date"))  # one row per day of the report
+    return dense.select("date", F.round("pnl", 2).alias("daily_pnl"), F.round(total, 2).alias("cumulative_pnl"))
 
 
 def cohorts(trades: DataFrame, day: Column) -> DataFrame:

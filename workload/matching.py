@@ -141,7 +141,7 @@ unit AS (SELECT market_id, slot, raw / sqrt(sum(raw * raw) OVER (PARTITION BY ma
 @query("hash_embedding", with_views("v_question", also=_TOKENS) + """
 SELECT market_id, slot, round(coalesce(weight, 0), 6) AS weight FROM unit WHERE weight IS NULL OR weight = weight""")
 def hash_embedding(spark, sf_dir):
-    rows = vf.hash_embed_sparse(view(spark, sf_dir, "v_question"), "market_id", "question", 128)
+    rows = vf.hash_embed_sparse(view(spark, sf_dir, "v_question", spread=True), "market_id", "question", 128)
     return rows.select("market_id", "slot", F.round("weight", 6).alias("weight"))
 
 
@@ -151,7 +151,7 @@ SELECT a.market_id, round(least(1.0, greatest(0.0, coalesce(
    WHERE x.market_id = a.market_id AND y.market_id = a.market_id + 8), 0.0))), 6) AS similarity
 FROM v_question a WHERE EXISTS (SELECT 1 FROM v_question b WHERE b.market_id = a.market_id + 8)""")
 def text_similarity(spark, sf_dir):
-    rows = vf.hash_embed_dense(view(spark, sf_dir, "v_question").select("market_id", "question"),
+    rows = vf.hash_embed_dense(view(spark, sf_dir, "v_question", spread=True).select("market_id", "question"),
                                "market_id", "question", 128)
     other = rows.select((F.col("market_id") - 8).alias("market_id"), F.col("vector").alias("w"))
     return rows.join(other, "market_id").select(

@@ -106,8 +106,7 @@ fin AS (SELECT * FROM hs QUALIFY row_number() OVER (PARTITION BY platform, marke
 SELECT count(*) AS markets, CAST(count_if(status = 'active') AS BIGINT) AS active FROM fin""")
 def market_counts(spark, sf_dir):
     states = replay.latest_state(events(spark, sf_dir))
-    return states.agg(F.count("*").alias("markets")).join(
-        replay.active_markets(states).agg(F.count("*").alias("active")), F.lit(True))
+    return states.agg(F.count("*").alias("markets"), F.count_if(F.col("status") == "active").alias("active"))
 
 
 @query("visible_markets", with_views("v_replay", also=_STATE + """,
@@ -355,7 +354,9 @@ SELECT leg_id, mode, round(fp, 6) AS fill_price, round(fs, 6) AS filled_size, ro
   round(CASE mode WHEN 'optimistic' THEN 0 WHEN 'realistic' THEN slip ELSE slip + abs(fp - slip / 60.0) * fs END, 7) AS slippage_cost,
   CASE WHEN abs(fs - 60.0) < 1e-6 THEN 'filled' ELSE 'partial' END AS leg_status FROM f""")
 def leg_fills(spark, sf_dir):
-    books = view(spark, sf_dir, "v_book").groupBy("leg_id").agg(
+    # merged to price ticks first: a leg's level list is then as short as its tick range
+    ticks = view(spark, sf_dir, "v_book").groupBy("leg_id", "price").agg(F.sum("size").alias("size"))
+    books = ticks.groupBy("leg_id").agg(
         F.collect_list(F.struct("price", "size")).alias("levels"), F.min("price").alias("best_price"))
     legs = books.withColumns({"side": F.lit("buy"), "requested_size": F.lit(60.0), "last_price": F.lit(None).cast("double"),
                               "platform_fee": F.lit(0.0)})
@@ -573,8 +574,10 @@ def last_prices(spark, sf_dir):
 @query("history_array_price", """
 SELECT user_id, round(arg_max(value, ts), 6) AS last FROM events GROUP BY 1""")
 def history_array_price(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        F.collect_list(F.struct(F.col("ts").alias("timestamp"), F.col("value").alias("yes_price"))).alias("h"))
+    at = lambda pick: F.struct(pick("ts").alias("timestamp"), (
+        F.max_by if pick is F.max else F.min_by)("value", "ts").alias("yes_price"))
+    # a stored two-entry history per market, newest first
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array(at(F.max), at(F.min)).alias("h"))
     return rows.select("user_id", F.round(serving.last_price_in(F.col("h"), F.lit(0.5)), 6).alias("last"))
 
 

@@ -42,7 +42,7 @@ _SIG = with_views("v_pair", also=_SIGNALS)
 
 
 def signals(spark, sf_dir):
-    return scoring.score_pairs(view(spark, sf_dir, "v_pair"))
+    return scoring.score_pairs(view(spark, sf_dir, "v_pair", spread=True))
 
 
 @query("spread_direction", _SIG + "SELECT pair_id, raw AS raw_spread, direction, sure AS guaranteed_spread FROM s0")
