@@ -89,8 +89,7 @@ def market_features(markets: DataFrame) -> DataFrame:
 def attach_sides(pairs: DataFrame, markets: DataFrame) -> DataFrame:
     """Pairs (candidate_id, platform_a, id_a, platform_b, id_b, similarity, ...) with structs a, b.
 
-    The market table is joined once per side; store or ``materialize`` costly features before.
-    A market that very many pairs share is split by the adaptive skew join.
+    The market table is joined once per side, and only the features in use are computed. A market that very many pairs share is split by the adaptive skew join.
     """
     packed = markets.select(F.col("platform").alias("_p"), F.col("market_id").alias("_m"),
                             F.struct("*").alias("_s"))

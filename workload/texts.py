@@ -8,7 +8,6 @@ from crossquote.functions import outcomes as oc, text as tx
 from crossquote.functions.templates import MANY_OUTCOMES, RULES, add_template
 from crossquote.operators import clusters
 from crossquote.plans import validation as va
-from crossquote.session import materialize
 from workload.registry import listed, query
 from workload.views import view, with_views
 
@@ -226,8 +225,8 @@ def question_pairs(spark, sf_dir):
 
 
 def checked_pairs(spark, sf_dir):
-    sides = materialize(featured(spark, sf_dir))  # joined twice, computed once
-    return va.contradictions(va.attach_sides(question_pairs(spark, sf_dir), sides))
+    # not materialised: each use then computes only the features it needs
+    return va.contradictions(va.attach_sides(question_pairs(spark, sf_dir), featured(spark, sf_dir)))
 
 
 @query("negation_flags", _QP + """
