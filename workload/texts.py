@@ -117,11 +117,10 @@ def featured(spark, sf_dir):
 
 
 @query("fold_text", """SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS folded_hash
-FROM documents WHERE lang = 'en'""")
+FROM documents""")
 def fold_text(spark, sf_dir):
     from workload.views import table
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", F.sha2(tx.fold("text"), 256).alias("folded_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.fold("text"), 256).alias("folded_hash"))
 
 
 @query("chunks", """
