@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from crossquote.llm import packing
+from crossquote.llm import language, mixing, packing, quality
 
-QUERIES = {"op4_cost_packing": packing.op4_cost_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_language_spans": language.op2_language_spans,
+    "op3_token_fertility": quality.op3_token_fertility,
+    "op4_cost_packing": packing.op4_cost_packing,
+    "op6_weighted_mix": mixing.op6_weighted_mix,
+}
+ORACLES: dict[str, str] = {"op6_weighted_mix": mixing.ORACLE}
