@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from crossquote.llm import language, mixing, packing, quality
+from crossquote.llm import language, mixing, ngram_join, packing, quality, simhash, substrings
 
 QUERIES = {
     "op2_language_spans": language.op2_language_spans,
     "op3_token_fertility": quality.op3_token_fertility,
     "op4_cost_packing": packing.op4_cost_packing,
     "op6_weighted_mix": mixing.op6_weighted_mix,
+    "op8_simhash": simhash.op8_simhash,
+    "op9_super_kmers": substrings.op9_super_kmers,
+    "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+}
+ORACLES: dict[str, str] = {
+    "op6_weighted_mix": mixing.ORACLE,
+    "op9_super_kmers": substrings.ORACLE,
+    "op10_ngram_jaccard": ngram_join.ORACLE,
 }
-ORACLES: dict[str, str] = {"op6_weighted_mix": mixing.ORACLE}
