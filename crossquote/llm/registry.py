@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from crossquote.llm import language, mixing, ngram_join, packing, quality, simhash, substrings
+from crossquote.llm import bloom_lm, language, mixing, ngram_join, packing, quality, simhash, substrings
 
 QUERIES = {
     "op2_language_spans": language.op2_language_spans,
     "op3_token_fertility": quality.op3_token_fertility,
     "op4_cost_packing": packing.op4_cost_packing,
     "op6_weighted_mix": mixing.op6_weighted_mix,
+    "op7_bloom_lm": bloom_lm.op7_bloom_lm,
     "op8_simhash": simhash.op8_simhash,
     "op9_super_kmers": substrings.op9_super_kmers,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
