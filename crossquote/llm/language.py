@@ -26,9 +26,6 @@ SAMPLE = 3_000  # documents per language that the model is fitted on, about
 SWITCH = 8.0
 UNKNOWN = "und"
 RULED_OUT = -50.0
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, spans string"
-ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()),
-                 ("score", pa.float64()), ("spans", pa.string())])
 
 
 def spell(words: list[bytes]) -> list[str]:
@@ -215,7 +212,7 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, spans) per row of ``docs`` (doc_id, text, held_out).
+    """(doc, lang_pred, score, spans) per row of ``docs``, where ``doc`` is a struct of all its columns.
 
     ``lang_pred`` has most letters in the best path, ``score`` is its share of the letters times
     its odds against the second language. ``spans`` lists language:first:end in words. A text that is null
@@ -226,7 +223,7 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = known.value
-        for batch, texts in chunks(batches, size=8 << 20):
+        for batch, texts in chunks(batches, "doc", 8 << 20):
             found: list[tuple] = [(UNKNOWN, 0.0, "")] * len(texts)
             if fitted is not None:
                 table = fitted.table()
@@ -259,12 +256,18 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
                     found[row] = (fitted.langs[best], float(odds * weight[best] / weight.sum()), spans)
             lang, score, spans = zip(*found)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()),
-                pa.array(score, pa.float64()), pa.array(spans, pa.string())], schema=ROW)
+                batch.column("doc"), pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                pa.array(spans, pa.string())], ["doc", "lang_pred", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(label, SCHEMA)
+    whole = docs.select(F.struct("*").alias("doc"))
+    return whole.mapInArrow(label, f"{_ddl(whole)}, lang_pred string, score double, spans string")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
 
 
 def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).withColumn("held_out", id_remainder(4) == 2)
-    return identify(docs, fit(docs.where("not held_out")))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (id_remainder(4) == 2).alias("held_out"))
+    found = identify(docs.drop("lang"), fit(docs.where("not held_out")))
+    return found.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "spans")

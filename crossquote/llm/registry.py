@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from crossquote.llm import bloom_lm, language, mixing, ngram_join, packing, quality, simhash, substrings
+import corpus_pipeline
+from crossquote.llm import (bloom_lm, language, mixing, ngram_join, packing, personal_data, quality, quotations,
+                            simhash, substrings)
 
 QUERIES = {
+    "op1_quotation_links": quotations.op1_quotation_links,
     "op2_language_spans": language.op2_language_spans,
     "op3_token_fertility": quality.op3_token_fertility,
     "op4_cost_packing": packing.op4_cost_packing,
+    "op5_bilstm_pii": personal_data.op5_bilstm_pii,
     "op6_weighted_mix": mixing.op6_weighted_mix,
     "op7_bloom_lm": bloom_lm.op7_bloom_lm,
     "op8_simhash": simhash.op8_simhash,
     "op9_super_kmers": substrings.op9_super_kmers,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_quotation_links": quotations.ORACLE,
     "op6_weighted_mix": mixing.ORACLE,
     "op9_super_kmers": substrings.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,

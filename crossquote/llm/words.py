@@ -31,10 +31,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
            size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``size`` bytes of text each, and their texts (null: empty).
 
-    One text is never cut: a slice holds at least one row, however long.
+    ``text`` names a column of texts, or of structs with a field of that name. One text is never cut: a slice holds at least one row, however long.
     """
     for batch in batches:
         values = batch.column(text)
+        if pa.types.is_struct(values.type):
+            values = values.field("text")
         if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
             values = values.cast(pa.large_binary())
         texts = [v or b"" for v in values.to_pylist()]

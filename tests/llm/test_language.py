@@ -12,6 +12,10 @@ def held(df):
     return df.withColumn("held_out", id_remainder(4) == 2)
 
 
+def found(df, model):
+    return lg.identify(df, model).select("doc.doc_id", "lang_pred", "score", "spans")
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in lg.op2_language_spans(spark, SF).collect()}
@@ -46,13 +50,13 @@ def test_spans_scripts_and_odd_rows(spark, odd, empty):
     model = lg.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     mixed = "the old town and the garden of the house " * 3 + "das haus der alten stadt und dieser garten " * 3
     docs = spark.createDataFrame([(1, mixed), (2, "сад the дом"), (3, "日本")], "doc_id long, text string")
-    got = {r.doc_id: r for r in lg.identify(held(docs), model).collect()}
+    got = {r.doc_id: r for r in found(docs, model).collect()}
     assert got[1].spans == "en:0:27,de:27:51"
     assert got[2].lang_pred == "ru" and got[3].lang_pred in ("en", "de", "ru")
-    rows = {r.doc_id: r for r in lg.identify(held(odd), model).collect()}
+    rows = {r.doc_id: r for r in found(odd, model).collect()}
     assert {rows[i].lang_pred for i in (1, 2, 3)} == {"und"} and rows[1].score == 0
-    assert lg.identify(held(odd), model).count() == odd.count()
-    assert lg.identify(held(empty), model).collect() == []
+    assert found(odd, model).count() == odd.count()
+    assert found(empty, model).collect() == []
     assert lg.fit(empty) is None
-    assert {r.lang_pred for r in lg.identify(held(odd), None).collect()} == {"und"}
+    assert {r.lang_pred for r in found(odd, None).collect()} == {"und"}
     assert lg.fit(odd.withColumn("lang", F.lit(None).cast("string"))) is None
