@@ -75,19 +75,3 @@ def batch_matches(queries: DataFrame, corpus: DataFrame, k: int, by: str = "cosi
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return parts.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
-
-def lsh_pairs(vectors: DataFrame, max_distance: float, *, platform: str = "platform",
-              id_col: str = "market_id", vector: str = "vector", bucket: float = 2.0,
-              tables: int = 3) -> DataFrame:
-    """Approximate cross-platform pairs by Euclidean distance (random projection buckets)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = vectors.select(F.col(platform).alias("platform"), F.col(id_col).cast("string").alias("id"),
-                          array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket,
-                                        numHashTables=tables, seed=7).fit(rows)
-    joined = model.approxSimilarityJoin(rows, rows, max_distance, distCol="distance")
-    return joined.where(F.col("datasetA.platform") < F.col("datasetB.platform")).select(
-        F.col("datasetA.platform").alias("platform_a"), F.col("datasetA.id").alias("id_a"),
-        F.col("datasetB.platform").alias("platform_b"), F.col("datasetB.id").alias("id_b"), "distance")

@@ -54,14 +54,15 @@ def aligned_prices(pairs: DataFrame, hourly: DataFrame) -> DataFrame:
             .select("pair_id", "hour", "price_a", "price_b"))
 
 
-def hourly_spread(pairs: DataFrame, history: DataFrame, as_of: Column) -> DataFrame:
+def hourly_spread(pairs: DataFrame, history: DataFrame, as_of: Column,
+                  lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """(pair_id, hour, spread) with the single-point rules for pairs that share no hour.
 
     ``pairs`` needs pair_id, platform_a, id_a, platform_b, id_b, price_a, price_b. Without a
     common hour the last known prices give one point; without history on a side, the pair's
     own prices do.
     """
-    hourly = _sides(pairs, hourly_last(history, as_of))
+    hourly = _sides(pairs, hourly_last(history, as_of, lookback_days))
     aligned = aligned_prices(pairs, hourly).select(
         "pair_id", "hour", (F.col("price_a") - F.col("price_b")).alias("spread"))
     latest = hourly.groupBy("platform", "market_id").agg(F.max_by("price", "hour").alias("last"))
@@ -193,10 +194,15 @@ def price_correlation(pairs: DataFrame, history: DataFrame, as_of: Column,
                       F.when(enough, valid).otherwise(True).alias("correlation_ok"))
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean over exact decimals: a sum of doubles depends on the order of its rows."""
+    return F.avg(value.cast("decimal(28,12)")).cast("double")
+
+
 def series_summary(aligned: DataFrame) -> DataFrame:
     """Current, mean, min and max spread and mean leg prices per pair."""
     spread = F.abs(F.col("price_a") - F.col("price_b"))
     return aligned.groupBy("pair_id").agg(
-        F.max_by(spread, "hour").alias("current_spread"), F.avg(spread).alias("avg_spread"),
+        F.max_by(spread, "hour").alias("current_spread"), exact_mean(spread).alias("avg_spread"),
         F.min(spread).alias("min_spread"), F.max(spread).alias("max_spread"),
-        F.avg("price_a").alias("avg_price_a"), F.avg("price_b").alias("avg_price_b"))
+        exact_mean(F.col("price_a")).alias("avg_price_a"), exact_mean(F.col("price_b")).alias("avg_price_b"))

@@ -17,7 +17,6 @@ MAX_SECONDS = 24 * 3600
 MIN_INTERVAL_SECONDS = 60
 BASELINE_MIN_EPISODES = 3
 TIME_WEIGHT, SPREAD_WEIGHT = 0.4, 0.6
-READ_LIMIT = 5000
 # ----------------------------------------------------------- end of fixed values
 
 ORDER = ["ts", "seq"]
@@ -30,11 +29,13 @@ def snapshots(rows: DataFrame) -> DataFrame:
 
 
 def read_snapshots(table: DataFrame, pair_id: str, since: Column | None = None,
-                   limit: int = READ_LIMIT) -> DataFrame:
+                   limit: int | None = None) -> DataFrame:
+    """A pair's rows in time order; all of them, or the first ``limit``."""
     rows = table.where(F.col("pair_id") == pair_id)
     if since is not None:
         rows = rows.where(F.col("ts") >= since)
-    return rows.orderBy(*ORDER).limit(limit)
+    rows = rows.orderBy(*ORDER)
+    return rows if limit is None else rows.limit(limit)
 
 
 # ---------------------------------------------------------------- throttle

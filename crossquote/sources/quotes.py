@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,8 @@ def _book(raw: Column, path: str) -> Column:
     def level(item):
         pair = F.from_json(item, "array<double>")
         return F.struct(
-            F.coalesce(_json(item, "price").cast("double"), F.get(pair, F.lit(0))).alias("price"),
-            F.coalesce(_json(item, "size").cast("double"), F.get(pair, F.lit(1))).alias("size"))
+            F.coalesce(_json(item, "price").try_cast("double"), F.get(pair, F.lit(0))).alias("price"),
+            F.coalesce(_json(item, "size").try_cast("double"), F.get(pair, F.lit(1))).alias("size"))
 
     return F.coalesce(F.transform_values(text, lambda k, v: F.transform(v, level)),
                       F.create_map().cast(_LEVELS))
@@ -74,8 +75,11 @@ def _prices(raw: Column, path: str) -> Column:
     return F.coalesce(_typed(raw, path, _PRICES), F.create_map().cast(_PRICES))
 
 
-def _finish(df: DataFrame, **cols: Column) -> DataFrame:
-    """Common output columns; records without a readable time are left out by the caller's split."""
+def _finish(df: DataFrame, numbers: tuple[str, ...], **cols: Column) -> DataFrame:
+    """Common output columns, and ``raw`` and ``readable`` for the caller's split.
+
+    A record is readable if its time is, and each of the ``numbers`` (JSON paths) that it gives.
+    """
     defaults = {"event_type": F.lit("market_updated"), "resolution_outcome": F.lit(None).cast("string"),
                 "resolution_value": F.lit(None).cast("double"),
                 "trade_outcome": F.lit(None).cast("string"), "trade_price": F.lit(None).cast("double")}
@@ -84,8 +88,12 @@ def _finish(df: DataFrame, **cols: Column) -> DataFrame:
              "resolution_value", "trade_outcome", "trade_price"]
     fallback = F.substring(F.sha2(F.concat_ws("|", "raw", F.col("seq").cast("string")), 256), 1, 32)
     given = cols.pop("event_id", F.lit(None).cast("string"))
+    readable = cols["ts"].isNotNull()
+    for path in numbers:
+        value = _json(F.col("raw"), path)
+        readable = readable & (value.isNull() | value.try_cast("double").isNotNull())
     return df.select(F.coalesce(given, fallback).alias("event_id"),
-                     *[cols[n].alias(n) for n in names], "seq")
+                     *[cols[n].alias(n) for n in names], "seq", "raw", readable.alias("readable"))
 
 
 def normalise_generic(records: DataFrame) -> DataFrame:
@@ -100,10 +108,10 @@ def normalise_generic(records: DataFrame) -> DataFrame:
         F.coalesce(_typed(raw, "data.outcomes", "array<string>"), empty).alias("outcomes"),
         _prices(raw, "data.best_bid").alias("best_bid"), _prices(raw, "data.best_ask").alias("best_ask"),
         _prices(raw, "data.last_traded").alias("last_traded"), _book(raw, "data.bids").alias("bids"),
-        _book(raw, "data.asks").alias("asks"), F.coalesce(d("fees").cast("double"), F.lit(0.0)).alias("fees"),
+        _book(raw, "data.asks").alias("asks"), F.coalesce(d("fees").try_cast("double"), F.lit(0.0)).alias("fees"),
         _status(d("status")).alias("status"), parse_time(d("close_time")).alias("close_time"))
     return _finish(
-        records, event_id=_json(raw, "event_id"), event_type=kind,
+        records, ("data.fees", "data.resolution_value", "data.price"), event_id=_json(raw, "event_id"), event_type=kind,
         platform=F.coalesce(_json(raw, "platform"), F.lit("unknown")),
         market_id=F.coalesce(_json(raw, "market_id"), F.lit("")), ts=parse_time(_json(raw, "timestamp")),
         snapshot=F.when(kind.isin(SNAPSHOT_EVENTS), snapshot).cast(SNAPSHOT),
@@ -128,10 +136,10 @@ def normalise_tokens(records: DataFrame) -> DataFrame:
         F.transform_values("_p", lambda k, v: F.least(F.lit(ASK_CEILING), v + HALF_SPREAD)).alias("best_ask"),
         F.col("_p").alias("last_traded"), F.create_map().cast(_LEVELS).alias("bids"),
         F.create_map().cast(_LEVELS).alias("asks"),
-        (F.coalesce(_json(raw, "fee_rate_bps").cast("double"), F.lit(TOKEN_FEE_BPS)) / 10_000).alias("fees"),
+        (F.coalesce(_json(raw, "fee_rate_bps").try_cast("double"), F.lit(TOKEN_FEE_BPS)) / 10_000).alias("fees"),
         F.lit("active").alias("status"), parse_time(_json(raw, "end_date_iso")).alias("close_time"))
     filled = lambda p: F.nullif(_json(raw, p), F.lit(""))
-    return _finish(staged, platform=F.lit("polymarket"), snapshot=snapshot.cast(SNAPSHOT),
+    return _finish(staged, ("fee_rate_bps",), platform=F.lit("polymarket"), snapshot=snapshot.cast(SNAPSHOT),
                    market_id=F.coalesce(filled("condition_id"), _json(raw, "id"), F.lit("")),
                    ts=parse_time(F.coalesce(filled("update_time"), _json(raw, "timestamp"))))
 
@@ -139,7 +147,7 @@ def normalise_tokens(records: DataFrame) -> DataFrame:
 def normalise_cents(records: DataFrame) -> DataFrame:
     """Records quoting Yes in cents; No is the complement of the opposite side."""
     raw = F.col("raw")
-    cents = lambda p: F.coalesce(_json(raw, p).cast("double"), F.lit(0.0)) / 100.0
+    cents = lambda p: F.coalesce(_json(raw, p).try_cast("double"), F.lit(0.0)) / 100.0
     staged = records.withColumn("_b", cents("yes_bid")).withColumn("_a", cents("yes_ask"))
     bid, ask = F.col("_b"), F.col("_a")
     two = lambda yes, no: F.create_map(F.lit("Yes"), yes, F.lit("No"), no)
@@ -151,11 +159,11 @@ def normalise_cents(records: DataFrame) -> DataFrame:
         two(bid, no_bid).alias("best_bid"), two(ask, no_ask).alias("best_ask"),
         two((bid + ask) / 2, (no_bid + no_ask) / 2).alias("last_traded"),
         F.create_map().cast(_LEVELS).alias("bids"), F.create_map().cast(_LEVELS).alias("asks"),
-        (F.coalesce(_json(raw, "fee_rate_bps").cast("double"), F.lit(CENTS_FEE_BPS)) / 10_000).alias("fees"),
+        (F.coalesce(_json(raw, "fee_rate_bps").try_cast("double"), F.lit(CENTS_FEE_BPS)) / 10_000).alias("fees"),
         _status(_json(raw, "status")).alias("status"),
         parse_time(_json(raw, "expiration_time")).alias("close_time"))
     filled = lambda p: F.nullif(_json(raw, p), F.lit(""))
-    return _finish(staged, platform=F.lit("kalshi"), snapshot=snapshot.cast(SNAPSHOT),
+    return _finish(staged, ("yes_bid", "yes_ask", "fee_rate_bps"), platform=F.lit("kalshi"), snapshot=snapshot.cast(SNAPSHOT),
                    market_id=F.coalesce(filled("ticker"), _json(raw, "market_id"), F.lit("")),
                    ts=parse_time(F.coalesce(filled("last_price_time"), _json(raw, "timestamp"))))
 
@@ -167,7 +175,8 @@ NORMALISERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def normaliser(source: str) -> Callable[[DataFrame], DataFrame]:
     """Case-insensitive lookup; unknown names use the generic form."""
-    return NORMALISERS.get(source.lower(), normalise_generic)
+    chosen = NORMALISERS.get(source.lower(), normalise_generic)
+    return lambda records: chosen(records).drop("raw", "readable")
 
 
 # ---------------------------------------------------------------- readers
@@ -228,8 +237,8 @@ def _suffixes(spark: SparkSession, path: str) -> list[str]:
                        .option("pathGlobFilter", f"*{suffix}").load(path).select("path"))
             if listing.limit(1).count():
                 found.append(suffix)
-        except Exception as error:  # noqa: BLE001 - a missing path is an empty source
-            if "PATH_NOT_FOUND" not in str(error):
+        except AnalysisException as error:  # a missing path is an empty source
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
     return found
 
@@ -237,7 +246,7 @@ def _suffixes(spark: SparkSession, path: str) -> list[str]:
 def load_events(spark: SparkSession, path: str, source: str = "generic") -> tuple[DataFrame, DataFrame]:
     """All .json, .jsonl and .csv files below a path as (events, quarantined raw records).
 
-    A missing path gives empty tables. Records whose time cannot be read are quarantined.
+    A missing path gives empty tables. Records with an unreadable time or number are quarantined.
     """
     good = bad = None
     for suffix in _suffixes(spark, path):
@@ -250,8 +259,12 @@ def load_events(spark: SparkSession, path: str, source: str = "generic") -> tupl
 
 
 def split_events(records: DataFrame, bad: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    events = normaliser(source)(records)
-    return events.where(F.col("ts").isNotNull()), bad.select("raw")
+    """(events, quarantined raw records): each record is in one of them."""
+    events = NORMALISERS.get(source.lower(), normalise_generic)(records)
+    if "readable" not in events.columns:  # a user's own normaliser
+        return events, bad.select("raw")
+    return (events.where("readable").drop("raw", "readable"),
+            bad.select("raw").unionByName(events.where("not readable").select("raw")))
 
 
 def events_from_records(spark: SparkSession, records: Iterable[str], source: str = "generic") -> DataFrame:

@@ -17,6 +17,9 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from crossquote.plans.decay import CLOSE_BELOW, MAX_SECONDS, MIN_INTERVAL_SECONDS, OPEN_ABOVE
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def unique_events(stream: DataFrame, delay: str = "10 minutes", key: str = "event_id") -> DataFrame:
     """First arrival per id within the watermark; later or too late copies are dropped."""
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
@@ -176,8 +179,14 @@ def fresh_pairs(pairs: DataFrame, tolerance: str = "7 days") -> DataFrame:
 def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str,
                mode: str = "append"):
     """Start a query that hands every micro-batch to ``write`` and stops when input is used up."""
-    return (stream.writeStream.outputMode(mode).foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    conf, kind = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    given = conf.get(kind)
+    conf.set(kind, STATE_STORE)  # per-key state of several columns needs it; a query keeps what it started with
+    try:
+        return (stream.writeStream.outputMode(mode).foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.set(kind, given)
 
 
 def upsert_sink(table) -> Callable[[DataFrame, int], None]:

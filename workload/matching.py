@@ -100,10 +100,10 @@ def knn_filtered(spark, sf_dir):
 @query("knn_batch", with_views("v_vec") + f"""
 SELECT CAST(q.market_id AS VARCHAR) AS query_id, CAST(v.market_id AS VARCHAR) AS id, round({_COS}, 6) AS score,
        row_number() OVER (PARTITION BY q.market_id ORDER BY round({_COS}, 12) DESC, CAST(v.market_id AS VARCHAR)) AS rank
-FROM v_vec q JOIN v_vec v ON true WHERE q.label = 4 QUALIFY rank <= 5""")
+FROM v_vec q JOIN v_vec v ON true QUALIFY rank <= 5""")
 def knn_batch(spark, sf_dir):
     v = view(spark, sf_dir, "v_vec")
-    found = neighbours.batch_matches(v.where("label = 4"), v, 5, id_col="market_id")
+    found = neighbours.batch_matches(v, v, 5, id_col="market_id")
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -222,11 +222,6 @@ def pair_membership(spark, sf_dir):
     return serving.pair_membership(rows, pair_table(spark, sf_dir))
 
 
-@query("lsh_pairs")
-def lsh_pairs(spark, sf_dir):
-    return neighbours.lsh_pairs(view(spark, sf_dir, "v_vec"), 1.18)
-
-
 @query("questions_per_platform", with_views("v_question") + "SELECT platform, count(*) AS n FROM v_question GROUP BY 1")
 def questions_per_platform(spark, sf_dir):
     return markets.questions_per_market(view(spark, sf_dir, "v_question"))

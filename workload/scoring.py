@@ -170,19 +170,18 @@ def funnel(spark, sf_dir):
                           executable=validated(spark, sf_dir).where("executable"))
 
 
-@query("live_lookup", """
-WITH ticks AS (SELECT event_type, arg_max(least(value / 500.0, 1.0), (ts, event_id)) AS live FROM events GROUP BY 1),
-liq AS (SELECT event_type, sum(value) AS liquidity FROM events WHERE event_type <> 'error' GROUP BY 1)
-SELECT a.event_type AS id_a, b.event_type AS id_b, round(x.live, 6) AS live_a, round(y.live, 6) AS live_b,
+@query("live_lookup", with_views("v_price", also="""
+ticks AS (SELECT market_id, topic, any_value(platform) AS platform, arg_max(yes_price, (ts, seq)) AS live FROM v_price GROUP BY 1, 2),
+liq AS (SELECT concat(event_type, '-', user_id % 2) AS market_id, sum(value) AS liquidity FROM events WHERE event_type <> 'error' GROUP BY 1)""") + """
+SELECT x.market_id AS id_a, y.market_id AS id_b, round(x.live, 6) AS live_a, round(y.live, 6) AS live_b,
   round(coalesce(la.liquidity, 0), 2) AS liquidity_a, round(coalesce(lb.liquidity, 0), 2) AS liquidity_b
-FROM (SELECT DISTINCT event_type FROM events WHERE event_type IN ('view', 'click')) a
-JOIN (SELECT DISTINCT event_type FROM events WHERE event_type NOT IN ('view', 'click')) b ON true
-LEFT JOIN ticks x ON x.event_type = a.event_type LEFT JOIN ticks y ON y.event_type = b.event_type
-LEFT JOIN liq la ON la.event_type = a.event_type LEFT JOIN liq lb ON lb.event_type = b.event_type""")
+FROM ticks x JOIN ticks y ON x.topic = y.topic AND x.platform = 'alpha' AND y.platform = 'beta'
+LEFT JOIN liq la ON la.market_id = x.market_id LEFT JOIN liq lb ON lb.market_id = y.market_id""")
 def live_lookup(spark, sf_dir):
     history = view(spark, sf_dir, "v_price")
     pairs = price_pairs(spark, sf_dir)
-    liquidity = history.where("market_id <> 'error'").join(
+    # the error markets stand for markets without known liquidity
+    liquidity = history.where("market_id NOT LIKE 'error-%'").join(
         spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "value"), "seq") \
         .groupBy("platform", "market_id").agg(F.sum("value").alias("liquidity"))
     out = live.attach_live(pairs, live.latest_prices(history), liquidity)
@@ -194,21 +193,22 @@ def live_lookup(spark, sf_dir):
 # ---------------------------------------------------------------- price series
 
 def price_pairs(spark, sf_dir):
-    """Every alpha market against every beta market of the price view (a handful of pairs)."""
+    """Alpha and beta markets on the same topic."""
     history = view(spark, sf_dir, "v_price")
-    last = live.latest_prices(history)
+    last = live.latest_prices(history).withColumn("topic", F.substring_index("market_id", "-", -1))
     side = lambda p, s: last.where(F.col("platform") == p).select(
-        F.lit(1).alias("k"), F.col("platform").alias(f"platform_{s}"), F.col("market_id").alias(f"id_{s}"),
+        "topic", F.col("platform").alias(f"platform_{s}"), F.col("market_id").alias(f"id_{s}"),
         F.col("live_price").alias(f"price_{s}"))
-    pairs = side("alpha", "a").join(side("beta", "b"), "k").drop("k")
+    pairs = side("alpha", "a").join(side("beta", "b"), "topic").drop("topic")
     return pairs.withColumn("pair_id", F.concat_ws("~", "id_a", "id_b"))
 
 
 _PRICE = """recent AS (SELECT * FROM v_price WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 30 DAY),
-hr AS (SELECT platform, market_id, date_trunc('hour', ts) AS hour, arg_max(yes_price, (ts, seq)) AS price, count(*) AS points
-  FROM recent GROUP BY 1, 2, 3),
+hr AS (SELECT platform, market_id, topic, date_trunc('hour', ts) AS hour, arg_max(yes_price, (ts, seq)) AS price, count(*) AS points
+  FROM recent GROUP BY ALL),
+
 al AS (SELECT concat(a.market_id, '~', b.market_id) AS pair_id, a.hour, a.price AS pa, b.price AS pb, a.price - b.price AS spread
-  FROM hr a JOIN hr b ON a.hour = b.hour WHERE a.platform = 'alpha' AND b.platform = 'beta')"""
+  FROM hr a JOIN hr b ON a.hour = b.hour AND a.topic = b.topic WHERE a.platform = 'alpha' AND b.platform = 'beta')"""
 _SERIES = with_views("v_price", also=_PRICE)
 
 
@@ -221,16 +221,15 @@ def hourly_spread(spark, sf_dir):
     return spreads(spark, sf_dir).select("pair_id", micros("hour").alias("hour_us"), F.round("spread", 6).alias("spread"))
 
 
-@query("hourly_spread_single", with_views("v_price", also="""early AS (SELECT * FROM v_price WHERE platform = 'alpha' AND hour(ts) < 12),
-late AS (SELECT * FROM v_price WHERE platform = 'beta' AND hour(ts) >= 12),
-a AS (SELECT market_id, arg_max(yes_price, (ts, seq)) AS last FROM early GROUP BY 1),
-b AS (SELECT market_id, arg_max(yes_price, (ts, seq)) AS last FROM late GROUP BY 1)""") + """
-SELECT concat(a.market_id, '~', b.market_id) AS pair_id, round(a.last - b.last, 6) AS spread FROM a JOIN b ON true""")
+@query("hourly_spread_single", with_views("v_price", also="""odd AS (SELECT *, ts - CASE WHEN platform = 'beta' THEN INTERVAL 1 YEAR ELSE INTERVAL 0 DAY END AS shifted FROM v_price),
+last AS (SELECT platform, market_id, topic, arg_max(yes_price, (ts, seq)) AS last FROM odd GROUP BY ALL)""") + """
+SELECT concat(a.market_id, '~', b.market_id) AS pair_id, round(a.last - b.last, 6) AS spread FROM last a JOIN last b ON a.topic = b.topic
+WHERE a.platform = 'alpha' AND b.platform = 'beta'""")
 def hourly_spread_single(spark, sf_dir):
-    h = F.hour("ts")
-    rows = view(spark, sf_dir, "v_price").where(
-        ((F.col("platform") == "alpha") & (h < 12)) | ((F.col("platform") == "beta") & (h >= 12)))
-    out = series.hourly_spread(price_pairs(spark, sf_dir), rows, F.lit("2024-01-30 23:00:00").cast("timestamp"))
+    """All beta quotes moved a year back, so that no pair shares an hour."""
+    rows = view(spark, sf_dir, "v_price")
+    moved = rows.withColumn("ts", F.when(F.col("platform") == "beta", F.col("ts") - F.expr("interval 1 year")).otherwise(F.col("ts")))
+    out = series.hourly_spread(price_pairs(spark, sf_dir), moved, F.lit("2024-01-30 23:00:00").cast("timestamp"), lookback_days=1000)
     return out.select("pair_id", F.round("spread", 6).alias("spread"))
 
 
@@ -306,9 +305,9 @@ def price_correlation(spark, sf_dir):
 
 
 @query("series_summary", _SERIES + """
-SELECT pair_id, round(arg_max(abs(spread), hour), 6) AS current_spread, round(avg(abs(spread)), 6) AS avg_spread,
-  round(min(abs(spread)), 6) AS min_spread, round(max(abs(spread)), 6) AS max_spread, round(avg(pa), 6) AS avg_price_a,
-  round(avg(pb), 6) AS avg_price_b FROM al GROUP BY 1""")
+SELECT pair_id, round(arg_max(abs(spread), hour), 6) AS current_spread, round(avg(CAST(abs(spread) AS DECIMAL(28, 12))), 6) AS avg_spread,
+  round(min(abs(spread)), 6) AS min_spread, round(max(abs(spread)), 6) AS max_spread, round(avg(CAST(pa AS DECIMAL(28, 12))), 6) AS avg_price_a,
+  round(avg(CAST(pb AS DECIMAL(28, 12))), 6) AS avg_price_b FROM al GROUP BY 1""")
 def series_summary(spark, sf_dir):
     hourly = series.hourly_last(view(spark, sf_dir, "v_price"), as_of())
     out = series.series_summary(series.aligned_prices(price_pairs(spark, sf_dir), hourly))
@@ -324,10 +323,10 @@ def convergence_model(spark, sf_dir):
 
 # ---------------------------------------------------------------- decay
 
-_ASOF = """pr AS (SELECT a.market_id AS ia, b.market_id AS ib FROM (SELECT DISTINCT market_id FROM v_price WHERE platform = 'alpha') a
-  JOIN (SELECT DISTINCT market_id FROM v_price WHERE platform = 'beta') b ON true),
+_ASOF = """pr AS (SELECT a.topic, a.market_id AS ia, b.market_id AS ib FROM (SELECT DISTINCT topic, market_id FROM v_price WHERE platform = 'alpha') a
+  JOIN (SELECT DISTINCT topic, market_id FROM v_price WHERE platform = 'beta') b ON a.topic = b.topic),
 tk AS (SELECT concat(ia, '~', ib) AS pair_id, v.ts, v.seq, CASE WHEN v.market_id = ia THEN yes_price END AS xa,
-  CASE WHEN v.market_id = ib THEN yes_price END AS xb FROM v_price v JOIN pr ON v.market_id = ia OR v.market_id = ib),
+  CASE WHEN v.market_id = ib THEN yes_price END AS xb FROM v_price v JOIN pr ON v.topic = pr.topic AND (v.market_id = ia OR v.market_id = ib)),
 ff AS (SELECT pair_id, ts, seq, last_value(xa IGNORE NULLS) OVER w AS pa, last_value(xb IGNORE NULLS) OVER w AS pb FROM tk
   WINDOW w AS (PARTITION BY pair_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
 sn AS (SELECT pair_id, ts, seq, round(pa - pb, 6) AS raw, round(abs(pa - pb), 6) AS absd FROM ff WHERE pa IS NOT NULL AND pb IS NOT NULL)"""
@@ -345,10 +344,9 @@ def snapshot_rows(spark, sf_dir):
 
 
 @query("read_snapshots", _SNAP + """
-SELECT epoch_us(ts) AS us, seq, raw AS raw_spread FROM sn WHERE pair_id = 'view~purchase' AND ts >= TIMESTAMP '2024-01-05'
-ORDER BY ts, seq LIMIT 5000""")
+SELECT epoch_us(ts) AS us, seq, raw AS raw_spread FROM sn WHERE pair_id = 'view-1~purchase-1' AND ts >= TIMESTAMP '2024-01-05'""")
 def read_snapshots(spark, sf_dir):
-    rows = decay.read_snapshots(pair_snapshots(spark, sf_dir), "view~purchase", F.lit("2024-01-05").cast("timestamp"))
+    rows = decay.read_snapshots(pair_snapshots(spark, sf_dir), "view-1~purchase-1", F.lit("2024-01-05").cast("timestamp"))
     return rows.select(micros("ts").alias("us"), "seq", "raw_spread")
 
 

@@ -56,13 +56,16 @@ def stream_latest(spark, sf_dir):
     return table.read().select("market_id", micros("ts").alias("us"), F.round("yes_price", 6).alias("yes_price"))
 
 
-@query("stream_hourly_spread", with_views("v_price", also="""hr AS (SELECT platform, market_id, date_trunc('hour', ts) AS hour, arg_max(yes_price, (ts, seq)) AS price FROM v_price GROUP BY 1, 2, 3),
-wm AS (SELECT max(ts) - INTERVAL 2 HOUR AS t FROM v_price)""") + """
+@query("stream_hourly_spread", with_views("v_price", also="""hr AS (SELECT platform, market_id, topic, date_trunc('hour', ts) AS hour, arg_max(yes_price, (ts, seq)) AS price FROM v_price GROUP BY ALL)""") + """
 SELECT concat(a.market_id, '~', b.market_id) AS pair_id, epoch_us(a.hour) AS hour_us, round(a.price - b.price, 6) AS spread
-FROM hr a JOIN hr b ON a.hour = b.hour, wm WHERE a.platform = 'alpha' AND b.platform = 'beta' AND a.hour + INTERVAL 1 HOUR <= t""")
+FROM hr a JOIN hr b ON a.hour = b.hour AND a.topic = b.topic WHERE a.platform = 'alpha' AND b.platform = 'beta'""")
 def stream_hourly_spread(spark, sf_dir):
+    """Update mode: an hour is written again while it grows, so the last hours are there too."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table = KeyedTable(spark, f"{base}/table", ["pair_id", "hour"], buckets=4)
     out = sq.hourly_spreads(price_stream(spark, sf_dir), sc.price_pairs(spark, sf_dir))
-    return run_to_files(spark, out).select("pair_id", micros("hour").alias("hour_us"), F.round("spread", 6).alias("spread"))
+    sq.each_batch(out, sq.upsert_sink(table), f"{base}/state", "update").awaitTermination()
+    return table.read().select("pair_id", micros("hour").alias("hour_us"), F.round("spread", 6).alias("spread"))
 
 
 def snapshot_stream(spark, sf_dir):

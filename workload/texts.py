@@ -146,12 +146,11 @@ def date_features(spark, sf_dir):
 
 
 @query("threshold_features", with_views("v_rich", also=FEATURES) + """
-SELECT market_id, CAST(len(thresholds) AS BIGINT) AS n, round(list_sum(thresholds), 2) AS total, round(t1, 2) AS first FROM ranked
-WHERE len(thresholds) > 0""")
+SELECT market_id, CAST(len(thresholds) AS BIGINT) AS n, round(coalesce(list_sum(thresholds), 0), 2) AS total, round(t1, 2) AS first FROM ranked""")
 def threshold_features(spark, sf_dir):
     rows = view(spark, sf_dir, "v_rich", spread=True).select("market_id", tx.thresholds(
         F.concat_ws(" ", "question", F.nullif(F.col("description"), F.lit("")))).alias("t"))
-    return rows.where(F.size("t") > 0).select(
+    return rows.select(
         "market_id", F.size("t").cast("long").alias("n"),
         F.round(F.aggregate("t", F.lit(0.0), lambda a, x: a + x), 2).alias("total"),
         F.round(F.get("t", F.lit(0)), 2).alias("first"))
@@ -369,17 +368,19 @@ def event_edges(spark, sf_dir):
 
 
 _WALK = """nodes AS (SELECT id_a AS n FROM v_edge UNION SELECT id_b FROM v_edge),
-links AS (SELECT id_a AS u, id_b AS v FROM v_edge UNION SELECT id_b, id_a FROM v_edge),
-reach AS (SELECT n, n AS r FROM nodes UNION SELECT reach.n, links.v FROM reach JOIN links ON links.u = reach.r)"""
+links AS MATERIALIZED (SELECT id_a AS u, id_b AS v FROM v_edge UNION SELECT id_b, id_a FROM v_edge),
+reach(n, r) USING KEY (n) AS (SELECT n, n FROM nodes
+  UNION (SELECT links.v, min(reach.r) FROM reach JOIN links ON links.u = reach.n JOIN recurring.reach AS known ON known.n = links.v
+         WHERE reach.r < known.r GROUP BY links.v))"""
 
 
-@query("clusters", with_views("v_edge", also=_WALK) + "SELECT n AS node, min(r) AS component FROM reach GROUP BY 1")
+@query("clusters", with_views("v_edge", also=_WALK) + "SELECT n AS node, r AS component FROM reach")
 def cluster_nodes(spark, sf_dir):
     return clusters.connected_components(view(spark, sf_dir, "v_edge"))
 
 
-@query("cluster_sizes", with_views("v_edge", also=_WALK + ", c AS (SELECT n, min(r) AS component FROM reach GROUP BY 1)")
-       + "SELECT component, count(*) AS members FROM c GROUP BY 1")
+@query("cluster_sizes", with_views("v_edge", also=_WALK)
+       + "SELECT r AS component, count(*) AS members FROM reach GROUP BY 1")
 def cluster_sizes(spark, sf_dir):
     return clusters.event_clusters(view(spark, sf_dir, "v_edge"))
 

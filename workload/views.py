@@ -42,7 +42,8 @@ SELECT market_id, platform, question, price, close_time,
 FROM (v_question_text) q""",
     "v_price": """
 SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'alpha' ELSE 'beta' END AS platform,
-       event_type AS market_id, CAST(ts AS TIMESTAMP) AS ts, least(value / 500.0, 1.0) AS yes_price
+       concat(event_type, '-', CAST(user_id % 2 AS STRING)) AS market_id, user_id % 2 AS topic,
+       CAST(ts AS TIMESTAMP) AS ts, least(value / 500.0, 1.0) AS yes_price
 FROM {events}""",
     "v_replay": """
 SELECT event_id AS seq, CASE user_id % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END AS platform,
@@ -76,8 +77,9 @@ SELECT o_orderkey AS basket_id, o_totalprice / 1000.0 AS locked_capital,
        o_orderpriority AS arb_type, o_orderstatus AS fill_status
 FROM {orders}""",
     "v_edge": """
-SELECT DISTINCT l_suppkey AS id_a, l_partkey + 1000000 AS id_b
-FROM {lineitem} WHERE l_quantity < 2.0 AND l_partkey % 11 = 0""",
+SELECT DISTINCT CASE WHEN l_linenumber > 1 THEN l_suppkey ELSE l_orderkey + 2000000000 END AS id_a,
+       l_partkey * 8 + l_linenumber + 1000000 AS id_b
+FROM {lineitem}""",
 }
 
 VIEWS["v_rich"] = VIEWS["v_rich"].replace("v_question_text", VIEWS["v_question"])
