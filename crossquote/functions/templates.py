@@ -45,7 +45,6 @@ RULES = [
 UNKNOWN = ("unknown", 0.5)
 MANY_OUTCOMES = ("multi_outcome_exhaustive", 0.6, "outcome_count > 3")
 SECONDARY_MIN = 0.5
-MAX_PATTERNS = 5
 # ----------------------------------------------------------- end of fixed values
 
 
@@ -68,7 +67,7 @@ def _matched(best: Column) -> Column:
     names = F.array(*[F.array(*map(F.lit, p)) for _, _, p in RULES], F.array(F.lit(MANY_OUTCOMES[2])))
     listed = F.transform(F.get(names, best["rank"]), lambda p, i: F.when(
         F.call_function("shiftright", best["hits"], i).bitwiseAND(F.lit(1)) == 1, p))
-    return F.slice(F.filter(listed, lambda p: p.isNotNull()), 1, MAX_PATTERNS)
+    return F.filter(listed, lambda p: p.isNotNull())
 
 
 def add_template(df: DataFrame, question: str = "question", description: str = "description",

@@ -85,7 +85,6 @@ COMPARATOR_PATTERNS = [
     ("==", r"\bexactly\b|\bequal to\b"),
 ]
 
-MAX_ENTITIES = 10
 # ----------------------------------------------------------- end of fixed values
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -182,12 +181,14 @@ def normalise_entity(entity) -> Column:
     return bind(clean, lambda c: F.coalesce(F.try_element_at(aliases, c), c))
 
 
-def entities(text) -> Column:
+def entities(text, most: int | None = None) -> Column:
+    """Named entities in order of appearance; all of them, or the first ``most``."""
     raw = F.concat(*[matches(text, p, 1, flags="U") for p in ENTITY_PATTERNS])
     trimmed = F.filter(F.transform(raw, F.trim), lambda e: F.length(e) > 1)
     named = F.filter(F.transform(trimmed, normalise_entity), lambda e: (F.length(e) > 1) & ~(
         F.split_part(e, F.lit(" "), F.lit(1)).isin(NON_ENTITY_FIRST_WORDS)))
-    return F.slice(F.array_distinct(named), 1, MAX_ENTITIES)
+    found = F.array_distinct(named)
+    return found if most is None else F.slice(found, 1, most)
 
 
 def jurisdiction(text) -> Column:

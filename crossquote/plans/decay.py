@@ -151,7 +151,12 @@ def episodes(rows: DataFrame, open_above: float = OPEN_ABOVE, close_below: float
     ``close_below`` (closed) or changes sign (reversed); after ``max_seconds`` it is expired and
     later rows do not count. Everything after the marking is a keyed aggregate.
     """
-    marked = mark_episodes(rows, open_above, close_below).where(F.col("episode_no") > 0)
+    return episodes_of(mark_episodes(rows, open_above, close_below), close_below, max_seconds)
+
+
+def episodes_of(marked: DataFrame, close_below: float = CLOSE_BELOW, max_seconds: float = MAX_SECONDS) -> DataFrame:
+    """The episodes of rows that ``mark_episodes`` has marked."""
+    marked = marked.where(F.col("episode_no") > 0)
     keys = ["pair_id", "episode_no"]
     at = F.struct(*ORDER)
     opened = marked.groupBy(*keys).agg(
@@ -187,20 +192,23 @@ def episodes(rows: DataFrame, open_above: float = OPEN_ABOVE, close_below: float
         .alias("duration_seconds"), "status", "snapshot_count")
 
 
-def episode_metrics(rows: DataFrame, found: DataFrame, max_seconds: float = MAX_SECONDS) -> DataFrame:
-    """Decay, velocity, persistence and half-life per episode.
+def episode_metrics(marked: DataFrame, found: DataFrame, max_seconds: float = MAX_SECONDS) -> DataFrame:
+    """Decay, velocity, persistence and half-life per episode. ``marked`` are the rows of ``mark_episodes``.
 
     percent_decay is the share of the peak that is gone; velocity the spread change per hour;
     persistence blends elapsed time with the remaining share of the opening spread; half-life
     is the time from the peak to the first snapshot at or below half of it.
     """
-    span = found.select("pair_id", "episode_no", "start_time", "peak_time", "peak_spread",
+    keys = ["pair_id", "episode_no"]
+    span = found.select(*keys, "peak_time", "peak_spread",
                         F.coalesce("end_time", F.lit("9999-12-31").cast("timestamp")).alias("_to"))
-    halved = (rows.join(span, "pair_id")
+    halved = (marked.join(span, keys)
               .where((F.col("ts") >= F.col("peak_time")) & (F.col("ts") <= F.col("_to"))
                      & (F.abs("raw_spread") <= F.col("peak_spread") / 2))
-              .groupBy("pair_id", "episode_no").agg(F.min("ts").alias("_half")))
-    joined = found.join(halved, ["pair_id", "episode_no"], "left")
+              .groupBy(*keys).agg(F.min("ts").alias("_seen_half")))
+    # the row that reverses an episode carries the number of the next one
+    closing = F.when(F.col("closing_spread") <= F.col("peak_spread") / 2, F.col("end_time"))
+    joined = found.join(halved, keys, "left").withColumn("_half", F.least("_seen_half", closing))
     seconds = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6)
     last = F.coalesce("closing_spread", "current_spread")
     clamp = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
@@ -216,16 +224,16 @@ def episode_metrics(rows: DataFrame, found: DataFrame, max_seconds: float = MAX_
         seconds("_half", "peak_time").alias("half_life_seconds"), "start_time", "snapshot_count")
 
 
-def decay_after(rows: DataFrame, found: DataFrame, minutes: tuple[int, ...] = (5, 15, 30)) -> DataFrame:
+def decay_after(marked: DataFrame, found: DataFrame, minutes: tuple[int, ...] = (5, 15, 30)) -> DataFrame:
     """(pair_id, episode_no, decay_5m, ...): share of the opening spread gone after so many minutes.
 
-    Null when the episode ended earlier.
+    Null when the episode ended earlier. ``marked`` are the rows of ``mark_episodes``; only rows of
+    the episode itself count, which are all there are before its end.
     """
     later = lambda m: F.col("start_time") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(m))
     span = found.where(F.col("end_time").isNotNull()).select(
         "pair_id", "episode_no", "start_time", "end_time", "opening_spread")
-    seen = rows.join(span, "pair_id").where(
-        (F.col("ts") >= F.col("start_time")) & (F.col("ts") <= later(max(minutes))))
+    seen = marked.join(span, ["pair_id", "episode_no"]).where(F.col("ts") <= later(max(minutes)))
     at = F.struct(*ORDER)
     decay = lambda m: F.when(
         F.max(F.col("end_time") >= later(m)),
@@ -233,7 +241,7 @@ def decay_after(rows: DataFrame, found: DataFrame, minutes: tuple[int, ...] = (5
     return seen.groupBy("pair_id", "episode_no").agg(*[decay(m).alias(f"decay_{m}m") for m in minutes])
 
 
-def baselines(rows: DataFrame, found: DataFrame, metrics: DataFrame,
+def baselines(marked: DataFrame, found: DataFrame, metrics: DataFrame,
               min_episodes: int = BASELINE_MIN_EPISODES) -> DataFrame:
     """Typical decay per pair from its finished episodes (exact quantiles, skew-safe)."""
     ended = materialize(metrics.where(F.col("status") == "closed"))
@@ -246,7 +254,7 @@ def baselines(rows: DataFrame, found: DataFrame, metrics: DataFrame,
               "peak_spread": {"typical_peak_spread": 0.5}}
     out = base.join(rn.exact_quantiles(ended, ["pair_id"], wanted), "pair_id", "left")
     minutes = (5, 15, 30)
-    after = decay_after(rows, found.where(F.col("status") == "closed"), minutes).groupBy("pair_id").agg(
+    after = decay_after(marked, found.where(F.col("status") == "closed"), minutes).groupBy("pair_id").agg(
         *[F.avg(f"decay_{m}m").alias(f"avg_percent_decay_{m}m") for m in minutes])
     return out.join(after, "pair_id", "left")
 

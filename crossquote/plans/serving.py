@@ -12,7 +12,6 @@ from crossquote.functions import pricing as px
 from crossquote.functions.text import topic_words
 
 # ---------------------------------------------------------------- fixed values
-MAX_POOL = 1000
 DIVERSITY = 0.65
 POOL_FACTOR = 6
 ENTRY_LOOKBACK_DAYS = 30
@@ -21,13 +20,13 @@ SCORE_BANDS = (0.80, 0.85, 0.90)
 # ----------------------------------------------------------- end of fixed values
 
 
-def top_candidates(pairs: DataFrame, min_score: float = 0.70, limit: int = 200) -> DataFrame:
+def top_candidates(pairs: DataFrame, min_score: float = 0.70, *, limit: int) -> DataFrame:
     return pairs.where(F.col("similarity") >= min_score).orderBy(
         F.desc("similarity"), "candidate_id").limit(limit)
 
 
 def top_signals(signals: DataFrame, texts: DataFrame | None = None, *, min_ev: float = 0.0,
-                min_confidence: float = 0.0, platform: str | None = None, limit: int = 200,
+                min_confidence: float = 0.0, platform: str | None = None, limit: int,
                 diverse: bool = False, diversity: float = DIVERSITY,
                 pool_factor: int = POOL_FACTOR) -> DataFrame:
     """Best signals by expected profit, with question texts; optionally diversified.
@@ -41,16 +40,16 @@ def top_signals(signals: DataFrame, texts: DataFrame | None = None, *, min_ev: f
         rows = rows.where(F.col("confidence") >= min_confidence)
     if platform:
         rows = rows.where((F.col("platform_a") == platform) | (F.col("platform_b") == platform))
-    pool = min(MAX_POOL, limit * pool_factor) if diverse else limit
+    pool = limit * pool_factor if diverse else limit
     best = rows.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
     if texts is not None:
         best = best.join(texts.select("pair_id", "text_a", "text_b"), "pair_id", "left").fillna(
             "", ["text_a", "text_b"])
-    return diversify(best, limit, diversity) if diverse else best.orderBy(
+    return diversify(best, limit, pool, diversity) if diverse else best.orderBy(
         F.desc("expected_profit"), "pair_id")
 
 
-def top_validated(validated: DataFrame, executable_only: bool = False, limit: int = 100) -> DataFrame:
+def top_validated(validated: DataFrame, executable_only: bool = False, *, limit: int) -> DataFrame:
     rows = validated.where("executable") if executable_only else validated
     return rows.orderBy(F.desc("expected_profit"), "pair_id").limit(limit)
 
@@ -75,18 +74,20 @@ def _pick_diverse(limit: int, weight: float):
     return pick
 
 
-def diversify(signals: DataFrame, limit: int, weight: float = DIVERSITY) -> DataFrame:
+def diversify(signals: DataFrame, limit: int, pool: int, weight: float = DIVERSITY) -> DataFrame:
     """Adds ``pick`` (1..limit) by maximal marginal relevance over topic words.
 
-    The greedy choice sees the whole pool at once, so the pool is cut to MAX_POOL best signals
-    first; a larger table never reaches the single group.
+    The choice is made among the ``pool`` best signals. It is greedy and sees the pool at once, in one
+    task, so the pool bounds its memory.
     """
+    if limit > pool:
+        raise ValueError("the pool must hold as many signals as are picked")
     have = set(signals.columns)
     texts = [F.col(c) for c in ("text_a", "text_b") if c in have] or [F.lit("")]
-    pool = signals.orderBy(F.desc("expected_profit"), "pair_id").limit(MAX_POOL)
-    keyed = pool.select("pair_id", "expected_profit", topic_words(*texts).alias("words"), F.lit(0).alias("g"))
+    best = signals.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
+    keyed = best.select("pair_id", "expected_profit", topic_words(*texts).alias("words"), F.lit(0).alias("g"))
     picked = keyed.groupBy("g").applyInPandas(_pick_diverse(limit, weight), "pair_id string, pick int")
-    return pool.join(F.broadcast(picked), "pair_id")
+    return best.join(F.broadcast(picked), "pair_id")
 
 
 def signal_stats(signals: DataFrame) -> DataFrame:

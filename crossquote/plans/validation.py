@@ -190,8 +190,13 @@ def _listing(values: Column) -> Column:
     return F.concat(F.lit("["), F.concat_ws(", ", quoted), F.lit("]"))
 
 
-def judge_prompts(pairs: DataFrame) -> DataFrame:
-    """Prompt text per surviving pair: the input table of any batch-inference job."""
+def judge_prompts(pairs: DataFrame, description_chars: int | None = None, rules_chars: int | None = None) -> DataFrame:
+    """Prompt text per surviving pair: the input table of any batch-inference job.
+
+    Descriptions and resolution rules are whole unless a length is given.
+    """
+    head = lambda c, n: c if n is None else F.left(c, F.lit(n))
+
     def part(side: str):
         m = F.col(side)
         line = lambda label, value: F.concat(F.lit(label + ": "), value)
@@ -199,9 +204,9 @@ def judge_prompts(pairs: DataFrame) -> DataFrame:
         return [
             F.lit(f"=== MARKET {side.upper()} ==="), line("Platform", m["platform"]),
             line("Question", m["question"]),
-            line("Description", F.left(filled(m["description"]), F.lit(300))),
+            line("Description", head(filled(m["description"]), description_chars)),
             line("Outcomes", _listing(m["outcomes"])),
-            line("Resolution", F.left(filled(m["resolution_rules"]), F.lit(200))),
+            line("Resolution", head(filled(m["resolution_rules"]), rules_chars)),
             F.concat(F.lit("Template: "), m["template"]["primary"],
                      F.format_string(" (conf %.2f)", m["template"]["confidence"])),
             line("Primary entity", F.coalesce(m["primary_entity"], F.lit("None"))),

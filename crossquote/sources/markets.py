@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_PER_PLATFORM = 500  # fixed value
 
 
 def with_vector(questions: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def first_per_group(df: DataFrame, group: str, order: list[Column], limit: int,
             .drop("_salt", "_rn"))
 
 
-def balanced_load(markets: DataFrame, limit: int = DEFAULT_PER_PLATFORM, keyword: str | None = None,
+def balanced_load(markets: DataFrame, limit: int, keyword: str | None = None,
                   only: list[str] | None = None) -> DataFrame:
     """Up to ``limit`` rows per platform, embedded rows first, then by market id."""
     rows = markets

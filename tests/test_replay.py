@@ -123,7 +123,7 @@ def test_settlement_of_no_value(spark):
 def test_mmr_matches_plain_greedy(spark):
     rows = [(f"p{i}", float(100 - i), ["alpha beta", "alpha beta gamma", "delta", ""][i % 4] + f" topic{i % 6}", "") for i in range(30)]
     df = spark.createDataFrame(rows, "pair_id string, expected_profit double, text_a string, text_b string")
-    got = [r.pair_id for r in serving.diversify(df, 10).orderBy("pick").collect()]
+    got = [r.pair_id for r in serving.diversify(df, 10, 1000).orderBy("pick").collect()]
     sets = [{w for w in r[2].split() if len(w) > 2} or {r[0]} for r in rows]
     picked, left = [0], list(range(1, 30))
     while len(picked) < 10:

@@ -169,22 +169,25 @@ def score_distribution(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("min_score", "max_score")})
 
 
-_SWEEP = _PAIRS + f""",
+AHEAD = 8
+_MARKED = f"""marked AS (SELECT {_DOT_AB} AS score, a.label = b.label AS is_match
+  FROM v_vec a JOIN v_vec b ON b.market_id BETWEEN a.market_id + 1 AND a.market_id + {AHEAD})"""
+_SWEEP = _MARKED + f""",
 sweep AS (SELECT threshold, count_if(score >= threshold AND is_match) AS tp,
   count_if(score >= threshold AND NOT is_match) AS fp, count_if(score < threshold AND is_match) AS fn
-  FROM (SELECT * FROM pairs WHERE score >= 0.15) p, (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS threshold) t GROUP BY 1),
+  FROM marked p, (SELECT unnest([{', '.join(map(str, SWEEP))}]) AS threshold) t GROUP BY 1),
 rates AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS p,
   CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r FROM sweep),
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM rates)"""
 
 
 def _labelled(spark, sf_dir):
-    """Pairs above a floor, labelled a match when both vectors carry the same label."""
-    labels = view(spark, sf_dir, "v_vec").select(F.col("market_id").cast("string").alias("id"), "label")
-    pairs = pair_table(spark, sf_dir, 0.15)
-    return (pairs.join(labels.select(F.col("id").alias("id_a"), F.col("label").alias("la")), "id_a")
-            .join(labels.select(F.col("id").alias("id_b"), F.col("label").alias("lb")), "id_b")
-            .withColumn("is_match", F.col("la") == F.col("lb")))
+    """A labelled pair table, scored row by row: each vector with the next AHEAD ones, a match when the labels agree."""
+    rows = view(spark, sf_dir, "v_vec").select("market_id", "label", "vector")
+    later = rows.select(F.col("market_id").alias("other"), F.col("label").alias("other_label"), F.col("vector").alias("other_vector"))
+    asked = rows.withColumn("other", F.explode(F.sequence(F.col("market_id") + 1, F.col("market_id") + AHEAD)))
+    return asked.join(later, "other").select(vf.dot("vector", "other_vector").alias("score"),
+                                             (F.col("label") == F.col("other_label")).alias("is_match"))
 
 
 @query("threshold_sweep", with_views("v_vec", also=_SWEEP) + """
@@ -202,11 +205,11 @@ def best_threshold(spark, sf_dir):
     return serving.best_threshold(sweep).withColumn("best_f1", F.round("best_f1", 6))
 
 
-@query("score_separation", with_views("v_vec", also=_PAIRS) + """
+@query("score_separation", with_views("v_vec", also=_MARKED) + """
 SELECT round(coalesce(avg(score) FILTER (is_match), 0), 6) AS mean_match,
        round(coalesce(avg(score) FILTER (NOT is_match), 0), 6) AS mean_other,
        round(coalesce(avg(score) FILTER (is_match) - avg(score) FILTER (NOT is_match), 0), 6) AS separation
-FROM pairs WHERE score >= 0.15""")
+FROM marked""")
 def score_separation(spark, sf_dir):
     out = serving.separation(_labelled(spark, sf_dir))
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
@@ -341,6 +344,6 @@ FROM pairs WHERE score >= {THRESHOLD} ORDER BY score DESC, candidate_id LIMIT 50
 def top_candidates(spark, sf_dir):
     pairs = pair_table(spark, sf_dir).select(
         tx.pair_hash("id_a", "id_b").alias("candidate_id"), F.col("score").alias("similarity"))
-    return serving.top_candidates(pairs, THRESHOLD, 50).select("candidate_id", F.round("similarity", 6).alias("similarity"))
+    return serving.top_candidates(pairs, THRESHOLD, limit=50).select("candidate_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -158,7 +158,7 @@ def trade_actions(spark, sf_dir):
 @query("top_validated", _LIV + """
 SELECT pair_id, ev AS expected_profit FROM l3 WHERE executable ORDER BY ev DESC, pair_id LIMIT 60""")
 def top_validated(spark, sf_dir):
-    return serving.top_validated(validated(spark, sf_dir), True, 60).select("pair_id", "expected_profit")
+    return serving.top_validated(validated(spark, sf_dir), True, limit=60).select("pair_id", "expected_profit")
 
 
 @query("funnel", _LIV + """
@@ -389,8 +389,8 @@ _EP = with_views("v_price", also=_ASOF + _EPISODES)
 
 
 def found(spark, sf_dir):
-    rows = materialize(pair_snapshots(spark, sf_dir))
-    return rows, materialize(decay.episodes(rows))
+    marked = materialize(decay.mark_episodes(pair_snapshots(spark, sf_dir)))
+    return marked, materialize(decay.episodes_of(marked))
 
 
 @query("spread_episodes", _EP + """

@@ -94,10 +94,7 @@ def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     text = VIEWS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     df = spark.sql(text, **used)
-    slots = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df
+    return df.repartition(spark.sparkContext.defaultParallelism) if spread else df
 
 
 def with_views(*names: str, also: str = "") -> str:
