@@ -74,10 +74,14 @@ BUCKET, GONE = "_bucket", "_deleted"
 
 
 class KeyedTable:
-    """A Parquet table with keyed upsert and delete; ``buckets`` must stay fixed for a path."""
+    """A Parquet table with keyed upsert and delete; ``buckets`` must stay fixed for a path.
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
+    A bucket is rewritten by up to ``writers`` tasks, so a large one is not the work of a single task.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64, writers: int = 8):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
+        self.writers = writers
 
     def _stored(self) -> DataFrame | None:
         try:
@@ -92,14 +96,15 @@ class KeyedTable:
         return None if stored is None else stored.where(~F.col(GONE)).drop(BUCKET, GONE)
 
     def _apply(self, rows: DataFrame, version: str | None = None) -> None:
-        filed = rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        # read twice below, and its input may be a whole join
+        filed = materialize(rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")))
         stored = self._stored()
         if stored is not None:
             touched = [r[0] for r in filed.select(BUCKET).distinct().collect()]  # at most ``buckets``
             stored = stored.where(F.col(BUCKET).isin(touched))
         merged = merge_latest(stored, filed, self.keys, version)
         # The merge reads the folder it replaces, so it is written elsewhere first.
-        frozen = materialize(merged.repartition(BUCKET))
+        frozen = materialize(merged.repartition(F.col(BUCKET), F.pmod(F.hash(*self.keys), F.lit(self.writers))))
         (frozen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.path))
 

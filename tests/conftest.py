@@ -1,13 +1,14 @@
 import pytest
 
-from crossquote.session import build_session
+from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", {
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g",
-        "spark.ui.showConsoleProgress": "false"})
+    """A plain session: the queries must not need the settings of ``build_session``."""
+    session = (SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
+               .config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -29,6 +29,19 @@ def test_load_directory(spark, tmp_path):
     assert none.count() == 0
 
 
+def test_every_record_is_kept_or_quarantined(spark, tmp_path):
+    rec = {"event_type": "market_updated", "market_id": "1", "timestamp": "2024-01-01T00:00:00Z", "data": {"fees": 0.1}}
+    rows = [rec, rec | {"timestamp": "someday"}, {k: v for k, v in rec.items() if k != "timestamp"},
+            rec | {"data": {"fees": "abc"}}, rec | {"data": {"price": "x"}}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\nbroken\n")
+    events, bad = quotes.load_events(spark, str(tmp_path))
+    assert events.count() == 1 and bad.count() == 5
+    (tmp_path / "cents").mkdir()
+    (tmp_path / "cents" / "b.jsonl").write_text(json.dumps({"ticker": "T", "yes_bid": "abc", "yes_ask": 4, "timestamp": 1700000000}))
+    events, bad = quotes.load_events(spark, str(tmp_path / "cents"), "kalshi")
+    assert events.count() == 0 and bad.count() == 1
+
+
 def test_token_source(spark):
     raw = json.dumps({"id": "x", "tokens": [{"outcome": "Yes", "price": 0.999}, {"outcome": "No"}, {"token_id": 1}], "update_time": 1700000000, "end_date_iso": "2025-12-31T00:00:00Z"})
     r = quotes.events_from_records(spark, [raw], "POLYMARKET").first()

@@ -594,3 +594,26 @@ SELECT user_id, round(median(value), 6) AS mid, round(quantile_cont(value, 0.9),
 def running_quantiles(spark, sf_dir):
     out = runs.exact_quantiles(table(spark, sf_dir, "events"), ["user_id"], {"value": {"mid": 0.5, "high": 0.9}})
     return out.select("user_id", F.round("mid", 6).alias("mid"), F.round("high", 6).alias("high"))
+
+
+@query("loaded_csv", """
+SELECT CAST(event_id AS VARCHAR) AS market_id, epoch_us(ts) AS us, round(value / 1000.0, 6) AS fees FROM events WHERE event_id % 50 <> 0
+UNION ALL SELECT 'quarantined', count(*), NULL FROM events WHERE event_id % 50 = 0""")
+def loaded_csv(spark, sf_dir):
+    """The events written out as CSV, some with unreadable times, and loaded back: none is lost."""
+    import uuid
+
+    from crossquote.session import shared_dir
+    from crossquote.sources import quotes
+    from workload.views import table
+
+    given = table(spark, sf_dir, "events").select(
+        F.lit("market_updated").alias("event_type"), F.lit("alpha").alias("platform"), F.col("event_id").cast("string").alias("market_id"),
+        F.when(F.col("event_id") % 50 == 0, "someday").otherwise(
+            F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("timestamp"),
+        F.to_json(F.struct((F.col("value") / 1000.0).alias("fees"))).alias("data_json"))
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    given.write.option("header", True).option("escape", '"').csv(path)
+    events, bad = quotes.load_events(spark, path)
+    return events.select("market_id", micros("ts").alias("us"), F.round("snapshot.fees", 6).alias("fees")).unionByName(
+        bad.agg(F.count("*").alias("us")).select(F.lit("quarantined").alias("market_id"), "us", F.lit(None).cast("double").alias("fees")))

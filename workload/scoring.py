@@ -405,6 +405,7 @@ def spread_episodes(spark, sf_dir):
 @query("episode_metrics", _EP + """
 SELECT concat(pair_id, '#', CAST(no AS BIGINT)) AS episode_id, round((peak - last) / peak, 6) AS percent_decay,
   round((epoch_us(peak_ts) - epoch_us(start_ts)) / 1e6, 3) AS time_to_peak_seconds,
+  round(CASE WHEN dur > 0 THEN (last - opening) / (dur / 3600.0) ELSE 0 END, 6) AS decay_velocity,
   round(0.4 * least(dur / 86400.0, 1.0) + 0.6 * greatest(0.0, least(1.0, last / opening)), 6) AS persistence_score,
   round(coalesce((epoch_us(half_ts) - epoch_us(peak_ts)) / 1e6, -1.0), 3) AS half_life_seconds FROM em""")
 def episode_metrics(spark, sf_dir):
@@ -412,13 +413,15 @@ def episode_metrics(spark, sf_dir):
     m = decay.episode_metrics(rows, out)
     return m.select("episode_id", F.round("percent_decay", 6).alias("percent_decay"),
                     F.round("time_to_peak_seconds", 3).alias("time_to_peak_seconds"),
-                    F.round("persistence_score", 6).alias("persistence_score"),
+                    F.round("decay_velocity", 6).alias("decay_velocity"), F.round("persistence_score", 6).alias("persistence_score"),
                     F.round(F.coalesce("half_life_seconds", F.lit(-1.0)), 3).alias("half_life_seconds"))
 
 
 @query("decay_baseline", _EP + """
 SELECT pair_id, count(*) AS episode_count, round(median(opening), 6) AS median_opening_spread, round(median(dur), 3) AS median_time_to_close_seconds,
   round(quantile_cont(0.4 * least(dur / 86400.0, 1.0) + 0.6 * greatest(0.0, least(1.0, last / opening)), 0.25), 6) AS persistence_p25,
+  round(quantile_cont(0.4 * least(dur / 86400.0, 1.0) + 0.6 * greatest(0.0, least(1.0, last / opening)), 0.5), 6) AS persistence_p50,
+  round(quantile_cont(0.4 * least(dur / 86400.0, 1.0) + 0.6 * greatest(0.0, least(1.0, last / opening)), 0.75), 6) AS persistence_p75,
   round(median((epoch_us(half_ts) - epoch_us(peak_ts)) / 1e6), 3) AS median_half_life_seconds, round(median(peak), 6) AS typical_peak_spread
 FROM em WHERE status = 'closed' GROUP BY 1 HAVING count(*) >= 3""")
 def decay_baseline(spark, sf_dir):
@@ -426,17 +429,27 @@ def decay_baseline(spark, sf_dir):
     base = decay.baselines(rows, out, decay.episode_metrics(rows, out))
     return base.select("pair_id", "episode_count", F.round("median_opening_spread", 6).alias("median_opening_spread"),
                        F.round("median_time_to_close_seconds", 3).alias("median_time_to_close_seconds"),
-                       F.round("persistence_p25", 6).alias("persistence_p25"),
+                       *[F.round(c, 6).alias(c) for c in ("persistence_p25", "persistence_p50", "persistence_p75")],
                        F.round("median_half_life_seconds", 3).alias("median_half_life_seconds"),
                        F.round("typical_peak_spread", 6).alias("typical_peak_spread"))
 
 
-@query("decay_signals", _EP + """
-SELECT concat(pair_id, '#', CAST(no AS BIGINT)) AS episode_id, round((peak - last) / peak, 6) AS percent_decay, n AS snapshot_count FROM em WHERE status = 'open'""")
+@query("decay_signals", with_views("v_price", also=_ASOF + _EPISODES + """,
+ps AS (SELECT *, 0.4 * least(dur / 86400.0, 1.0) + 0.6 * greatest(0.0, least(1.0, last / opening)) AS pers, (peak - last) / peak AS gone,
+  CASE WHEN dur > 0 THEN (last - opening) / (dur / 3600.0) ELSE 0 END AS vel FROM em),
+bs AS (SELECT pair_id, quantile_cont(pers, 0.25) AS p25, quantile_cont(pers, 0.5) AS p50, quantile_cont(pers, 0.75) AS p75, median(peak) AS typ
+  FROM ps WHERE status = 'closed' GROUP BY 1 HAVING count(*) >= 3)""") + """
+SELECT concat(ps.pair_id, '#', CAST(no AS BIGINT)) AS episode_id, round(gone, 6) AS percent_decay, n AS snapshot_count,
+  CASE WHEN gone >= 0.8 THEN 'mostly_closed' WHEN n < 3 THEN 'opening' WHEN vel > 0.01 THEN 're_widening' WHEN vel <= -0.05 THEN 'actively_decaying'
+    WHEN vel < -0.005 THEN 'slow_decay' ELSE 'stalled' END AS decay_status,
+  CAST(CASE WHEN p50 IS NULL THEN NULL WHEN pers >= p75 THEN 0.75 WHEN pers >= p50 THEN 0.5 WHEN pers >= p25 THEN 0.25 ELSE 0 END AS DOUBLE) AS persistence_percentile,
+  round(0.6 * least(last / 0.10, 1.0) + 0.4 * greatest(0.0, 1.0 - gone), 6) AS urgency_score, round(peak / typ, 6) AS relative_abnormality
+FROM ps LEFT JOIN bs ON ps.pair_id = bs.pair_id WHERE status = 'open'""")
 def decay_signals(spark, sf_dir):
     rows, out = found(spark, sf_dir)
     m = decay.episode_metrics(rows, out)
     sig = decay.decay_signals(m, decay.baselines(rows, out, m))
-    return sig.select("episode_id", F.round("percent_decay", 6).alias("percent_decay"), "snapshot_count")
+    return sig.select("episode_id", F.round("percent_decay", 6).alias("percent_decay"), "snapshot_count", "decay_status",
+                      "persistence_percentile", "urgency_score", F.round("relative_abnormality", 6).alias("relative_abnormality"))
 
 
