@@ -13,6 +13,9 @@ Two relations spare most of the work on the index:
   to belong together take over each other's answers: pairs inside one component are not looked at again. A
   group of thousands of near copies costs one comparison each, not one per pair.
 
+Before any text is read, parity sketches rule out pairs: the bits in which two sketches differ are at most the
+shingles in which the sets differ.
+
 Lists that still span several components after that are short (all pairs left in them are
 compared) or go on with further leading sets, until nothing is left. No cap is set on lists or partners.
 """
@@ -35,8 +38,10 @@ SHINGLE, PERCENT = 4, 85
 SAMPLE = 5_000  # documents, about, whose shingles tell which are frequent; this decides only the order
 FREQUENT = 5  # sampled documents with a frequent shingle, at least
 MOST_FREQUENT = 1_000_000  # frequent shingles kept
-SHORT_LIST = 32
-LEADERS = 32
+SHORT_LIST = 64
+LEADERS = 64  # leading sets of a longer list in its first round, and how many times more in the next ones
+SKETCH = 1024  # bits of a parity sketch, at least; doubled until there is one for every two shingles
+FEW_IDS = 2_000_000  # up to so many wanted texts (16 MB of ids), the others are dropped before the shuffle
 MEMBERS = 500  # sets compared with a leading set in one group
 
 
@@ -81,16 +86,26 @@ def frequent_shingles(docs: DataFrame, n: int, sample: int = SAMPLE, least: int
     return np.sort(top.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
+def parity_sketch(one: np.ndarray) -> np.ndarray:
+    """For each remainder of the hashes, whether the set has an odd number of shingles with it."""
+    bits = SKETCH
+    while 2 * bits < len(one):
+        bits *= 2
+    odd = np.bincount((one & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, digest, prefix): size, identity and index prefix of each document's set."""
+    """(doc_id, n_shingles, digest, prefix, sketch): size, identity, index prefix and sketch of each document's set."""
     last = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, late = Shingles(n), last.value
         for batch, texts in chunks(batches):
             sets = shingles(texts)
-            prefixes = []
+            prefixes, sketches = [], []
             for one in sets:
+                sketches.append(parity_sketch(one))
                 size = len(one) - (percent * len(one) + 99) // 100 + 1 if len(one) else 0
                 if len(late) and len(one):
                     at = np.minimum(np.searchsorted(late, one), len(late) - 1)
@@ -100,9 +115,10 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "prefix"])
+                pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "digest", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, prefix array<long>, sketch array<long>")
 
 
 def _may_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percent: int) -> Column:
@@ -115,9 +131,12 @@ def _may_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percen
 def _led_pairs(active: DataFrame, slots: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of every list's leading sets (one per slot) with its other sets, and the index without the leading ones."""
     slot = F.pmod(F.xxhash64("rep"), F.lit(slots))
+    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int")
     heads = active.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("rep", "size", "at", "comp")).alias("head"))
     heads = heads.select("token", F.inline(F.array("head"))).toDF("token", "head", "head_size", "head_at", "head_comp")
-    met = active.join(heads, "token").where(
+    # sizes in reach are at most one step apart, so an entry meets only the leading sets of three steps
+    near = heads.withColumn("size", F.col("head_size")).withColumn("step", F.explode(F.array(step - 1, step, step + 1))).drop("size")
+    met = active.withColumn("step", step).join(near, ["token", "step"]).where(
         (F.col("rep") != F.col("head")) & (F.col("comp") != F.col("head_comp"))
         & _may_link(F.col("size"), F.col("at"), F.col("head_size"), F.col("head_at"), percent))
     rest = active.join(heads.select("token", F.col("head").alias("rep")), ["token", "rep"], "left_anti")
@@ -133,6 +152,25 @@ def _short_pairs(active: DataFrame, percent: int) -> DataFrame:
         .select(F.col("a.rep").alias("lead"), F.col("b.rep").alias("other")).distinct())
 
 
+def _folded(sketch: Column, bits_of: Column) -> Column:
+    """The sketch at half its length, if it is longer than the other one. Sizes in reach differ by one step at most."""
+    half = (F.size(sketch) / 2).cast("int")
+    halves = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > F.size(bits_of), halves).otherwise(sketch)
+
+
+def sketch_passes(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches leave the needed similarity possible; no pair that has it is lost."""
+    own = classes.select("rep", "size", "sketch")
+    both = pairs.join(own.toDF("lead", "lead_size", "lead_sketch"), "lead").join(own.toDF("other", "size", "sketch"), "other")
+    a, b = _folded(F.col("lead_sketch"), F.col("sketch")), _folded(F.col("sketch"), F.col("lead_sketch"))
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    same_length = (F.size(a) == F.size(b))
+    # the sets differ in |a| + |b| - 2 overlap shingles, and the overlap is percent / (100 + percent) of |a| + |b| at least
+    possible = (100 + percent) * differ <= (100 - percent) * (F.col("lead_size") + F.col("size"))
+    return both.where(~same_length | possible).select("lead", "other")
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
@@ -151,7 +189,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     own = groups.select(F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(
         "rep", F.struct(F.col("rep").alias("lead"), "part", F.lit(True).alias("first")).alias("to"))
     # a set that many others lead has bounded lists: at most one entry per posting of its prefix
-    wanted = sent.unionByName(own).groupBy("rep").agg(F.collect_list("to").alias("to"))
+    wanted = stored(sent.unionByName(own).groupBy("rep").agg(F.collect_list("to").alias("to")))
+    if wanted.count() <= FEW_IDS:
+        texts = texts.join(F.broadcast(wanted.select("rep")), "rep", "left_semi")
     rows = (texts.join(wanted, "rep").select("rep", "text", F.explode("to").alias("to"))
             .select("to.lead", "to.part", "to.first", "rep", "text")
             .repartition("lead", "part").sortWithinPartitions("lead", "part", F.desc("first"), "rep"))
@@ -172,14 +212,9 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "id_a long, id_b long").distinct()
 
 
-def _with_components(active: DataFrame, links: DataFrame) -> DataFrame:
-    named = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    return active.drop("comp").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-
-
 def class_links(classes: DataFrame, texts: DataFrame, n: int, percent: int, everything: bool = False,
                 short: int = SHORT_LIST, leaders: int = LEADERS) -> DataFrame:
-    """Links (id_a, id_b) between classes (rep, size, prefix); ``texts`` has their text by rep.
+    """Links (id_a, id_b) between classes (rep, size, prefix, sketch); ``texts`` has their text by rep.
 
     Enough links to connect whatever is connected; with ``everything`` all links, without the skipping
     of answers, so that near copies cost a comparison per pair.
@@ -188,17 +223,25 @@ def class_links(classes: DataFrame, texts: DataFrame, n: int, percent: int, ever
     met = index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     active = stored(index.join(met, "token").withColumn("comp", F.col("rep")))
     pairs, rest = _led_pairs(active, 1, percent)
-    links = stored(verified(pairs, texts, n, percent))
+    links = stored(verified(stored(sketch_passes(pairs, classes, percent)), texts, n, percent))
+    named, slots = None, leaders
     while True:
-        active = rest if everything else _with_components(rest, links)
+        if not everything and named is None:
+            named = stored(connected_components(links).toDF("rep", "named"))
+        active = rest if named is None else rest.join(named, "rep", "left").withColumn(
+            "comp", F.coalesce("named", "comp")).drop("named")
         open_lists = active.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("lo"),
                                                  F.max("comp").alias("hi")).where("lo < hi").select("token", "many")
         active = stored(active.join(open_lists, "token").select("token", "many", "rep", "size", "at", "comp"))
         if active.isEmpty():
             return links
         pairs = _short_pairs(active.where(F.col("many") <= short).drop("many"), percent)
-        led, rest = _led_pairs(active.where(F.col("many") > short).drop("many"), leaders, percent)
-        links = links.unionByName(stored(verified(pairs.unionByName(led).distinct(), texts, n, percent)))
+        led, rest = _led_pairs(active.where(F.col("many") > short).drop("many"), slots, percent)
+        slots *= max(2, leaders)
+        pairs = stored(sketch_passes(pairs.unionByName(led).distinct(), classes, percent))
+        more = stored(verified(pairs, texts, n, percent))
+        if not more.isEmpty():
+            links, named = links.unionByName(more), None
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
@@ -212,9 +255,10 @@ def link_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **
     sets = stored(shingle_sets(own, n, percent, frequent_shingles(own, n)))
     filled = sets.where("doc_id is not null and n_shingles > 0")
     classes = stored(filled.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min_by("prefix", "doc_id").alias("prefix")))
+        F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"), F.min_by("prefix", "doc_id").alias("prefix"),
+        F.min_by("sketch", "doc_id").alias("sketch")))
     texts = own.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("rep"), "text")
-    links = class_links(classes.select("rep", "size", "prefix"), texts, n, percent, **options)
+    links = class_links(classes.drop("digest"), texts, n, percent, **options)
     members = stored(sets.select("doc_id", "n_shingles", "digest").join(
         classes.select("digest", "rep"), "digest", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")))

@@ -66,7 +66,7 @@ def test_all_links(spark, short):
     rows = sorted({d: t for d, t in rows}.items())
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sets = stored(nj.shingle_sets(df, 3, 60, nj.frequent_shingles(df, 3)))
-    classes = sets.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefix")
+    classes = sets.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefix", "sketch")
     texts = df.select(F.col("doc_id").alias("rep"), "text")
     links = nj.class_links(classes, texts, 3, 60, everything=True, short=short, leaders=2)
     assert {tuple(r) for r in links.collect()} == brute(rows, 3, 60)[1]
