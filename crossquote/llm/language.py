@@ -9,7 +9,7 @@ another language stand out while single odd words do not.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +79,6 @@ class Model:
     langs: list[str]
     logp: np.ndarray  # (n-gram, language)
     uses: np.ndarray  # (script, language)
-    prior: np.ndarray
-    _table: WordTable | None = field(default=None, repr=False)
 
     def score(self, words: list[bytes]):
         """Per word: scores of all languages, letters. Words without letters score 0 everywhere."""
@@ -103,9 +101,7 @@ class Model:
         return scores, letters
 
     def table(self) -> WordTable:
-        if self._table is None:
-            self._table = WordTable(self.score, [(np.float32, len(self.langs)), (np.int32, None)], 300_000)
-        return self._table
+        return WordTable(self.score, [(np.float32, len(self.langs)), (np.int32, None)])
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> Model | None:
@@ -156,7 +152,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> Mo
     share = grid["script"] / np.maximum(grid["script"].sum(0), 1)
     uses = share >= 0.01
     uses[~uses.any(1)] = True  # of a script that no language uses, any language can be
-    return Model(langs, logp.astype(np.float32), uses, np.array([sizes[x] for x in langs], float))
+    return Model(langs, logp.astype(np.float32), uses)
 
 
 def one_language(scores: np.ndarray, switch: float) -> int:
@@ -223,10 +219,10 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = known.value
-        for batch, texts in chunks(batches, "doc", 8 << 20):
+        table = fitted.table() if fitted is not None else None
+        for batch, texts in chunks(batches, "doc"):
             found: list[tuple] = [(UNKNOWN, 0.0, "")] * len(texts)
-            if fitted is not None:
-                table = fitted.table()
+            if table is not None:
                 numbers, offsets = table.number(texts)
                 scores, letters = table[0], table[1]
                 spelled = letters[numbers]

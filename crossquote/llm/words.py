@@ -10,11 +10,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-CHUNK_BYTES = 4 << 20  # text that is worked on at a time inside a task
+CHUNK_BYTES = 2 << 20  # text that is worked on at a time inside a task
 CACHE_WORDS = 250_000  # words whose features a task remembers
 
 
@@ -31,23 +32,23 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
            size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``size`` bytes of text each, and their texts (null: empty).
 
-    ``text`` names a column of texts, or of structs with a field of that name. One text is never cut: a slice holds at least one row, however long.
+    ``text`` names a column of texts, or of structs with a field of that name. One text is never
+    cut: a slice holds at least one row, however long.
     """
     for batch in batches:
         values = batch.column(text)
         if pa.types.is_struct(values.type):
             values = values.field("text")
-        if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
-            values = values.cast(pa.large_binary())
-        texts = [v or b"" for v in values.to_pylist()]
+        if pa.types.is_string(values.type):
+            values = values.cast(pa.binary())
+        lengths = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         start, held = 0, 0
-        for at, value in enumerate(texts):
-            if held and held + len(value) > size:
-                yield batch.slice(start, at - start), texts[start:at]
+        for at, length in enumerate([*lengths, None]):
+            if at == len(lengths) or held and held + length > size:
+                if at > start:  # only the texts of a slice become Python objects
+                    yield batch.slice(start, at - start), [v or b"" for v in values.slice(start, at - start).to_pylist()]
                 start, held = at, 0
-            held += len(value) + 64
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += (length or 0) + 64
 
 
 class _Numbers(dict):
