@@ -29,7 +29,7 @@ from crossquote.llm.substrings import stored
 from crossquote.llm.words import WordTable, chunks, documents, id_remainder, mixed, word_hashes
 
 SEGMENTS = 1024
-BITS_PER_ENTRY, PROBES = 12, 8  # a missing level is taken for present in about 0.3 % of probes
+BITS_PER_ENTRY, PROBES = 12, 4  # a missing level is taken for present in about 0.7 % of cases
 STEP = 1.3  # neighbouring levels differ by this factor, or by one where that is more
 TOP = 64  # levels
 WEIGHT = 50.0
@@ -68,22 +68,33 @@ def history(before: np.ndarray) -> np.ndarray:
     return mixed((before >> np.uint64(32)) + np.uint64(3)) & ~ONE
 
 
-def tokens(table: WordTable, texts: list[bytes]):
-    """Token hashes of all texts, each closed by END, the hashes before them, and the offsets."""
-    numbers, offsets = table.number([t.lower() for t in texts])
-    offsets = offsets + np.arange(len(offsets))
-    words = np.full(offsets[-1], END)
-    inner = np.ones(len(words), bool)
-    inner[offsets[1:] - 1] = False
-    words[inner] = table[0][numbers]
-    before = np.empty_like(words)
-    before[1:] = words[:-1]  # the first word of a text comes after an END anyway
-    before[:1] = END
-    return words, before, offsets
+class Tokens:
+    """Token hashes of texts and further features of each different word, remembered while a task runs.
 
+    ``features`` gets hashes and returns arrays; the end of a text has features as a word has.
+    """
+
+    def __init__(self, features=lambda hashes: [], kinds: tuple = ()):
+        self._table = WordTable(lambda words: [h := word_hashes(words), *features(h)], [(np.uint64, None), *((k, None) for k in kinds)])
+        self._end = [np.array([END]), *features(np.array([END]))]
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Offsets of the texts, and the hash and features of all their tokens, each text closed by its end."""
+        numbers, offsets = self._table.number([t.lower() for t in texts])
+        offsets = offsets + np.arange(len(offsets))
+        inner = np.ones(offsets[-1], bool)
+        inner[offsets[1:] - 1] = False
+        out = []
+        for kind, end in enumerate(self._end):
+            values = np.full(offsets[-1], end[0])
+            values[inner] = self._table[kind][numbers]
+            out.append(values)
+        return offsets, out
 
-def word_table() -> WordTable:
-    return WordTable(lambda words: [word_hashes(words)], [(np.uint64, None)])
+
+def shifted(values: np.ndarray) -> np.ndarray:
+    """Of each token's predecessor; the first word of a text comes after an end, and so does the first of all."""
+    return np.concatenate([values[-1:], values[:-1]])
 
 
 def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +129,10 @@ def count_ngrams(training: DataFrame, slices: int) -> DataFrame:
             ["slice", "gaps", "wide", "n_wide", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, keys, n, held = word_table(), [], [], 0
+        table, keys, n, held = Tokens(), [], [], 0
         for _, texts in chunks(batches):
-            words, before, _ = tokens(table, texts)
-            both = np.concatenate([unigrams(words), pairs(before, words)]) * SPREAD
+            _, (words,) = table(texts)
+            both = np.concatenate([unigrams(words), pairs(shifted(words), words)]) * SPREAD
             key, total = _sums(both, np.ones(len(both), np.int64))
             keys.append(key)
             n.append(total)
@@ -178,23 +189,35 @@ class Filter:
         return (mixed(codes) >> np.uint64(64 - (SEGMENTS - 1).bit_length())).astype(np.int64)
 
     @staticmethod
-    def places(codes: np.ndarray, level: np.ndarray | int, size: np.ndarray, probe: int) -> np.ndarray:
+    def halves(codes: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the probes of a code's level begin, and their distance."""
         base = mixed(codes + np.asarray(level).astype(np.uint64) * SPREAD)
-        return ((base & np.uint64(0xFFFFFFFF)) + np.uint64(probe) * (base >> np.uint64(32) | ONE)) % size
+        return base & np.uint64(0xFFFFFFFF), base >> np.uint64(32) | ONE
+
+    @staticmethod
+    def place(low: np.ndarray, high: np.ndarray, size: np.ndarray, probe: int) -> np.ndarray:
+        """A bit below ``size`` (less than 2 ** 32): the share of the size that a 32-bit value is of all."""
+        return ((low + np.uint64(probe) * high & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
         """The level of each code: probes go on while a level is present."""
         found = np.zeros(len(codes), np.uint8)
         segment = self.segment(codes)
-        size = self._size[segment]
-        at = np.flatnonzero(size)
+        at = np.flatnonzero(self._size[segment])
         for level in range(1, TOP + 1):
+            if not len(at):
+                break
+            own = segment[at]
+            low, high = self.halves(codes[at], level)
+            size, start = self._size[own], self._start[own]
             for probe in range(PROBES):
+                place = self.place(low, high, size, probe)
+                byte = self._bits[start + (place >> np.uint64(3))]
+                hit = np.flatnonzero(byte >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                if len(hit) < len(at):
+                    at, low, high, size, start = at[hit], low[hit], high[hit], size[hit], start[hit]
                 if not len(at):
-                    return found
-                place = self.places(codes[at], level, size[at], probe)
-                byte = self._bits[self._start[segment[at]] + (place >> np.uint64(3))]
-                at = at[byte >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                    break
             found[at] = level
         return found
 
@@ -222,8 +245,9 @@ def build_filter(counts: DataFrame) -> DataFrame:
         level = np.arange(1, len(each) + 1) - np.repeat(np.cumsum(top) - top, top)
         size = max(64, (len(each) * BITS_PER_ENTRY + 7) // 8 * 8)
         bits = np.zeros(size, bool)
+        low, high = Filter.halves(each, level)
         for probe in range(PROBES):
-            bits[Filter.places(each, level, np.uint64(size), probe)] = True
+            bits[Filter.place(low, high, np.uint64(size), probe)] = True
         return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array(
             [np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
@@ -258,33 +282,33 @@ def shards(table: DataFrame, most: int) -> list[list[int]]:
     return out
 
 
+def _filter(table: DataFrame, group: list[int]) -> Filter:
+    return Filter({r.segment: r.bits for r in table.where(F.col("segment").isin(group)).toLocalIterator()})
+
+
+def _word_levels(own: Filter):
+    """Levels of words and of their pair totals."""
+    return lambda hashes: [own.levels(unigrams(hashes)), own.levels(history(hashes))]
+
+
 def _probed(docs: DataFrame, part: Filter) -> DataFrame:
-    """The texts with the levels of their tokens as found so far: words, totals, pairs, one byte each."""
+    """The texts with the levels of their tokens as found so far: of words, totals and pairs, a byte each."""
     known = docs.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        table = word_table()
-        for batch, texts in chunks(batches):
-            words, before, offsets = tokens(table, texts)
-            found = np.stack([_by_word(own, unigrams, words), _by_word(own, history, before), own.levels(pairs(before, words))], 1)
+        table = Tokens(_word_levels(own), (np.uint8, np.uint8))
+        for batch, texts in chunks(batches, size=2 << 20):
+            offsets, (words, single, total) = table(texts)
+            found = np.stack([single, shifted(total), own.levels(pairs(shifted(words), words))], 1)
             rows = []
             for row, have in enumerate(batch.column("levels").to_pylist()):
                 one = found[offsets[row]:offsets[row + 1]]
                 rows.append((one if have is None else one | np.frombuffer(have, np.uint8).reshape(-1, 3)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "levels"]
-                                             + [pa.array(rows, pa.binary())],
-                                             [c for c in batch.schema.names if c != "levels"] + ["levels"])
-
-    fields = [f for f in docs.schema if f.name != "levels"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", levels binary"
-    return docs.mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "text")), pa.array(rows, pa.binary())],
+                                             ["doc_id", "held_out", "text", "levels"])
 
-def _by_word(own: Filter, key, words: np.ndarray) -> np.ndarray:
-    """Levels of keys that depend on one word: each different word is probed once."""
-    distinct, at = np.unique(words, return_inverse=True)
-    return own.levels(key(distinct))[at]
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, text string, levels binary")
 
 
 def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, shard_bytes: int = SHARD_BYTES,
@@ -309,27 +333,34 @@ def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, sh
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text",
                         F.lit(None).cast("binary").alias("levels"))
-    groups = shards(table, shard_bytes)
-    for number, group in enumerate(groups):
-        part = Filter({r.segment: r.bits for r in table.where(F.col("segment").isin(group)).collect()})
-        texts = _probed(texts, part)
-        if number < len(groups) - 1:
-            texts = stored(texts)
+    *others, final = shards(table, shard_bytes)
+    for group in others:
+        texts = stored(_probed(texts, _filter(table, group)))
+    last = spark.sparkContext.broadcast(_filter(table, final))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, exact = head.value
-        words_of, at = word_table(), TaskContext.get().partitionId() << 33
-        for batch, raw in chunks(batches):
-            words, _, offsets = tokens(words_of, raw)
-            levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 3)
-            single, total, pair = MEANT[levels].T
-            # without a total no pair can be there, and no pair is more frequent than its total
-            pair = np.minimum(pair, total)
+        (known, exact), own = head.value, last.value
+
+        def counted(hashes: np.ndarray) -> np.ndarray:
+            """Exact counts of frequent words, 0 for others."""
+            place = np.minimum(np.searchsorted(known, unigrams(hashes)), max(len(known) - 1, 0))
+            return np.where(known[place] == unigrams(hashes), exact[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
+
+        table = Tokens(lambda hashes: [*_word_levels(own)(hashes), counted(hashes)], (np.uint8, np.uint8, np.int64))
+        at = TaskContext.get().partitionId() << 33
+        for batch, raw in chunks(batches, size=2 << 20):
+            offsets, (words, single, total, seen) = table(raw)
+            total, before, pair = shifted(total), shifted(words), np.zeros(len(words), np.uint8)
+            if batch.column("levels").null_count == 0:
+                levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 3)
+                single, total, pair = single | levels[:, 0], total | levels[:, 1], levels[:, 2].copy()
+            # a repeated pair has a total, and its word is there twice at least; no pair is above its total
+            held = np.flatnonzero((total > 0) & (single > 1))
+            pair[held] |= own.levels(pairs(before[held], words[held]))
+            single, total, pair = MEANT[single], MEANT[total], MEANT[np.minimum(pair, total)]
             p = (pair + weight * (single + 0.1) / below) / (total + weight)
-            key = unigrams(words)
-            place = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-            inside = known[place] == key if len(known) else np.zeros(len(key), bool)
-            value = np.where(inside, np.log10((np.where(inside, exact[place] if len(known) else 0, 0) + 0.1) / below), 0.0)
+            key, inside = unigrams(words), seen > 0
+            value = np.where(inside, np.log10((seen + 0.1) / below), 0.0)
             ids = np.arange(at, at + len(raw))
             at += len(raw)
             n_tokens = np.diff(offsets)
