@@ -1,13 +1,15 @@
 """Language identification with spans of mixed-language text.
 
-Words are scored under each language from hashed character n-grams. The writing system of a word
+Words are cut where the writing system changes and after every ``PIECE`` letters, so text without spaces is read
+to its end. Each piece is scored under each language from hashed character n-grams, and its writing system
 narrows the languages it can have to those that use that script. A Viterbi pass
-with a fixed penalty for each switch then labels all words of a text, so that spans of
+with a fixed penalty for each switch then labels all pieces of a text, so that spans of
 another language stand out while single odd words do not.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,15 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossquote.llm.scripts import NAMES, OTHER, script_codes
-from crossquote.llm.words import WordTable, chunks, documents, id_remainder, mixed
+from crossquote.llm.words import CACHE_WORDS, Rows, WordTable, chunks, documents, id_remainder, mixed, ragged
 
 GRAMS = (1, 2, 3, 4)
 BITS = 16  # hashed n-gram table of a language
-LONGEST_WORD = 64  # longer runs of letters are scored by their first and last halves of this
+PIECE = 64  # letters that are scored at a time; longer runs are cut into consecutive pieces
 SAMPLE = 3_000  # documents per language that the model is fitted on, about
 SWITCH = 8.0
 UNKNOWN = "und"
 RULED_OUT = -50.0
+BLOCK_NAMES = {"HIRAGANA": "Kana", "KATAKANA": "Kana", "CJK": "Han"}  # scripts whose letters are named otherwise
 
 
 def spell(words: list[bytes]) -> list[str]:
@@ -35,12 +38,51 @@ def spell(words: list[bytes]) -> list[str]:
         word = raw.decode("utf-8", "replace").lower()
         if not word.isalpha():
             word = "".join(filter(str.isalpha, word))
-        if len(word) > LONGEST_WORD:
-            word = word[:LONGEST_WORD // 2] + word[-LONGEST_WORD // 2:]
         out.append(word)
     return out
 
 
+def run_scripts(codes: np.ndarray) -> np.ndarray:
+    """Writing system of each letter, -1 for blanks.
+
+    Letters outside the main blocks go by their names; if those name no script, modifier letters go with the letter before.
+    """
+    script = np.where(codes == 32, -1, script_codes(codes))
+    for code in np.unique(codes[script == OTHER]).tolist():
+        named = {BLOCK_NAMES.get(w, w.title()) for w in unicodedata.name(chr(code), "").split()} & set(NAMES[:OTHER])
+        own = codes == code
+        if named:
+            script[own] = NAMES.index(min(named))
+        elif unicodedata.category(chr(code)) == "Lm":
+            before = np.maximum.accumulate(np.where(own, 0, np.arange(len(codes))))
+            script[own] = np.where(script[before] >= 0, script[before], script)[own]
+    return script
+
+
+def pieces(words: list[str]) -> tuple[list[str], np.ndarray]:
+    """Consecutive pieces of all words, each of one script and at most PIECE letters, and how many each word has."""
+    codes = np.frombuffer(" ".join(words).encode("utf-32-le"), "<u4")
+    script = run_scripts(codes)
+    counts = np.ones(len(words), np.int32)
+    turns = np.flatnonzero((script[1:] != script[:-1]) & (script[1:] >= 0) & (script[:-1] >= 0)) + 1
+    first = np.cumsum([0, *(len(w) + 1 for w in words)])
+    owner = np.searchsorted(first, turns, "right") - 1
+    cuts: dict[int, list[int]] = {i: [] for i, w in enumerate(words) if len(w) > PIECE}
+    for i, at in zip(owner.tolist(), (turns - first[owner]).tolist()):
+        cuts.setdefault(i, []).append(at)
+    if not cuts:
+        return words, counts
+    out, done = [], 0
+    for i in sorted(cuts):
+        out += words[done:i]
+        word, done = words[i], i + 1
+        edges = [0, *cuts[i], len(word)]
+        own = [word[at:min(at + PIECE, b)] for a, b in zip(edges, edges[1:]) for at in range(a, b, PIECE)]
+        counts[i] = len(own)
+        out += own
+    return out + words[done:], counts
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all words, and the word each comes from. Words are framed by a blank."""
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -67,9 +109,9 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_scripts(words: list[str]) -> np.ndarray:
-    """Writing system of each word's first letter; -1 without letters."""
+    """Writing system of each piece by its first letter; -1 without letters."""
     first = np.array([ord(w[0]) if w else 0 for w in words])
-    return np.where(first == 0, -1, script_codes(first))
+    return run_scripts(np.where(first == 0, 32, first))
 
 
 @dataclass
@@ -80,14 +122,13 @@ class Model:
     logp: np.ndarray  # (n-gram, language)
     uses: np.ndarray  # (script, language)
 
-    def score(self, words: list[bytes]):
-        """Per word: scores of all languages, letters. Words without letters score 0 everywhere."""
+    def score(self, words: list[str]):
+        """Per piece: scores of all languages, letters. Pieces without letters score 0 everywhere."""
         parts = [self._score(words[at:at + 20_000]) for at in range(0, len(words), 20_000)]
         return [np.concatenate(columns) for columns in zip(*parts)]
 
-    def _score(self, words: list[bytes]):
-        spelled = spell(words)
-        scores = np.zeros((len(words), len(self.langs)), np.float32)
+    def _score(self, spelled: list[str]):
+        scores = np.zeros((len(spelled), len(self.langs)), np.float32)
         letters = np.array([len(w) for w in spelled], np.int32)
         if letters.any():
             key, owner = grams(spelled)
@@ -100,8 +141,55 @@ class Model:
             scores[letters == 0] = 0
         return scores, letters
 
-    def table(self) -> WordTable:
-        return WordTable(self.score, [(np.float32, len(self.langs)), (np.int32, None)])
+    def table(self) -> PieceTable:
+        return PieceTable(self)
+
+
+class PieceTable:
+    """Scores and letters of the pieces of words, behind a WordTable. The memory is bounded as there, in pieces too."""
+
+    def __init__(self, model: Model):
+        self._model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self._words = WordTable(self._new, [(np.int64, None), (np.int32, None)])
+        self._scores, self._letters = Rows(np.float32, len(self._model.langs)), Rows(np.int32)
+
+    def _new(self, words: list[bytes]):
+        if not len(self._words[0]):
+            self._scores, self._letters = Rows(np.float32, len(self._model.langs)), Rows(np.int32)
+        own, counts = pieces(spell(words))
+        starts = len(self._letters.values) + np.cumsum(counts, dtype=np.int64) - counts
+        scores, letters = self._model.score(own)
+        self._scores.extend(scores)
+        self._letters.extend(letters)
+        return starts, counts
+
+    def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Piece numbers of all texts in a row and the offsets of the texts; pieces of each word and the offsets in words."""
+        if len(self._letters.values) > CACHE_WORDS:
+            self._clear()
+        numbers, offsets = self._words.number(texts)
+        counts = self._words[1][numbers]
+        return ragged(self._words[0][numbers], counts), np.r_[0, np.cumsum(counts, dtype=np.int64)][offsets], counts, offsets
+
+    @property
+    def scores(self) -> np.ndarray:
+        return self._scores.values
+
+    @property
+    def letters(self) -> np.ndarray:
+        return self._letters.values
+
+
+def places(counts: np.ndarray, letters: np.ndarray, at: np.ndarray) -> list[str]:
+    """Where pieces of a text begin: the word, and after a plus the letters of that word before the piece."""
+    first = np.r_[0, np.cumsum(counts)]
+    word = np.searchsorted(first, at, "right") - 1
+    before = np.r_[0, np.cumsum(letters, dtype=np.int64)]
+    inside = before[at] - before[first[word]]
+    return [f"{w}+{n}" if n else str(w) for w, n in zip(word.tolist(), inside.tolist())]
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> Model | None:
@@ -128,7 +216,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> Mo
             docs += np.bincount(lang, minlength=len(langs))
             for at in np.unique(lang):
                 words = spell(b" ".join(t for t, own in zip(texts, lang) if own == at).split())
-                words = [w for w in words if w]
+                words, _ = pieces([w for w in words if w])
                 if words:
                     counts[at] += np.bincount(grams(words)[0], minlength=1 << BITS)
                     scripts[at] += np.bincount(word_scripts(words), minlength=len(NAMES))
@@ -211,7 +299,8 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
     """(doc, lang_pred, score, spans) per row of ``docs``, where ``doc`` is a struct of all its columns.
 
     ``lang_pred`` has most letters in the best path, ``score`` is its share of the letters times
-    its odds against the second language. ``spans`` lists language:first:end in words. A text that is null
+    its odds against the second language. ``spans`` lists language:first:end in words; a place inside a word is
+    ``word+letters``, after that many letters of the word. A text that is null
     or has no letters is ``und`` with score 0, and so is everything without a model. Repeated
     rows are labelled each; equal scores go to the language that comes first.
     """
@@ -223,9 +312,8 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
         for batch, texts in chunks(batches, "doc"):
             found: list[tuple] = [(UNKNOWN, 0.0, "")] * len(texts)
             if table is not None:
-                numbers, offsets = table.number(texts)
-                scores, letters = table[0], table[1]
-                spelled = letters[numbers]
+                numbers, offsets, counts, words = table.number(texts)
+                scores, spelled = table.scores, table.letters[numbers]
                 hard, own = [], {}
                 for row in range(len(texts)):
                     span = slice(offsets[row], offsets[row + 1])
@@ -248,7 +336,8 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
                     rival = np.delete(sums, best).max(initial=-np.inf)
                     odds = 1 / (1 + np.exp(-np.clip(sums[best] - rival, -30, 30)))
                     cuts = np.r_[0, np.flatnonzero(np.diff(path)) + 1, len(path)]
-                    spans = ",".join(f"{fitted.langs[path[a]]}:{a}:{b}" for a, b in zip(cuts[:-1], cuts[1:]))
+                    at = places(counts[words[row]:words[row + 1]], spelled[span], cuts)
+                    spans = ",".join(f"{fitted.langs[path[c]]}:{a}:{b}" for c, a, b in zip(cuts, at, at[1:]))
                     found[row] = (fitted.langs[best], float(odds * weight[best] / weight.sum()), spans)
             lang, score, spans = zip(*found)
             yield pa.RecordBatch.from_arrays([

@@ -60,3 +60,43 @@ def test_spans_scripts_and_odd_rows(spark, odd, empty):
     assert lg.fit(empty) is None
     assert {r.lang_pred for r in found(odd, None).collect()} == {"und"}
     assert lg.fit(odd.withColumn("lang", F.lit(None).cast("string"))) is None
+
+
+THAI = "สวนของบ้านเก่าหลังนี้ในเมืองเล็กริมทะเล"
+CHINESE = "这座老城的花园和房子都在河边每天早上有很多人来这里散步"
+JAPANESE = "この古い町の庭と家は川のそばにあり毎朝たくさんの人が散歩に来ます"
+ENGLISH = "the house and the garden of this old town by the river "
+
+
+def by_script(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(
+        [(ENGLISH, "en"), (CHINESE, "zh"), (JAPANESE, "ja"), (THAI, "th")] * 4)]
+    return lg.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_pieces_lose_no_letter():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abéжя庭家のバกข々ə"), rng.integers(0, 200), p=[.3, .3] + [.4 / 11] * 11)) for _ in range(60)]
+    words += ["x" * 1000, "", "庭" * 129, "word", "人々のhər"]
+    parts, counts = lg.pieces(words)
+    ends = np.cumsum(counts)
+    assert ["".join(parts[e - n:e]) for n, e in zip(counts, ends)] == words
+    assert max(map(len, parts)) <= lg.PIECE
+    assert parts[ends[-2]:] == ["人々", "の", "hər"]
+    for part in parts:
+        assert len(set(lg.run_scripts(np.array([ord(c) for c in part], "u4")).tolist())) <= 1
+
+
+def test_text_without_spaces_is_read_to_its_end(spark):
+    model = by_script(spark)
+    note = " " + ENGLISH * 2  # fewer letters than the run, more than 64
+    docs = [(1, CHINESE * 20 + note), (2, JAPANESE * 20 + note), (3, THAI * 20 + note),
+            (4, "the" + CHINESE * 20 + "house"), (5, "thehouseandthegardenofthisoldtown" * 3 + CHINESE * 20 + " " + ENGLISH),
+            (6, ENGLISH * 9 + CHINESE)]
+    got = {r.doc_id: r for r in found(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(1, 7)] == ["zh", "ja", "th", "zh", "zh", "en"]
+    n = len(CHINESE) * 20
+    assert got[1].spans == f"zh:0:1,en:1:{1 + 2 * len(ENGLISH.split())}"
+    assert got[5].spans == f"en:0:0+99,zh:0+99:1,en:1:{1 + len(ENGLISH.split())}"
+    letters = sum(map(str.isalpha, note))
+    assert got[1].score <= n / (n + letters) < got[1].score + 1e-6
