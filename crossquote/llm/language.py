@@ -246,15 +246,17 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, smoothing: float = 0.5) -> Mo
 def one_language(scores: np.ndarray, switch: float) -> int:
     """The language that labels the whole text in the best path, or -1 if the best path may switch.
 
-    A detour from the language of the best total gains at most the largest sum over a stretch
-    of words, for each language that it visits, and pays ``switch`` for each.
+    A stretch of pieces in another language than that of the best total gains at most the largest such sum. A path
+    with k of these stretches pays ``switch`` k - 1 times at least (it need not visit the best language at all), and
+    once if k is 1, unless the stretch is the whole text, which gains nothing. So if no stretch gains more than half
+    of ``switch``, k of them gain less than they pay.
     """
     best = int(np.argmax(scores.sum(0, dtype=np.float64)))
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64)
     lowest = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
     lowest[1:] = lowest[:-1]
     lowest[0] = 0
-    return best if (gain - lowest).max() <= switch else -1
+    return best if (gain - lowest).max() < switch / 2 else -1  # at half, two stretches can draw
 
 
 def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:

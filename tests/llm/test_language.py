@@ -100,3 +100,16 @@ def test_text_without_spaces_is_read_to_its_end(spark):
     assert got[5].spans == f"en:0:0+99,zh:0+99:1,en:1:{1 + len(ENGLISH.split())}"
     letters = sum(map(str.isalpha, note))
     assert got[1].score <= n / (n + letters) < got[1].score + 1e-6
+
+
+def test_one_language_agrees_with_all_paths():
+    narrow = np.array([[0, 7, -20], [0, -20, 7]], np.float64)
+    assert brute(narrow, 8.0)[1] == (1, 2) and lg.one_language(narrow, 8.0) < 0
+    rng = np.random.default_rng(2)
+    taken = 0
+    for _ in range(1500):
+        scores = rng.normal(0, rng.choice([1, 4]), (rng.integers(1, 6), 3)) - rng.uniform(0, 6, 3) * rng.integers(0, 2)
+        single = lg.one_language(scores, 8.0)
+        assert single < 0 or set(brute(scores, 8.0)[1]) == {single}
+        taken += single >= 0
+    assert taken > 100
