@@ -1,13 +1,13 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-The filter holds quantised counts of words, word pairs and pair totals: an entry whose count has
+The filter holds quantised counts of words and word pairs, those seen once too: an entry whose count has
 level q is put in once for each level 1 to q, and a query probes level after level until one is missing.
 Errors are one-sided and rare, and no n-gram is stored.
 
-    p(w | h) = (c*(h w) + weight * p(w)) / (t*(h) + weight),    p(w) = (c*(w) + 0.1) / (N + 0.1 (V + 1))
+    p(w | h) = (c*(h w) + weight * p(w)) / (c*(h) + weight),    p(w) = (c*(w) + 0.1) / (N + 0.1 (V + 1))
 
-where c*(h w) is the count of the pair less one (a discount of one, so pairs seen once need no
-room), and t*(h) the sum of these over all followers of h. Words and pairs go by 64-bit hashes.
+where c* is the count that a level stands for. Every token has one follower (the end of a text stands before its
+first word), so c(h) is the total over all followers of h. Words and pairs go by 64-bit hashes.
 
 The filter is built in segments, each by the task that has counted its entries, and sized by them. It
 is broadcast in shards of at most ``SHARD_BYTES``; with more than one, the texts pass them one by one and
@@ -29,7 +29,7 @@ from crossquote.llm.substrings import stored
 from crossquote.llm.words import WordTable, chunks, documents, id_remainder, mixed, word_hashes
 
 SEGMENTS = 1024
-BITS_PER_ENTRY, PROBES = 12, 4  # a missing level is taken for present in about 0.7 % of cases
+BITS_PER_ENTRY, PROBES = 12, 8  # a missing level is taken for present in about 0.3 % of cases
 STEP = 1.3  # neighbouring levels differ by this factor, or by one where that is more
 TOP = 64  # levels
 WEIGHT = 50.0
@@ -64,10 +64,6 @@ def pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return (before & np.uint64(0xFFFFFFFF00000000)) | (mixed(words) >> np.uint64(32)) | ONE
 
 
-def history(before: np.ndarray) -> np.ndarray:
-    return mixed((before >> np.uint64(32)) + np.uint64(3)) & ~ONE
-
-
 class Tokens:
     """Token hashes of texts and further features of each different word, remembered while a task runs.
 
@@ -105,7 +101,7 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(training: DataFrame, slices: int) -> DataFrame:
-    """(key, n) of all words, and of all pairs seen twice or more.
+    """(key, n) of all words and all pairs.
 
     Tasks sum what they have read and send it sorted and packed: a row is one slice of the key
     space, its keys as differences of six bytes. Each slice is then summed on its own. Keys are spread by a
@@ -152,9 +148,7 @@ def count_ngrams(training: DataFrame, slices: int) -> DataFrame:
 
     def total(parts: list) -> pa.RecordBatch:
         key, n = _sums(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]))
-        key = key * UNSPREAD
-        keep = (key & ONE == 0) | (n > 1)
-        return pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(n[keep])], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array((key * UNSPREAD).view(np.int64)), pa.array(n)], ["key", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, parts = None, []
@@ -224,16 +218,9 @@ class Filter:
 
 def build_filter(counts: DataFrame) -> DataFrame:
     """(segment, bits): the parts of the filter, as a stored table."""
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    repeats = counts.where(odd)
-    totals = repeats.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.sum(F.col("n") - 1).alias("n"))
-    entries = counts.select("key", F.when(odd, F.col("n") - 1).otherwise(F.col("n")).alias("n"), F.lit(False).alias("total"))
-
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            total = batch.column("total").to_numpy(zero_copy_only=False)
-            key = np.where(total, history(key << np.uint64(32)), key)
             level = np.searchsorted(EDGES, batch.column("n").to_numpy(zero_copy_only=False), "right")
             yield pa.RecordBatch.from_arrays([
                 pa.array(Filter.segment(key).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(level.astype(np.int32))],
@@ -266,7 +253,7 @@ def build_filter(counts: DataFrame) -> DataFrame:
         if codes:
             yield fill(int(own), codes, levels)
 
-    coded = entries.unionByName(totals.withColumn("total", F.lit(True))).mapInArrow(code, "segment int, code long, level int")
+    coded = counts.select("key", "n").mapInArrow(code, "segment int, code long, level int")
     return stored(coded.repartition("segment").sortWithinPartitions("segment").mapInArrow(build, "segment int, bits binary"))
 
 
@@ -287,24 +274,24 @@ def _filter(table: DataFrame, group: list[int]) -> Filter:
 
 
 def _word_levels(own: Filter):
-    """Levels of words and of their pair totals."""
-    return lambda hashes: [own.levels(unigrams(hashes)), own.levels(history(hashes))]
+    """Levels of words."""
+    return lambda hashes: [own.levels(unigrams(hashes))]
 
 
 def _probed(docs: DataFrame, part: Filter) -> DataFrame:
-    """The texts with the levels of their tokens as found so far: of words, totals and pairs, a byte each."""
+    """The texts with the levels of their tokens as found so far: of words and pairs, a byte each."""
     known = docs.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = known.value
-        table = Tokens(_word_levels(own), (np.uint8, np.uint8))
+        table = Tokens(_word_levels(own), (np.uint8,))
         for batch, texts in chunks(batches, size=2 << 20):
-            offsets, (words, single, total) = table(texts)
-            found = np.stack([single, shifted(total), own.levels(pairs(shifted(words), words))], 1)
+            offsets, (words, single) = table(texts)
+            found = np.stack([single, own.levels(pairs(shifted(words), words))], 1)
             rows = []
             for row, have in enumerate(batch.column("levels").to_pylist()):
                 one = found[offsets[row]:offsets[row + 1]]
-                rows.append((one if have is None else one | np.frombuffer(have, np.uint8).reshape(-1, 3)).tobytes())
+                rows.append((one if have is None else one | np.frombuffer(have, np.uint8).reshape(-1, 2)).tobytes())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "text")), pa.array(rows, pa.binary())],
                                              ["doc_id", "held_out", "text", "levels"])
 
@@ -346,18 +333,18 @@ def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, sh
             place = np.minimum(np.searchsorted(known, unigrams(hashes)), max(len(known) - 1, 0))
             return np.where(known[place] == unigrams(hashes), exact[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
 
-        table = Tokens(lambda hashes: [*_word_levels(own)(hashes), counted(hashes)], (np.uint8, np.uint8, np.int64))
+        table = Tokens(lambda hashes: [*_word_levels(own)(hashes), counted(hashes)], (np.uint8, np.int64))
         at = TaskContext.get().partitionId() << 33
         for batch, raw in chunks(batches, size=2 << 20):
-            offsets, (words, single, total, seen) = table(raw)
-            total, before, pair = shifted(total), shifted(words), np.zeros(len(words), np.uint8)
+            offsets, (words, single, seen) = table(raw)
+            before, pair = shifted(words), np.zeros(len(words), np.uint8)
             if batch.column("levels").null_count == 0:
-                levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 3)
-                single, total, pair = single | levels[:, 0], total | levels[:, 1], levels[:, 2].copy()
-            # a repeated pair has a total, and its word is there twice at least; no pair is above its total
-            held = np.flatnonzero((total > 0) & (single > 1))
+                levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 2)
+                single, pair = single | levels[:, 0], levels[:, 1].copy()
+            total = shifted(single)
+            held = np.flatnonzero((total > 0) & (single > 0))  # both words of a pair are there, and as often as it is
             pair[held] |= own.levels(pairs(before[held], words[held]))
-            single, total, pair = MEANT[single], MEANT[total], MEANT[np.minimum(pair, total)]
+            single, total, pair = MEANT[single], MEANT[total], MEANT[np.minimum(pair, np.minimum(total, single))]
             p = (pair + weight * (single + 0.1) / below) / (total + weight)
             key, inside = unigrams(words), seen > 0
             value = np.where(inside, np.log10((seen + 0.1) / below), 0.0)

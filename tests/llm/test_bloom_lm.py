@@ -93,3 +93,39 @@ def test_odd_rows(spark, odd, empty):
     assert lm.score_texts(held(empty), empty).collect() == []
     none = lm.score_texts(held(odd), empty).collect()
     assert len(none) == len(ODD) and all(r.n_known == 0 and r.train_tokens == 0 for r in none)
+
+
+def whole(rows, train, weight):
+    """Scores with the counts of all pairs, seen once or more, and with whole history totals."""
+    c = Counter(w for t in train for w in split(t))
+    n, v = sum(c.values()), len(c)
+    pairs = Counter(p for t in train for p in zip([None, *split(t)], split(t)))
+    totals = Counter()
+    for (h, _), k in pairs.items():
+        totals[h] += k
+
+    def meant(k):
+        return lm.MEANT[np.searchsorted(lm.EDGES, k, "right")]
+
+    return {d: sum(math.log10((meant(pairs[h, w]) + weight * (meant(c[w]) + 0.1) / (n + 0.1 * (v + 1)))
+                              / (meant(totals[h]) + weight)) for h, w in zip([None, *split(t)], split(t))) for d, t in rows}
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 60_000, "frequent": 50}])
+def test_pairs_seen_once_count(spark, options):
+    docs = held(spark.read.parquet(f"{SF}/documents.parquet")).where("doc_id < 60")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = whole(rows, [t for d, t in rows if zlib.crc32(str(d).encode()) % 10], lm.WEIGHT)
+    got = {r.doc_id: r.score for r in lm.score_texts(docs, docs.where("not held_out"), **options).collect()}
+    assert got.keys() == want.keys()
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.005)
+
+
+def test_near_copy_of_a_text_seen_once_beats_its_words(spark):
+    words = [f"w{i}" for i in range(300)]
+    train = [(1, " ".join(words))] + [(i, " ".join(np.random.default_rng(i).permutation(words))) for i in range(2, 5)]
+    asked = [(10, " ".join([*words[:150], "new", *words[151:]])), (11, " ".join(np.random.default_rng(99).permutation(words)))]
+    got = {r.doc_id: r for r in lm.score_texts(*(held(spark.createDataFrame(x, "doc_id long, text string")) for x in (asked, train))).collect()}
+    want = whole(asked, [t for _, t in train], lm.WEIGHT)
+    assert got[10].score > got[11].score + 100 and got[10].score == pytest.approx(want[10], rel=0.01)
+    assert lm.PROBES == 8
