@@ -1,17 +1,18 @@
 """Personal data: fixed patterns, and a BiLSTM-CRF tagger over characters for other ways to write them.
 
 The tagger learns from the spans that the patterns find in a bounded sample, and from the same
-spans written otherwise. Every kind of span has a digit or a sign for "at" in it. The tagger reads all stretches of a
-text around such characters in overlapping windows; elsewhere there is nothing it could
-report. What the windows say is reconciled over the whole text: spans cut by a window's edge give way, and of
-those that overlap the set with the highest total is kept. A span counts if it is sure enough and
-its digits pass the check of its kind.
+spans written otherwise. Overlapping windows lie over the whole text. A span counts if it is sure enough and passes
+the check of its kind, and each check asks for a digit (of any script) or a way to write "at" outside the pattern
+spans; a window without one can report nothing and is not decoded. A span that touches a window's edge inside the text
+is read again in a longer window until it ends. Of spans that overlap the set with the highest total is kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -31,8 +32,17 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-SIGNS = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
-AROUND = 32  # characters read on both sides of a sign
+AT = r"\s*(?:[\[({<]\s*at\s*[\])}>]|[@\uff20])\s*|\s+at\s+"
+DOT = r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+|\."
+#: What a span that passes its check has: a digit, or a sign for "at"; the plain word only before a name with a dot.
+SIGNS = re.compile(r"[\d@\uff20]|[\[({<]\s*at\s*[\])}>]|(?<=\s)at\s+(?=[A-Za-z0-9\uff10-\uff5a-]+(?:" + DOT.replace("\\.", "[.\uff0e]")
+                   + r")[A-Za-z0-9\uff10-\uff5a-])", re.IGNORECASE)
+MOST_DIGITS = {"ip": 12, "card": 19, "phone": 15}
+#: ASCII for full-width characters and for the digits of all scripts
+FOLDED = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {
+    c: 48 + d for c in range(128, sys.maxunicode + 1) if (d := unicodedata.decimal(chr(c), None)) is not None}
+_FOLDED = np.array(sorted(FOLDED))
+_PLAIN = np.array([FOLDED[c] for c in _FOLDED.tolist()])
 WINDOW, STRIDE = 128, 64
 SAMPLE = 3_000  # documents, about, that training windows come from
 WINDOWS = 3_000  # training windows, at most
@@ -84,9 +94,10 @@ def base_spans(text: str) -> list[Span]:
 
 def plausible(kind: str, text: str) -> bool:
     """The check that a tagged span must pass."""
+    text = text.translate(FOLDED)
     digits = digits_of(text)
     if kind == "email":
-        plain = re.sub(r"\s*[\[(]at[\])]\s*|\s*@\s*", "@", text, flags=re.IGNORECASE)
+        plain = re.sub(DOT, ".", re.sub(AT, "@", text, flags=re.IGNORECASE), flags=re.IGNORECASE)
         return base_spans(plain) == [("email", 0, len(plain))]
     if kind == "ip":
         parts = re.split(r"[^0-9]+", text)
@@ -100,7 +111,8 @@ def rewritten(kind: str, text: str) -> list[str]:
     """Other ways to write a span, to learn from."""
     if kind == "email":
         name, _, domain = text.partition("@")
-        return [f"{name} [at] {domain}", f"{name} @ {domain}", f"{name}(at){domain}"]
+        return [f"{name} [at] {domain}", f"{name} @ {domain}", f"{name}(at){domain}", f"{name}{{at}}{domain}",
+                f"{name} at {domain.replace('.', ' dot ')}"]
     if kind == "phone":
         plain = text.lstrip("+")
         return [f"00{plain}", re.sub(r"[() ]+", "-", plain), re.sub(r"[()-]+", " ", plain).replace("  ", " ")]
@@ -110,8 +122,11 @@ def rewritten(kind: str, text: str) -> list[str]:
 
 
 def symbols(text: str) -> np.ndarray:
-    """Character classes: printable ASCII as itself with all digits alike, anything else as one."""
+    """Character classes: printable ASCII (full-width forms too) as itself with all digits alike, anything else as one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    if not text.isascii():
+        at = np.minimum(np.searchsorted(_FOLDED, codes), len(_FOLDED) - 1)
+        codes = np.where(_FOLDED[at] == codes, _PLAIN[at], codes)
     ids = np.where((codes > 31) & (codes < 127), codes - 31, np.where(codes < 32, 0, OTHER))
     return np.where((codes > 47) & (codes < 58), 48 - 31, ids)
 
@@ -127,24 +142,20 @@ def tag_rules() -> tuple[np.ndarray, np.ndarray]:
     return allowed, opening
 
 
-def windows(text: str) -> list[tuple[int, int, bool, bool]]:
-    """(start, end, cut before, cut after) of the windows over all stretches around signs."""
-    stretches: list[list[int]] = []
+def windows(text: str, known: list[Span] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """Windows over the whole text, without those that hold no sign outside the ``known`` spans."""
+    last = max(0, -(-(len(text) - WINDOW) // STRIDE))  # the window that reaches the end
+    ends, starts, reach = [], [], 0
+    for _, a, b in sorted(known, key=lambda s: s[1]):
+        starts.append(a)
+        ends.append(reach := max(reach, b))
+    out, then = [], 0
     for m in SIGNS.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if stretches and a <= stretches[-1][1]:
-            stretches[-1][1] = b
-        else:
-            stretches.append([a, b])
-    out = []
-    for a, b in stretches:
-        at = a
-        while True:
-            end = min(at + WINDOW, b)
-            out.append((at, end, at > a, end < b))
-            if end == b:
-                break
-            at += STRIDE
+        if starts and (at := bisect_right(starts, m.start()) - 1) >= 0 and m.start() < ends[at]:
+            continue
+        first = max(then, -(-(m.start() + 1 - WINDOW) // STRIDE))
+        then = max(then, min(m.start() // STRIDE, last) + 1)
+        out += [(k * STRIDE, min(k * STRIDE + WINDOW, len(text))) for k in range(first, then)]
     return out
 
 
@@ -157,7 +168,7 @@ def training_windows(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS)
             found = []
             for raw in texts:
                 text = raw.decode("utf-8", "replace")
-                found += [text[a:b] for a, b, _, _ in windows(text)][:64] + [text[:WINDOW]]
+                found += [text[a:b] for a, b in windows(text)][:64] + [text[:WINDOW]]
             yield pa.RecordBatch.from_arrays([pa.array([f for f in found if f], pa.string())], ["window"])
 
     signed = docs.where(F.col("text").rlike("[0-9@]"))
@@ -224,12 +235,13 @@ def padded(rows: list[tuple[np.ndarray, np.ndarray]]):
     return ids, mask, tags
 
 
-def tagged(tagger: Tagger, texts: list[str], rows: int = 256) -> list[list[tuple[float, Span]]]:
+def tagged(tagger: Tagger, texts: list[str], cells: int = 256 * WINDOW) -> list[list[tuple[float, Span]]]:
     """Spans that the tagger decodes in each window text, with their mean probability."""
     out: list[list[tuple[float, Span]]] = [[] for _ in texts]
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    for at in range(0, len(order), rows):
-        own = order[at:at + rows]
+    while order:
+        rows = max(1, cells // max(1, len(texts[order[-1]])))
+        own, order = order[-rows:], order[:-rows]
         ids, mask, _ = padded([(s := symbols(texts[i]), np.zeros(len(s), np.int64)) for i in own])
         scores = tagger.emissions(ids, mask)
         tags = tagger.decode(scores, mask)
@@ -266,23 +278,62 @@ def best_set(spans: list[tuple[float, Span]]) -> list[tuple[float, Span]]:
     return out[::-1]
 
 
+def may_go_on(span: Span, text: str, base: list[Span]) -> bool:
+    """Whether a span cut by a window's edge can be reported when it is whole: not over a pattern span or with too many digits."""
+    kind, a, b = span
+    if any(x < b and a < y for _, x, y in base):
+        return False
+    return kind not in MOST_DIGITS or len(digits_of(text[a:b].translate(FOLDED))) <= MOST_DIGITS[kind]
+
+
+def grown(span: Span, text: str) -> Span:
+    """The span with the rest of the name, domain or number that it begins or ends in, so that no part of it stays behind."""
+    kind, a, b = span
+    own = LOCAL if kind == "email" else "0123456789"
+    while a and text[a - 1].translate(FOLDED) in own:
+        a -= 1
+    own = LOCAL[:-5] + "-" if kind == "email" else own
+    while b < len(text) and (text[b].translate(FOLDED) in own or kind == "email" and text[b].translate(FOLDED) == "."
+                             and text[b + 1:b + 2].translate(FOLDED) in tuple(own)):
+        b += 1
+    return kind, a, b
+
+
+def merged(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of stretches, so that what many windows ask for is read once."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]], sure: float = SURE) -> list[list[Span]]:
     """What the tagger finds beside the pattern spans of each text."""
     out: list[list[Span]] = [[] for _ in texts]
     if tagger is None:
         return out
-    asked = [(i, w) for i, text in enumerate(texts) for w in windows(text)]
-    for at in range(0, len(asked), 4096):
-        part = asked[at:at + 4096]
-        held: dict[int, dict[Span, float]] = {}
-        for (i, (a, b, before, after)), spans in zip(part, tagged(tagger, [texts[i][w[0]:w[1]] for i, w in part])):
-            for p, (kind, s, e) in spans:
-                if not (before and s == 0 or after and e == b - a):
-                    own = held.setdefault(i, {})
+    asked = [(i, *w) for i, text in enumerate(texts) for w in windows(text, base[i])]
+    held: dict[int, dict[Span, float]] = {}
+    while asked:
+        longer: dict[int, list[tuple[int, int]]] = {}
+        for at in range(0, len(asked), 4096):
+            part = asked[at:at + 4096]
+            for (i, a, b), spans in zip(part, tagged(tagger, [texts[i][a:b] for i, a, b in part])):
+                for p, (kind, s, e) in spans:
                     span = (kind, a + s, a + e)
-                    own[span] = max(p, own.get(span, 0.0))
-        for i, spans in held.items():
-            out[i] += [(p, s) for s, p in spans.items()]
+                    before, after = a > 0 and s == 0, b < len(texts[i]) and e == b - a
+                    if not (before or after):
+                        own, span = held.setdefault(i, {}), grown(span, texts[i])
+                        own[span] = max(p, own.get(span, 0.0))
+                    elif may_go_on(span, texts[i], base[i]):
+                        step = max(STRIDE, b - a)
+                        longer.setdefault(i, []).append((max(0, a - step * before), min(len(texts[i]), b + step * after)))
+        asked = [(i, a, b) for i, own in longer.items() for a, b in merged(own)]
+    for i, spans in held.items():
+        out[i] = [(p, s) for s, p in spans.items()]
     for i, spans in enumerate(out):
         taken = np.zeros(len(texts[i]) + 1 if spans else 0, bool)
         for _, a, b in base[i] if spans else []:

@@ -141,3 +141,54 @@ def test_odd_rows(spark, odd, empty, trained):
         "doc_id long, text string, lang string, source string, n_chars long"), None).collect()}
     assert clean[1].text == "mail [EMAIL] or [PHONE] now" and clean[1].n_chars == 27
     assert clean[2].text is None and clean[2].n_chars is None
+
+
+@pytest.mark.parametrize("name,domain", [(5, 5), (40, 5), (5, 40), (60, 60), (150, 10), (10, 150), (300, 300)])
+def test_spans_longer_than_windows_stay_whole(monkeypatch, name, domain):
+    def lower_runs(tagger, texts):
+        return [[(0.99, ("email", *m.span())) for m in re.finditer(r"[a-z\[\].]+", t)] for t in texts]
+
+    monkeypatch.setattr(pii, "tagged", lower_runs)
+    address = f"{'n' * name}[at]{'d' * domain}.org"
+    for lead in range(0, 200, 7):
+        text = "W" * lead + " " + address + " " + "WORD " * 40
+        assert pii.added_spans(object(), [text], [[]]) == [[("email", lead + 1, lead + 1 + len(address))]]
+        assert pii.redact_text(text, pii.added_spans(object(), [text], [[]])[0]) == text.replace(address, "[EMAIL]")
+
+
+def test_no_reportable_span_is_outside_the_windows():
+    rng = random.Random(3)
+    spellings = [("email", "jane at example dot com"), ("email", "jane{at}example.com"), ("email", "jane＠example．com"),
+                 ("email", "jane < AT > mail(dot)example dot org"), ("email", "jane@example dot com"),
+                 ("phone", "＋１ ５５１ ５５５ ０８２６"), ("ip", "１２.٣.4 . 5"), ("card", "４８４４-5086-6531-7339")]
+    for kind, new in spellings:
+        assert pii.plausible(kind, new)
+        for _ in range(20):
+            lead = "w " * rng.randint(0, 200)
+            a, b = len(lead), len(lead) + len(new)
+            text = lead + new + " w" * rng.randint(0, 200)
+            for x in range(0, len(text), pii.STRIDE):  # each window of the whole text with the span in it is read
+                y = min(x + pii.WINDOW, len(text))
+                assert not (x <= a and b <= y) or y < x + pii.STRIDE or (x, y) in pii.windows(text) or x > 0 and y - x <= pii.STRIDE
+            assert any(x <= a and b <= y for x, y in pii.windows(text))
+    assert pii.windows("at home. the end dot " * 30) == []
+    assert pii.grown(("email", 8, 17), "x johan.doe[at]a.b-c.org. Then")[1:] == (2, 24)
+    assert not pii.plausible("email", "at home. the end")
+    assert (pii.symbols("jane＠x．y ５٣") == pii.symbols("jane@x.y 53")).all()
+
+
+@pytest.mark.parametrize("spelling", ["{0} at {2}", "{0}{{at}}{1}", "{0}＠{1}", "full width"])
+def test_spellings_without_an_ascii_sign_are_found(spark, trained, spelling):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(
+        "doc_id > 5000 and text like '%@%'").collect()]
+    wanted = hit = 0
+    for text in [t for t in texts if len(t) < 5000][:150]:
+        for _, a, b in [s for s in pii.base_spans(text) if s[0] == "email"][:1]:
+            name, domain = text[a:b].split("@")
+            new = spelling.format(name, domain, domain.replace(".", " dot "))
+            if spelling == "full width":
+                new = "".join(chr(ord(c) + 0xFEE0) for c in text[a:b])
+            whole = text[:a] + new + text[b:]
+            wanted += 1
+            hit += ("email", a, a + len(new)) in pii.added_spans(trained, [whole], [pii.base_spans(whole)])[0]
+    assert wanted > 30 and hit >= 0.7 * wanted
