@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crossquote.llm import (bloom_lm, language, mixing, ngram_join, packing, personal_data, quality, quotations,
+from crossquote.llm import (bloom_lm, language, merkle, mixing, ngram_join, packing, personal_data, quality, quotations,
                             simhash, substrings)
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_super_kmers": substrings.op9_super_kmers,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -24,4 +25,5 @@ ORACLES: dict[str, str] = {
     "op6_weighted_mix": mixing.ORACLE,
     "op9_super_kmers": substrings.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
