@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crossquote.llm import (bloom_lm, language, merkle, mixing, ngram_join, packing, personal_data, quality, quotations,
-                            simhash, substrings)
+from crossquote.llm import (bloom_lm, language, merkle, mixing, ngram_join, packing, personal_data, pieces, quality,
+                            quotations, simhash, substrings)
 
 QUERIES = {
     "op1_quotation_links": quotations.op1_quotation_links,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_super_kmers": substrings.op9_super_kmers,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
+    "op11_piece_agenda": pieces.op11_piece_agenda,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
