@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from crossquote.llm import (bloom_lm, language, merkle, mixing, ngram_join, packing, personal_data, pieces, quality,
-                            quotations, simhash, substrings)
+from crossquote.llm import (bloom_lm, cover_tree, language, merkle, mixing, ngram_join, packing, personal_data, pieces,
+                            quality, quotations, simhash, substrings)
 
 QUERIES = {
     "op1_quotation_links": quotations.op1_quotation_links,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_super_kmers": substrings.op9_super_kmers,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
     "op11_piece_agenda": pieces.op11_piece_agenda,
+    "op12_cover_negatives": cover_tree.op12_cover_negatives,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op6_weighted_mix": mixing.ORACLE,
     "op9_super_kmers": substrings.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,
+    "op12_cover_negatives": cover_tree.ORACLE,
     "op13_merkle_manifest": merkle.ORACLE,
 }
