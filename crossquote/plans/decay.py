@@ -71,7 +71,7 @@ def _run_exits(gap: int):
 def _chain_starts(gap: int):
     """Walk one pair's run summaries in order and tell each run the earliest time it may keep."""
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, allowed = [], np.iinfo(np.int64).min
+        out, allowed = [], int(pdf["since"].iloc[0])
         for run, part in pdf.sort_values(["run", "upto"]).groupby("run", sort=True):
             out.append((part["pair_id"].iloc[0], int(run), allowed))
             hit = part["upto"].to_numpy() >= allowed
@@ -93,9 +93,11 @@ def _keep_rows(gap: int):
     return work
 
 
-def throttle(rows: DataFrame, seconds: float = MIN_INTERVAL_SECONDS) -> DataFrame:
+def throttle(rows: DataFrame, seconds: float = MIN_INTERVAL_SECONDS, last_kept: DataFrame | None = None) -> DataFrame:
     """Keep a pair's row when at least ``seconds`` passed since its last kept row.
 
+    ``last_kept`` (pair_id, last) tells of rows kept before these.
+
     The rule is sequential per pair, but a sorted run only needs one number from the runs before
     it. So every run reports where its chain would end for each possible start, the (few) run
     summaries of a pair are chained, and then all runs select their rows independently. A pair
@@ -106,6 +108,11 @@ def throttle(rows: DataFrame, seconds: float = MIN_INTERVAL_SECONDS) -> DataFram
     slim = keyed.select("pair_id", F.unix_micros("ts").alias("us"), "seq", rn.RUN)
     exits = slim.groupBy("pair_id", rn.RUN).applyInPandas(
         _run_exits(gap), "pair_id string, run long, upto long, end long, tail long")
+    if last_kept is not None:
+        exits = exits.join(last_kept.select("pair_id", (F.unix_micros("last") + gap).alias("since")), "pair_id", "left")
+    else:
+        exits = exits.withColumn("since", F.lit(None).cast("long"))
+    exits = exits.withColumn("since", F.coalesce("since", F.lit(-(1 << 63))))
     starts = exits.groupBy("pair_id").applyInPandas(
         _chain_starts(gap), "pair_id string, run long, allowed long")
     walked = slim.join(starts.withColumnRenamed("run", rn.RUN), ["pair_id", rn.RUN])
@@ -129,12 +136,16 @@ def crossing(raw: Column, previous: Column, open_above: float = OPEN_ABOVE,
 
 
 def mark_episodes(rows: DataFrame, open_above: float = OPEN_ABOVE,
-                  close_below: float = CLOSE_BELOW) -> DataFrame:
-    """Rows (pair_id, ts, seq, raw_spread) with ``state`` (-1, 0, 1) and running ``episode_no``."""
+                  close_below: float = CLOSE_BELOW, carried: str | None = None) -> DataFrame:
+    """Rows (pair_id, ts, seq, raw_spread) with ``state`` (-1, 0, 1) and running ``episode_no``.
+
+    A value in the column ``carried`` is a row's state, whatever its spread; it stands for rows before it.
+    """
     keys = ["pair_id"]
     marked = rn.sorted_runs(rows, keys, ORDER)
     marked = rn.scan_last(marked, keys, ORDER, {}, before={"_prev": F.col("raw_spread")})
-    marked = marked.withColumn("_cross", crossing(F.col("raw_spread"), F.col("_prev"), open_above, close_below))
+    cross = crossing(F.col("raw_spread"), F.col("_prev"), open_above, close_below)
+    marked = marked.withColumn("_cross", cross if carried is None else F.coalesce(carried, cross))
     marked = rn.scan_last(marked, keys, ORDER, {"_state": F.col("_cross")}, before={"_before": F.col("_cross")})
     marked = materialize(marked.withColumns({  # each scan reads its input twice
         "state": F.coalesce("_state", F.lit(0)), "_before": F.coalesce("_before", F.lit(0))}))

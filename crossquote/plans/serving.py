@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
 from crossquote.functions.text import topic_words
+from crossquote.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 DIVERSITY = 0.65
-POOL_FACTOR = 6
 ENTRY_LOOKBACK_DAYS = 30
 CURVE_DAYS = 365
 SCORE_BANDS = (0.80, 0.85, 0.90)
@@ -27,11 +26,10 @@ def top_candidates(pairs: DataFrame, min_score: float = 0.70, *, limit: int) ->
 
 def top_signals(signals: DataFrame, texts: DataFrame | None = None, *, min_ev: float = 0.0,
                 min_confidence: float = 0.0, platform: str | None = None, limit: int,
-                diverse: bool = False, diversity: float = DIVERSITY,
-                pool_factor: int = POOL_FACTOR) -> DataFrame:
-    """Best signals by expected profit, with question texts; optionally diversified.
+                diversity: float | None = None, pool: int | None = None) -> DataFrame:
+    """Best signals by expected profit, with question texts; with a ``diversity`` diversified among the ``pool`` best (None: all).
 
-    ``texts``: pair_id, text_a, text_b. The limit is applied before the text join.
+    ``texts``: pair_id, text_a, text_b. The limit, or the pool, is applied before the text join.
     """
     rows = signals
     if min_ev > 0:
@@ -40,13 +38,14 @@ def top_signals(signals: DataFrame, texts: DataFrame | None = None, *, min_ev: f
         rows = rows.where(F.col("confidence") >= min_confidence)
     if platform:
         rows = rows.where((F.col("platform_a") == platform) | (F.col("platform_b") == platform))
-    pool = limit * pool_factor if diverse else limit
-    best = rows.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
+    most = limit if diversity is None else pool
+    best = rows if most is None else rows.orderBy(F.desc("expected_profit"), "pair_id").limit(most)
     if texts is not None:
         best = best.join(texts.select("pair_id", "text_a", "text_b"), "pair_id", "left").fillna(
             "", ["text_a", "text_b"])
-    return diversify(best, limit, pool, diversity) if diverse else best.orderBy(
-        F.desc("expected_profit"), "pair_id")
+    if diversity is not None:
+        return diversify(best, limit, pool=None, weight=diversity)
+    return best.orderBy(F.desc("expected_profit"), "pair_id")
 
 
 def top_validated(validated: DataFrame, executable_only: bool = False, *, limit: int) -> DataFrame:
@@ -54,40 +53,64 @@ def top_validated(validated: DataFrame, executable_only: bool = False, *, limit:
     return rows.orderBy(F.desc("expected_profit"), "pair_id").limit(limit)
 
 
-def _pick_diverse(limit: int, weight: float):
-    """Greedy pick on one bounded pool: profit against overlap with what is already picked."""
-    def pick(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values(["expected_profit", "pair_id"], ascending=[False, True]).reset_index(drop=True)
-        sets = [set(w) if len(w) else {p} for w, p in zip(pool["words"], pool["pair_id"])]
-        top = float(pool["expected_profit"].max())
-        gain = weight * pool["expected_profit"].to_numpy() / (top if top > 0 else 1.0)
-        overlap = [0.0] * len(pool)
-        chosen, left = [0], list(range(1, len(pool)))
-        while len(chosen) < limit and left:
-            newest = sets[chosen[-1]]
-            for i in left:
-                overlap[i] = max(overlap[i], len(sets[i] & newest) / len(sets[i] | newest))
-            best = max(left, key=lambda i: (gain[i] - (1.0 - weight) * overlap[i], -i))
-            chosen.append(best)
-            left.remove(best)
-        return pd.DataFrame({"pair_id": pool["pair_id"].iloc[chosen], "pick": range(1, len(chosen) + 1)})
-    return pick
-
-
-def diversify(signals: DataFrame, limit: int, pool: int, weight: float = DIVERSITY) -> DataFrame:
-    """Adds ``pick`` (1..limit) by maximal marginal relevance over topic words.
-
-    The choice is made among the ``pool`` best signals. It is greedy and sees the pool at once, in one
-    task, so the pool bounds its memory.
+def _greedy(block: Sequence[Row], picked: list[Row], limit: int, weight: float, next_best: tuple | None) -> list[Row]:
+    """Picks from ``block``, rows with their scores against ``picked``, while no row outside can be better.
+
+    Scores only fall as more is picked, so ``next_best``, the key of the best row outside, bounds all of those.
+    """
+    words = [set(r["words"]) for r in block]
+    overlap = [r["overlap"] for r in block]
+    place = {pair: n for n, pair in enumerate(sorted(r["pair_id"] for r in block))}
+    left, chosen = set(range(len(block))), []
+    while left and len(picked) + len(chosen) < limit:
+        best = max(left, key=lambda i: (block[i]["gain"] - (1.0 - weight) * overlap[i], block[i]["expected_profit"],
+                                        -place[block[i]["pair_id"]]))
+        row = block[best]
+        score = row["gain"] - (1.0 - weight) * overlap[best]
+        if next_best is not None:
+            other, profit, pair = next_best
+            if (score, row["expected_profit"]) < (other, profit) or (
+                    (score, row["expected_profit"]) == (other, profit) and row["pair_id"] > pair):
+                break
+        chosen.append(row)
+        left.discard(best)
+        for i in left:
+            overlap[i] = max(overlap[i], len(words[i] & words[best]) / len(words[i] | words[best]))
+    return chosen
+
+
+def diversify(signals: DataFrame, limit: int, *, pool: int | None, weight: float = DIVERSITY, block: int = 1000) -> DataFrame:
+    """Adds ``pick`` (1..limit) by maximal marginal relevance over topic words, among the ``pool`` best signals (None: all).
+
+    Lazy greedy: a score can only fall while more is picked, so scores of an earlier round are upper bounds. A round scores all signals against
+    the picks so far in Spark and takes the ``block`` best to the driver; picks go on there as long as they beat the best signal outside the block.
+    Each round picks at least one, usually many. Equal scores go by profit, then by pair_id.
     """
-    if limit > pool:
-        raise ValueError("the pool must hold as many signals as are picked")
     have = set(signals.columns)
     texts = [F.col(c) for c in ("text_a", "text_b") if c in have] or [F.lit("")]
-    best = signals.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
-    keyed = best.select("pair_id", "expected_profit", topic_words(*texts).alias("words"), F.lit(0).alias("g"))
-    picked = keyed.groupBy("g").applyInPandas(_pick_diverse(limit, weight), "pair_id string, pick int")
-    return best.join(F.broadcast(picked), "pair_id")
+    rows = signals if pool is None else signals.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
+    rows = materialize(rows.withColumn("_words", topic_words(*texts)))
+    top = rows.agg(F.max("expected_profit")).first()[0] or 0.0
+    words = F.when(F.size("_words") > 0, F.col("_words")).otherwise(F.array("pair_id"))
+    keyed = rows.select("pair_id", "expected_profit", words.alias("words"),
+                        (F.lit(weight) * F.col("expected_profit") / F.lit(float(top) if top > 0 else 1.0)).alias("gain"))
+    spark, picked = signals.sparkSession, []
+    while len(picked) < limit:
+        sets = F.broadcast(spark.createDataFrame([([r["words"] for r in picked], [r["pair_id"] for r in picked])],
+                                                 "sets array<array<string>>, gone array<string>"))  # at most ``limit`` sets
+        shared = lambda w: F.size(F.array_intersect("words", w)) / F.size(F.array_union("words", w))
+        scored = keyed.crossJoin(sets).where(~F.array_contains("gone", F.col("pair_id"))).withColumn(
+            "overlap", F.coalesce(F.array_max(F.transform("sets", shared)), F.lit(0.0)))
+        scored = scored.select("pair_id", "expected_profit", "words", "gain", "overlap",
+                               (F.col("gain") - F.lit(1.0 - weight) * F.col("overlap")).alias("score"))
+        best = scored.orderBy(F.desc("score"), F.desc("expected_profit"), "pair_id").limit(block + 1).collect()
+        rest = best[block] if len(best) > block else None
+        chosen = _greedy(best[:block], picked, limit, weight, rest and (rest["score"], rest["expected_profit"], rest["pair_id"]))
+        picked += chosen
+        if not chosen:  # none are left
+            break
+    order = spark.createDataFrame([(r["pair_id"], n) for n, r in enumerate(picked, 1)], "pair_id string, pick int")
+    return rows.drop("_words").join(F.broadcast(order), "pair_id")
 
 
 def signal_stats(signals: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ from crossquote.session import materialize
 
 
 def merge_latest(current: DataFrame | None, incoming: DataFrame, keys: Sequence[str],
-                 version: str | None = None) -> DataFrame:
+                 version: str | None = None, oldest_first: bool = False) -> DataFrame:
     """Keyed union: incoming rows replace current ones; within the batch the highest version wins.
 
+    With ``oldest_first`` the highest version wins over current rows as well, so batches may come in any order.
     One aggregate with map-side combine; no window over a key's rows.
     """
     rank = F.col(version) if version else F.lit(0)
@@ -29,7 +30,8 @@ def merge_latest(current: DataFrame | None, incoming: DataFrame, keys: Sequence[
         old = current.select(*incoming.columns)
         rows = old.select(F.struct(*incoming.columns).alias("_r"), F.lit(0).alias("_new"),
                           rank.alias("_ver"), F.lit(0).cast("long").alias("_tie"), *keys).unionByName(rows)
-    newest = rows.groupBy(*keys).agg(F.max_by("_r", F.struct("_new", "_ver", "_tie")).alias("_r"))
+    order = ["_ver", "_new", "_tie"] if oldest_first else ["_new", "_ver", "_tie"]
+    newest = rows.groupBy(*keys).agg(F.max_by("_r", F.struct(*order)).alias("_r"))
     return newest.select("_r.*")
 
 
@@ -95,21 +97,21 @@ class KeyedTable:
         stored = self._stored()
         return None if stored is None else stored.where(~F.col(GONE)).drop(BUCKET, GONE)
 
-    def _apply(self, rows: DataFrame, version: str | None = None) -> None:
+    def _apply(self, rows: DataFrame, version: str | None = None, oldest_first: bool = False) -> None:
         # read twice below, and its input may be a whole join
         filed = materialize(rows.withColumn(BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")))
         stored = self._stored()
         if stored is not None:
             touched = [r[0] for r in filed.select(BUCKET).distinct().collect()]  # at most ``buckets``
             stored = stored.where(F.col(BUCKET).isin(touched))
-        merged = merge_latest(stored, filed, self.keys, version)
+        merged = merge_latest(stored, filed, self.keys, version, oldest_first)
         # The merge reads the folder it replaces, so it is written elsewhere first.
         frozen = materialize(merged.repartition(F.col(BUCKET), F.pmod(F.hash(*self.keys), F.lit(self.writers))))
         (frozen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(BUCKET).parquet(self.path))
 
-    def upsert(self, incoming: DataFrame, version: str | None = None) -> None:
-        self._apply(incoming.withColumn(GONE, F.lit(False)), version)
+    def upsert(self, incoming: DataFrame, version: str | None = None, oldest_first: bool = False) -> None:
+        self._apply(incoming.withColumn(GONE, F.lit(False)), version, oldest_first)
 
     def delete(self, doomed: DataFrame) -> int:
         """Remove rows by key; returns how many existed."""
@@ -129,7 +131,7 @@ class VectorCollection(KeyedTable):
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         super().__init__(spark, path, ["namespace", "id"], buckets)
 
-    def upsert(self, incoming: DataFrame, version: str | None = None) -> None:
+    def upsert(self, incoming: DataFrame, version: str | None = None, oldest_first: bool = False) -> None:
         current = self.read()
         length = F.size("vector")
         sizes = incoming.groupBy("namespace").agg(F.min(length).alias("lo"), F.max(length).alias("hi"))
@@ -141,7 +143,7 @@ class VectorCollection(KeyedTable):
         bad = [r[0] for r in sizes.where(clash).select("namespace").limit(5).collect()]
         if bad:
             raise ValueError(f"vector length mismatch in namespaces {bad}")
-        super().upsert(incoming.withColumn("vector", F.col("vector").cast("array<float>")), version)
+        super().upsert(incoming.withColumn("vector", F.col("vector").cast("array<float>")), version, oldest_first)
 
     def counts(self) -> DataFrame | None:
         current = self.read()

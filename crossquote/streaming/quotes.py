@@ -1,23 +1,20 @@
 """Structured Streaming forms of the quote operators.
 
-All stateful operators keep one small state per key; state of keys that stop sending is
-dropped by the watermark. Times must be TIMESTAMP (not the zone-less type) for watermarks.
+These keep their state in Spark's state store, which the watermark clears; ``latest_quotes`` keeps one row per
+market for as long as it runs. Rules that walk a pair's rows in order are in ``carried``. Times must be
+TIMESTAMP (not the zone-less type) for watermarks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from threading import Lock
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-from crossquote.plans.decay import CLOSE_BELOW, MAX_SECONDS, MIN_INTERVAL_SECONDS, OPEN_ABOVE
-
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STARTING = Lock()
 
 
 def unique_events(stream: DataFrame, delay: str = "10 minutes", key: str = "event_id") -> DataFrame:
@@ -31,24 +28,12 @@ def latest_quotes(stream: DataFrame, value: str = "yes_price") -> DataFrame:
         F.max("ts").alias("ts"), F.max_by(value, F.struct("ts", "seq")).alias(value))
 
 
-def hourly_prices(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Last price per market and hour, emitted once when the watermark passes the hour."""
-    return (stream.withWatermark("ts", delay)
-            .groupBy(F.window("ts", "1 hour"), "platform", "market_id")
-            .agg(F.max_by("yes_price", F.struct("ts", "seq")).alias("price")))
-
-
 def hourly_spreads(stream: DataFrame, pairs: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Spread per pair and hour: both legs are folded into one windowed aggregate.
 
     ``pairs`` is a static table; a tick is routed to every pair it belongs to.
     """
-    legs = None
-    for side in "ab":
-        keyed = pairs.select("pair_id", F.col(f"platform_{side}").alias("platform"),
-                             F.col(f"id_{side}").alias("market_id"), F.lit(side).alias("side"))
-        legs = keyed if legs is None else legs.unionByName(keyed)
-    routed = stream.withWatermark("ts", delay).join(legs, ["platform", "market_id"])
+    routed = routed_ticks(stream.withWatermark("ts", delay), pairs)
     last = lambda s: F.max_by("yes_price", F.when(F.col("side") == s, F.struct("ts", "seq")))
     both = routed.groupBy(F.window("ts", "1 hour"), "pair_id").agg(
         last("a").alias("price_a"), last("b").alias("price_b"))
@@ -56,122 +41,42 @@ def hourly_spreads(stream: DataFrame, pairs: DataFrame, delay: str = "2 hours")
         "pair_id", F.col("window.start").alias("hour"), (F.col("price_a") - F.col("price_b")).alias("spread"))
 
 
-def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """One key's rows of a micro-batch in event order."""
-    frames = [f for f in rows if len(f)]
-    return pd.concat(frames).sort_values(["ts", "seq"]) if frames else pd.DataFrame()
-
-
-class ThrottleProcessor(StatefulProcessor):
-    """Keeps the time of the last kept row of a pair."""
-
-    def __init__(self, seconds: float = MIN_INTERVAL_SECONDS):
-        self.gap = int(seconds * 1_000_000)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows)
-        if not len(batch):
-            return
-        allowed = self.last.get()[0] + self.gap if self.last.exists() else None
-        kept, times = [], batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        for i, t in enumerate(times):
-            if allowed is None or t >= allowed:
-                kept.append(i)
-                allowed = int(t) + self.gap
-        if kept:
-            self.last.update((allowed - self.gap,))
-            yield batch.iloc[kept][["pair_id", "ts", "seq", "raw_spread"]]
-
-    def close(self) -> None:
-        pass
-
-
-THROTTLED = "pair_id string, ts timestamp, seq long, raw_spread double"
-
-
-def throttle(stream: DataFrame, seconds: float = MIN_INTERVAL_SECONDS) -> DataFrame:
-    """Streaming form of ``decay.throttle`` (rows of one micro-batch are put in event order)."""
-    return stream.select("pair_id", "ts", "seq", "raw_spread").groupBy("pair_id").transformWithStateInPandas(
-        ThrottleProcessor(seconds), outputStructType=THROTTLED, outputMode="Append", timeMode="None")
-
-
-_EPISODE = StructType([
-    StructField("state", LongType()), StructField("number", LongType()), StructField("prev", DoubleType()),
-    StructField("start", LongType()), StructField("opening", DoubleType()), StructField("peak", DoubleType()),
-    StructField("current", DoubleType()), StructField("count", LongType()), StructField("expired", LongType())])
-
-EPISODES = ("pair_id string, episode_no long, start_us long, end_us long, opening_spread double, "
-            "peak_spread double, current_spread double, status string, snapshot_count long")
-
-
-class EpisodeProcessor(StatefulProcessor):
-    """Follows one pair's spread and emits each episode when it ends."""
-
-    def __init__(self, open_above: float, close_below: float, max_seconds: float):
-        self.open_above, self.close_below = open_above, close_below
-        self.limit = int(max_seconds * 1_000_000)
+def routed_ticks(stream: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every tick once for each pair and side (``a`` or ``b``) it belongs to; ``pairs`` is a static table."""
+    legs = None
+    for side in "ab":
+        keyed = pairs.select("pair_id", F.col(f"platform_{side}").alias("platform"),
+                             F.col(f"id_{side}").alias("market_id"), F.lit(side).alias("side"))
+        legs = keyed if legs is None else legs.unionByName(keyed)
+    return stream.join(legs, ["platform", "market_id"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("episode", _EPISODE)
 
-    def _side(self, raw: float, prev: float | None, side: int) -> int:
-        if abs(raw) > self.open_above:
-            return 1 if raw > 0 else -1
-        if abs(raw) < self.close_below or (prev is not None and (raw > 0) != (prev > 0)):
-            return 0
-        return side
+def fresh_pairs(ticks: DataFrame, quotes: DataFrame, tolerance: str, delay: str = "10 minutes") -> DataFrame:
+    """Each tick with every quote of its pair's other side from the last ``tolerance`` before it.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = _ordered(rows)
-        if not len(batch):
-            return
-        if self.saved.exists():
-            side, number, prev, start, opening, peak, current, count, expired = self.saved.get()
-        else:
-            side, number, prev, start, opening, peak, current, count, expired = 0, 0, None, 0, 0.0, 0.0, 0.0, 0, 0
-        out = []
-
-        def finish(status: str, end: int) -> None:
-            out.append((key[0], number, start, end, opening, peak, current, status, count))
-
-        times = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        for t, raw in zip(times, batch["raw_spread"].to_numpy()):
-            t, raw = int(t), float(raw)
-            now = self._side(raw, prev, side)
-            if side and not expired and t >= start + self.limit:
-                expired = 1
-                finish("expired", start + self.limit)
-            if now != side:
-                if side and not expired:
-                    finish("closed" if abs(raw) < self.close_below else "reversed", t)
-                if now:
-                    number, start, opening, peak, count, expired = number + 1, t, abs(raw), 0.0, 0, 0
-            if now and not expired:
-                peak, current, count = max(peak, abs(raw)), abs(raw), count + 1
-            side, prev = now, raw
-        self.saved.update((side, number, prev, start, opening, peak, current, count, expired))
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EPISODES.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-def episodes(stream: DataFrame, open_above: float = OPEN_ABOVE, close_below: float = CLOSE_BELOW,
-             max_seconds: float = MAX_SECONDS) -> DataFrame:
-    """Finished episodes of a snapshot stream; same rules as the batch form."""
-    return stream.select("pair_id", "ts", "seq", "raw_spread").groupBy("pair_id").transformWithStateInPandas(
-        EpisodeProcessor(open_above, close_below, max_seconds), outputStructType=EPISODES,
-        outputMode="Append", timeMode="None")
-
-
-def fresh_pairs(pairs: DataFrame, tolerance: str = "7 days") -> DataFrame:
-    """Rows with quote times ts_a and ts_b where neither quote is older than ``tolerance``."""
-    gap = F.expr(f"interval {tolerance}")
-    return pairs.where((F.col("ts_a") <= F.col("ts_b") + gap) & (F.col("ts_b") <= F.col("ts_a") + gap))
+    Both inputs are streams of ``routed_ticks`` (pair_id, side, ts, seq, yes_price) with a watermark of ``delay``. The time range in the join
+    condition lets Spark drop quotes older than watermark less tolerance, and ticks as soon as no quote
+    can match them, from its state. A tick without a fresh quote gives no row: a stale quote is no quote.
+    ``latest_fresh`` picks a tick's newest quote from the rows seen so far.
+    """
+    tick = ticks.select("pair_id", "side", "ts", "seq", F.col("yes_price").alias("price")).withWatermark("ts", delay)
+    quote = quotes.select(F.col("pair_id").alias("_pair"), F.col("side").alias("_side"), F.col("ts").alias("quote_ts"),
+                          F.col("seq").alias("quote_seq"), F.col("yes_price").alias("quote_price")).withWatermark("quote_ts", delay)
+    met = tick.join(quote, (F.col("pair_id") == F.col("_pair")) & (F.col("side") != F.col("_side"))
+                    & (F.col("quote_ts") <= F.col("ts")) & (F.col("quote_ts") >= F.col("ts") - F.expr(f"interval {tolerance}")))
+    earlier = (F.col("quote_ts") < F.col("ts")) | (F.col("quote_seq") < F.col("seq"))
+    return met.where(earlier).drop("_pair", "_side")
+
+
+def latest_fresh(rows: DataFrame) -> DataFrame:
+    """The newest quote of each tick and pair, with both prices by side; ``version`` orders it against those of other batches."""
+    newest = rows.groupBy("pair_id", "seq").agg(
+        F.first("side").alias("side"), F.first("ts").alias("ts"), F.first("price").alias("price"),
+        F.max(F.struct(F.col("quote_ts").alias("ts"), F.col("quote_seq").alias("seq"), F.col("quote_price").alias("price"))).alias("_q"))
+    on_a = F.col("side") == "a"
+    side = lambda own: F.when(on_a == F.lit(own), F.col("price")).otherwise(F.col("_q.price"))
+    return newest.select("pair_id", "seq", "ts", F.col("_q.ts").alias("quote_ts"), side(True).alias("price_a"),
+                         side(False).alias("price_b"), F.struct("_q.ts", "_q.seq").alias("version"))
 
 
 # ---------------------------------------------------------------- sinks
@@ -180,19 +85,24 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
                mode: str = "append"):
     """Start a query that hands every micro-batch to ``write`` and stops when input is used up."""
     conf, kind = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
-    given = conf.get(kind)
-    conf.set(kind, STATE_STORE)  # per-key state of several columns needs it; a query keeps what it started with
-    try:
-        return (stream.writeStream.outputMode(mode).foreachBatch(write)
-                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    finally:
-        conf.set(kind, given)
+    with _STARTING:  # a query keeps the setting it started with, and two must not see each other's
+        given = conf.get(kind)
+        conf.set(kind, STATE_STORE)
+        try:
+            return (stream.writeStream.outputMode(mode).foreachBatch(write)
+                    .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        finally:
+            conf.set(kind, given)
 
 
-def upsert_sink(table) -> Callable[[DataFrame, int], None]:
-    """Keyed upsert of every micro-batch into a ``KeyedTable``; replays of a batch are harmless."""
+def upsert_sink(table, prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+                version: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Keyed upsert of every micro-batch into a ``KeyedTable``; replays of a batch are harmless.
+
+    With ``version`` a row only replaces one of a lower version, whichever batch comes first.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        table.upsert(batch)
+        table.upsert(prepare(batch), version, oldest_first=version is not None)
     return write
 
 

@@ -120,15 +120,19 @@ def test_settlement_of_no_value(spark):
     assert {r.position_id: r.net_payout for r in pf.settle(pos, res).collect()} == {"1": 2.0, "2": 0.0}
 
 
-def test_mmr_matches_plain_greedy(spark):
-    rows = [(f"p{i}", float(100 - i), ["alpha beta", "alpha beta gamma", "delta", ""][i % 4] + f" topic{i % 6}", "") for i in range(30)]
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_mmr_matches_plain_greedy(spark, block):
+    """Small blocks force many rounds; scores and profits tie."""
+    rows = [(f"p{i:02d}", float(100 - i // 3), ["alpha beta", "alpha beta gamma", "delta", ""][i % 4] + f" topic{i % 6}", "") for i in range(30)]
     df = spark.createDataFrame(rows, "pair_id string, expected_profit double, text_a string, text_b string")
-    got = [r.pair_id for r in serving.diversify(df, 10, 1000).orderBy("pick").collect()]
+    got = [r.pair_id for r in serving.diversify(df, 10, pool=None, block=block).orderBy("pick").collect()]
     sets = [{w for w in r[2].split() if len(w) > 2} or {r[0]} for r in rows]
     picked, left = [0], list(range(1, 30))
     while len(picked) < 10:
-        score = lambda i: 0.65 * rows[i][1] / 100 - 0.35 * max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in picked)
-        best = max(left, key=lambda i: (score(i), -i))
+        score = lambda i: 0.65 * rows[i][1] / 100 - (1.0 - 0.65) * max(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in picked)
+        best = max(left, key=lambda i: (score(i), rows[i][1], -i))
         picked.append(best)
         left.remove(best)
-    assert got == [f"p{i}" for i in picked]
+    assert got == [f"p{i:02d}" for i in picked]
+    assert serving.diversify(df, 50, pool=7, block=block).count() == 7
+    assert serving.diversify(df.limit(0), 5, pool=None).count() == 0

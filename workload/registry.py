@@ -45,6 +45,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def quoted(values) -> str:
+    """Texts as SQL literals, comma-separated."""
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
 def micros(ts) -> Column:
     """Times leave as epoch microseconds, which compare the same in every engine."""
     return F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))

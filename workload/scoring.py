@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
+from crossquote.functions.text import TOPIC_STOPWORDS
 from crossquote.operators import replay, series
 from crossquote.plans import decay, learning, live, scoring, serving
 from crossquote.session import materialize
-from workload.registry import micros, query
+from workload.registry import micros, query, quoted
 from workload.views import view, with_views
 
 AS_OF = "2024-01-31 00:00:00"
@@ -97,10 +98,27 @@ def signals_with_texts(spark, sf_dir):
     return best.select("pair_id", "expected_profit", "text_a", "text_b")
 
 
-@query("mmr_signals")
+@query("mmr_signals", _SIG.rstrip() + """,
+v_q AS (""" + with_views("v_question").split("v_question AS (", 1)[1].rstrip()[:-1] + f"""),
+txt AS (SELECT pair_id, ev, coalesce(x.question, '') AS text_a, coalesce(y.question, '') AS text_b
+  FROM sig LEFT JOIN v_q x ON x.market_id = CAST(split_part(pair_id, '-', 1) AS BIGINT)
+  LEFT JOIN v_q y ON y.market_id = CAST(split_part(pair_id, '-', 1) AS BIGINT) + 1),
+wrd AS (SELECT *, list_filter(list_distinct(regexp_extract_all(lower(concat(text_a, ' ', text_b)), '[a-z0-9]+')),
+  lambda w: length(w) > 2 AND NOT list_contains([{quoted(TOPIC_STOPWORDS)}], w)) AS w0 FROM txt),
+pl AS (SELECT pair_id, ev, text_a, text_b, CASE WHEN len(w0) > 0 THEN w0 ELSE [pair_id] END AS words,
+  CAST(0.65 AS DOUBLE) * ev / (SELECT CASE WHEN max(ev) > 0 THEN max(ev) ELSE 1.0 END FROM sig) AS gain FROM wrd),
+pk AS (
+  SELECT 0 AS step, pair_id, ev, words, gain, CAST(0.0 AS DOUBLE) AS overlap, 0 AS pick FROM pl
+  UNION ALL
+  SELECT step + 1, pair_id, ev, words, gain,
+    greatest(overlap, len(list_intersect(words, newest)) / CAST(len(list_distinct(list_concat(words, newest))) AS DOUBLE)), CASE WHEN n = 1 THEN step + 1 ELSE pick END
+  FROM (SELECT *, row_number() OVER o AS n, first_value(words) OVER o AS newest FROM pk WHERE step < 40
+    WINDOW o AS (ORDER BY pick > 0, gain - (CAST(1.0 AS DOUBLE) - CAST(0.65 AS DOUBLE)) * overlap DESC, ev DESC, pair_id)))
+SELECT pick, pair_id, pl.ev AS expected_profit, text_a, text_b FROM pl JOIN pk USING (pair_id) WHERE step = 40 AND pick > 0""")
 def mmr_signals(spark, sf_dir):
-    return serving.top_signals(signals(spark, sf_dir), signal_texts(spark, sf_dir), limit=40, diverse=True) \
-        .select("pick", "pair_id", "expected_profit", "text_a", "text_b")
+    """Among all signals."""
+    best = serving.top_signals(signals(spark, sf_dir), signal_texts(spark, sf_dir), limit=40, diversity=serving.DIVERSITY)
+    return best.select("pick", "pair_id", "expected_profit", "text_a", "text_b")
 
 
 # ---------------------------------------------------------------- live checks

@@ -8,7 +8,7 @@ from crossquote.functions import outcomes as oc, text as tx
 from crossquote.functions.templates import MANY_OUTCOMES, RULES, add_template
 from crossquote.operators import clusters
 from crossquote.plans import validation as va
-from workload.registry import listed, query
+from workload.registry import listed, query, quoted
 from workload.views import view, with_views
 
 # Order-keeping distinct of a list expression in the oracle.
@@ -19,7 +19,6 @@ def _distinct(x):
 _PUNCT = "regexp_replace(lower({x}), '[[:punct:]]', '', 'g')"
 _CLEAN = "trim(regexp_replace(" + _PUNCT + ", '\\s+', ' ', 'g'))"
 _ALIASES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in tx.ENTITY_ALIASES.items()) + "}"
-_QUOTED = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
 def _norm(x):
@@ -92,7 +91,7 @@ ents AS (SELECT *, {_distinct('d0')} AS dates,
     regexp_extract_all(full_text, '{tx.ENTITY_PATTERNS[0]}', 1), regexp_extract_all(full_text, '{tx.ENTITY_PATTERNS[1]}', 1),
     regexp_extract_all(full_text, '{tx.ENTITY_PATTERNS[2]}', 1), regexp_extract_all(full_text, '{tx.ENTITY_PATTERNS[3]}', 1)),
     lambda e: trim(e)), lambda e: length(e) > 1), lambda e: {_norm('e')}),
-    lambda e: length(e) > 1 AND NOT list_contains([{_QUOTED(tx.NON_ENTITY_FIRST_WORDS)}], split_part(e, ' ', 1))) AS e0,
+    lambda e: length(e) > 1 AND NOT list_contains([{quoted(tx.NON_ENTITY_FIRST_WORDS)}], split_part(e, ' ', 1))) AS e0,
   list_transform(regexp_extract_all(full_text, '{_AMOUNT}'), lambda m: {{'v': TRY_CAST(replace(regexp_extract(m, '[\\d,]+(?:\\.\\d+)?'), ',', '') AS DOUBLE),
     's': CAST(CASE WHEN regexp_matches(lower(m), '[0-9,]\\s*(billion|b)$') THEN 1e9 WHEN regexp_matches(lower(m), '[0-9,]\\s*(million|m)$') THEN 1e6
          WHEN regexp_matches(lower(m), '[0-9,]\\s*(thousand|k)$') THEN 1e3 ELSE 1 END AS DOUBLE)}}) AS t0
@@ -239,7 +238,7 @@ def negation_flags(spark, sf_dir):
 
 @query("topic_words", with_views("v_rich") + f"""
 SELECT market_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(concat(question, ' ', description)), '[a-z0-9]+')),
-  lambda w: length(w) > 2 AND NOT list_contains([{_QUOTED(tx.TOPIC_STOPWORDS)}], w))), '|') AS words FROM v_rich""")
+  lambda w: length(w) > 2 AND NOT list_contains([{quoted(tx.TOPIC_STOPWORDS)}], w))), '|') AS words FROM v_rich""")
 def topic_words(spark, sf_dir):
     rows = view(spark, sf_dir, "v_rich", spread=True)
     return rows.select("market_id", listed(F.array_sort(tx.topic_words("question", "description"))).alias("words"))

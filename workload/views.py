@@ -44,6 +44,11 @@ FROM (v_question_text) q""",
 SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'alpha' ELSE 'beta' END AS platform,
        concat(event_type, '-', CAST(user_id % 2 AS STRING)) AS market_id, user_id % 2 AS topic,
        CAST(ts AS TIMESTAMP) AS ts, least(value / 500.0, 1.0) AS yes_price
+FROM {events}""",
+    "v_tick": """
+SELECT event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'alpha' ELSE 'beta' END AS platform,
+       concat(event_type, '-', CAST(user_id AS STRING)) AS market_id, user_id AS topic,
+       CAST(ts AS TIMESTAMP) AS ts, least(value / 500.0, 1.0) AS yes_price
 FROM {events}""",
     "v_replay": """
 SELECT event_id AS seq, CASE user_id % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END AS platform,
