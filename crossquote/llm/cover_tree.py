@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from crossquote.llm.substrings import stored
 
 BASE = 1.5  # a level covers with this much less than the one above
-LEAF = 32  # points of a node that is not split
+LEAF = 128  # points of a node that is not split; a child has more, or its points stay with the node
 BLOCK_BYTES = 1 << 20  # vectors of a block
 SAMPLE, PIVOTS = 2048, 256  # rows the pivots are chosen from, and pivots, at most
 TILE = 8192  # anchors that meet a block in one group
@@ -77,10 +77,12 @@ class Space:
         self.dim, self.square, self._floats = dim, square, square < 1 << 53
 
     def product(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """a @ b.T; products below 2 ** 53 are exact in doubles too, sums of their parts included."""
-        if self._floats:
-            return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-        return a @ b.T
+        """a @ b.T, exact."""
+        return (self.exact(a) @ self.exact(b).T).astype(np.int64)
+
+    def exact(self, x: np.ndarray) -> np.ndarray:
+        """In doubles, where no product nor any sum of its parts reaches 2 ** 53."""
+        return x.astype(np.float64 if self._floats else np.int64, copy=False)
 
     def augmented(self, x: np.ndarray) -> np.ndarray:
         norms = (x.astype(np.float64) ** 2).sum(1)
@@ -101,7 +103,8 @@ def grow(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     All points have one norm. A node is (centre, first child, children, first point, points): children are consecutive nodes, its own
     points are consecutive in ``order``. A node with few points, or with all in one place, is not split. Centres of children are
-    taken farthest first until all points are covered; once half of the points are centres, the others stay with the node.
+    taken farthest first until all points are covered; once half of the points are centres, the others stay with the node,
+    as do the points of small children: comparing them at once costs less than their bounds.
     """
     square = float((points[0] ** 2).sum())
     least = 1e-6 * square ** 0.5  # distances below are rounding
@@ -127,7 +130,7 @@ def grow(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 near[closer], owner[closer] = gap[closer], new
             covered = near <= radius / BASE
             groups = [(c, np.flatnonzero(covered & (owner == c))) for c in [centre, *children]]
-            groups = [(c, g) for c, g in groups if len(g) > 1]
+            groups = [(c, g) for c, g in groups if len(g) > LEAF]
             alone = np.ones(len(rows), bool)
             for _, g in groups:
                 alone[g] = False
@@ -154,6 +157,7 @@ class Block:
 
     def __init__(self, space: Space, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, nodes: np.ndarray, radii: np.ndarray):
         self.space, self.ids, self.labels, self.vectors, self.nodes, self.radii = space, ids, labels, vectors, nodes, radii
+        self._points = space.exact(vectors)
 
     @classmethod
     def of(cls, space: Space, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray) -> Block:
@@ -176,6 +180,7 @@ class Block:
         """
         space = self.space
         lows, highs = space.bounds(queries, space.product(queries, self.vectors[self.nodes[:, 0]]), self.radii)
+        asked = space.exact(queries)
         for i, wanted in enumerate(windows):
             low, high = lows[i], highs[i]
             need = [n for _, n in wanted]
@@ -190,9 +195,10 @@ class Block:
                     continue
                 _, child, children, first, count = self.nodes[node]
                 if count:
-                    own = self.labels[first:first + count]
-                    picked = first + np.flatnonzero(own == labels[i] if same else own != labels[i])
-                    products = space.product(queries[i:i + 1], self.vectors[picked])[0]
+                    products = (self._points[first:first + count] @ asked[i]).astype(np.int64)
+                    own = self.labels[first:first + count] == labels[i]
+                    picked = np.flatnonzero((own == same) & (products >= min(need)))
+                    products, picked = products[picked], first + picked
                     for w in open_to:
                         inside = (products >= need[w]) & (products <= wanted[w][0])
                         if not inside.any():
