@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossquote.functions.text import bind, fold, has
+from crossquote.functions.text import bind, fold, has, may_have, plain_lower
 
 # ---------------------------------------------------------------- fixed values
 # (template, base confidence, patterns); order breaks ties.
@@ -48,11 +48,11 @@ SECONDARY_MIN = 0.5
 # ----------------------------------------------------------- end of fixed values
 
 
-def _bits(text: Column, patterns: list[str]) -> Column:
+def _bits(text: Column, plain: Column, patterns: list[str]) -> Column:
     """Bit i is set when pattern i matches; plain integers keep this part in generated code."""
     total = F.lit(0)
     for i, pattern in enumerate(patterns):
-        total = total + F.when(has(text, pattern), F.lit(1 << i)).otherwise(F.lit(0))
+        total = total + F.when(may_have(plain, pattern) & has(text, pattern), F.lit(1 << i)).otherwise(F.lit(0))
     return total
 
 
@@ -74,14 +74,14 @@ def add_template(df: DataFrame, question: str = "question", description: str = "
                  outcomes: str = "outcomes", out: str = "template") -> DataFrame:
     """Adds struct(primary, secondary, confidence, patterns).
 
-    A rule scores base * (0.5 + n/6) for n matching patterns, at most three counted. The
-    pattern tests, the ranking and the final pick are separate projections so that every
-    pattern runs once per row.
+    A rule scores base * (0.5 + n/6) for n matching patterns, at most three counted. A pattern is searched for only
+    where a text that it needs is there. The tests, the ranking and the final pick are separate
+    projections so that every pattern runs once per row.
     """
     folded = F.when(F.coalesce(F.length(description), F.lit(0)) > 0,
                     F.concat_ws(" ", fold(question), fold(description))).otherwise(fold(question))
-    tested = df.withColumn("_text", folded)
-    tested = tested.withColumns({f"_h{i}": _bits(F.col("_text"), p) for i, (_, _, p) in enumerate(RULES)})
+    tested = df.withColumn("_text", folded).withColumn("_plain", plain_lower("_text"))
+    tested = tested.withColumns({f"_h{i}": _bits(F.col("_text"), F.col("_plain"), p) for i, (_, _, p) in enumerate(RULES)})
 
     scored = []
     for rank, (template, base, _) in enumerate(RULES):
@@ -102,4 +102,4 @@ def add_template(df: DataFrame, question: str = "question", description: str = "
         F.when(best.isNotNull(), bind(best, _matched)).otherwise(
             F.array().cast("array<string>")).alias("patterns"))
     return ranked.withColumn(out, picked).drop(
-        "_text", "_ranked", *[f"_h{i}" for i in range(len(RULES))])
+        "_text", "_plain", "_ranked", *[f"_h{i}" for i in range(len(RULES))])

@@ -5,7 +5,8 @@ Patterns carry the ``(?U)`` flag so that ``\\w``, ``\\d`` and ``\\b`` are Unicod
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,8 +109,53 @@ def has(text, pattern: str) -> Column:
     return _c(text).rlike("(?iU)" + pattern)
 
 
-def has_any(text, patterns) -> Column:
-    return reduce(lambda a, b: a | b, [has(text, p) for p in patterns])
+def _needed(parsed) -> tuple[str, ...]:
+    """Texts of which a match of a parsed pattern contains one at least, lower-case; none if nothing is certain."""
+    best: tuple[str, ...] = ()
+    run = ""
+    for op, value in [*parsed, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and value < 128:
+            run += chr(value).lower()
+            continue
+        found = [(run,)] if run else []
+        run = ""
+        if name == "SUBPATTERN":
+            found.append(_needed(value[-1]))
+        elif name == "BRANCH":
+            choices = [_needed(branch) for branch in value[1]]
+            found.append(tuple(t for c in choices for t in c) if all(choices) else ())
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+            found.append(_needed(value[2]))
+        # the longest of the shortest texts rules out most
+        best = max([best, *found], key=lambda texts: min(map(len, texts), default=0))
+    return best
+
+
+@lru_cache(maxsize=None)
+def required(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which every text that an ASCII case-insensitive search finds contains one; empty if there are none."""
+    return _needed(re._parser.parse(pattern))
+
+
+def plain_lower(text) -> Column:
+    """The text in lower case where it is all ASCII, else null: what ``prefiltered`` looks for literals in."""
+    text = _c(text)
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text))
+
+
+def may_have(plain: Column, pattern: str) -> Column:
+    """False only where the pattern cannot be found. Other letters have cases that are no byte match, so their texts are searched."""
+    literals = required(pattern)
+    if not literals:
+        return F.lit(True)
+    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(plain, F.lit(t)) for t in literals]), F.lit(True))
+
+
+def has_any(text, patterns, plain: Column | None = None) -> Column:
+    """Whether any pattern is found; with ``plain`` a search starts only where its literals are."""
+    found = [has(text, p) if plain is None else may_have(plain, p) & has(text, p) for p in patterns]
+    return reduce(lambda a, b: a | b, found)
 
 
 def matches(text, pattern: str, group: int = 0, flags: str = "iU") -> Column:
@@ -191,18 +237,21 @@ def entities(text, most: int | None = None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
-def jurisdiction(text) -> Column:
-    return normalise_entity(F.coalesce(*[first_match(text, p) for p in JURISDICTION_PATTERNS]))
+def jurisdiction(text, plain: Column | None = None) -> Column:
+    plain = plain_lower(text) if plain is None else plain
+    return normalise_entity(F.coalesce(*[F.when(may_have(plain, p), first_match(text, p)) for p in JURISDICTION_PATTERNS]))
 
 
-def resolution_hints(text) -> Column:
-    found = F.array(*[F.lower(F.trim(first_match(text, p, 1))) for p in RESOLUTION_PATTERNS])
+def resolution_hints(text, plain: Column | None = None) -> Column:
+    plain = plain_lower(text) if plain is None else plain
+    found = F.array(*[F.when(may_have(plain, p), F.lower(F.trim(first_match(text, p, 1)))) for p in RESOLUTION_PATTERNS])
     return F.array_distinct(F.filter(found, lambda h: h.isNotNull()))
 
 
-def polarity(question) -> Column:
-    return (F.when(has_any(question, NEGATIVE_PATTERNS), "negative")
-            .when(has_any(question, POSITIVE_PATTERNS), "positive"))
+def polarity(question, plain: Column | None = None) -> Column:
+    plain = plain_lower(question) if plain is None else plain
+    return (F.when(has_any(question, NEGATIVE_PATTERNS, plain), "negative")
+            .when(has_any(question, POSITIVE_PATTERNS, plain), "positive"))
 
 
 # ---------------------------------------------------------------- dates
@@ -296,8 +345,9 @@ def thresholds(text) -> Column:
     return F.transform(kept, lambda t: t["v"] * t["s"])
 
 
-def comparators(text) -> Column:
-    flags = F.array(*[F.when(has(text, p), F.lit(sign)) for sign, p in COMPARATOR_PATTERNS])
+def comparators(text, plain: Column | None = None) -> Column:
+    plain = plain_lower(text) if plain is None else plain
+    flags = F.array(*[F.when(may_have(plain, p) & has(text, p), F.lit(sign)) for sign, p in COMPARATOR_PATTERNS])
     return F.filter(flags, lambda c: c.isNotNull())
 
 

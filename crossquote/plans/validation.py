@@ -12,6 +12,7 @@ from crossquote.functions import outcomes as oc
 from crossquote.functions import text as tx
 from crossquote.functions.templates import add_template
 from crossquote.operators.barrier import compute_once
+from crossquote.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 DATE_TOLERANCE_DAYS = 45
@@ -67,32 +68,43 @@ def market_features(markets: DataFrame) -> DataFrame:
     full = F.concat_ws(" ", "question", F.nullif(F.col("description"), F.lit("")),
                        F.nullif(F.col("resolution_rules"), F.lit("")))
     short = F.concat_ws(" ", F.col("question"), F.coalesce("description", F.lit("")))
-    staged = markets.select("*", full.alias("_full"), short.alias("_short"))
+    staged = markets.select("*", full.alias("_full"), short.alias("_short")).withColumn("_plain_full", tx.plain_lower("_full"))
+    plain = F.col("_plain_full")
     dated = add_template(staged).select(
         "*", tx.entities("_full").alias("entities"), tx.date_mentions("_full").alias("dates"),
-        tx.thresholds("_full").alias("thresholds"), tx.comparators("_full").alias("comparators"),
-        tx.polarity("question").alias("polarity"), tx.jurisdiction("_full").alias("jurisdiction"),
-        tx.resolution_hints("_full").alias("resolution_hints"),
+        tx.thresholds("_full").alias("thresholds"), tx.comparators("_full", plain).alias("comparators"),
+        tx.polarity("question").alias("polarity"), tx.jurisdiction("_full", plain).alias("jurisdiction"),
+        tx.resolution_hints("_full", plain).alias("resolution_hints"),
         tx.fold("question").alias("normalised_question"), tx.word_set("question").alias("words"),
         F.coalesce(F.date_format("close_time", "yyyy-MM-dd"),
                    F.get(F.reverse(tx.date_mentions("_short")), F.lit(0))).alias("last_date"))
     n = F.size("dates")
-    return dated.drop("_full", "_short").withColumns({
+    folded = tx.plain_lower("normalised_question")
+    return dated.drop("_full", "_short", "_plain_full").withColumns({
         "primary_entity": F.get("entities", F.lit(0)),
         "window_start": F.when(n >= 2, F.get("dates", F.lit(0))),
         "window_end": F.when(n >= 1, F.get("dates", n - 1)),
-        "is_nomination": tx.has_any("normalised_question", NOMINATION_PATTERNS),
-        "is_general": tx.has_any("normalised_question", GENERAL_PATTERNS),
+        "is_nomination": tx.has_any("normalised_question", NOMINATION_PATTERNS, folded),
+        "is_general": tx.has_any("normalised_question", GENERAL_PATTERNS, folded),
     })
 
 
-def attach_sides(pairs: DataFrame, markets: DataFrame) -> DataFrame:
-    """Pairs (candidate_id, platform_a, id_a, platform_b, id_b, similarity, ...) with structs a, b.
+# What each step reads of a side; pass the union of those that follow to ``attach_sides``.
+CONTRADICTION_FIELDS = ("primary_entity", "template", "window_end", "thresholds", "is_nomination", "is_general")
+RERANK_FIELDS = ("words", "last_date", "outcomes")
+DECISION_FIELDS = ("platform", "market_id", "outcomes", "prices")
+PROMPT_FIELDS = ("platform", "question", "description", "outcomes", "resolution_rules", "template", "primary_entity", "dates", "thresholds")
 
-    The market table is joined once per side, and only the features in use are computed. A market that very many pairs share is split by the adaptive skew join.
+
+def attach_sides(pairs: DataFrame, markets: DataFrame, *fields: tuple[str, ...]) -> DataFrame:
+    """Pairs (candidate_id, platform_a, id_a, platform_b, id_b, similarity, ...) with structs a, b of the given fields (all without any).
+
+    Only these fields are computed, once per market, and written; the narrow table is then joined once per side. A market that
+    very many pairs share is split by the adaptive skew join.
     """
-    packed = markets.select(F.col("platform").alias("_p"), F.col("market_id").alias("_m"),
-                            F.struct("*").alias("_s"))
+    names = list(dict.fromkeys(f for group in fields for f in group)) or markets.columns
+    packed = materialize(markets.select(F.col("platform").alias("_p"), F.col("market_id").alias("_m"),
+                                        F.struct(*names).alias("_s")))
     out = pairs
     for side in "ab":
         named = packed.select(F.col("_p").alias(f"platform_{side}"), F.col("_m").alias(f"id_{side}"),

@@ -257,3 +257,23 @@ def test_pair_flow_to_signal(spark):
     matched = scoring.matched_pairs(priced.where("verdict = 'ACCEPT'"))
     (s,) = scoring.score_pairs(matched).collect()
     assert s.direction == "buy_b_sell_a" and s.raw_spread == 0.3 and s.kelly_fraction == 0.1 and s.size_usd == 1000.0
+
+
+def test_patterns_are_found_with_and_without_the_prefilter(spark):
+    """Texts around every pattern's literals, in other cases and with letters whose lower case is not the one a search folds them to."""
+    from crossquote.functions import templates as tp
+
+    patterns = [p for _, _, ps in tp.RULES for p in ps] + tx.RESOLUTION_PATTERNS + tx.JURISDICTION_PATTERNS + tx.NEGATIVE_PATTERNS \
+        + tx.POSITIVE_PATTERNS + [p for _, p in tx.COMPARATOR_PATTERNS] + va.NOMINATION_PATTERNS + va.GENERAL_PATTERNS
+    texts = {"", "no", "1-2", "will the ﬁnals", "Will NOT win the game by March 5, 2027 above $1,000", "MARÇO ıs by END of 2026"}
+    for p in patterns:
+        for literal in tx.required(p):
+            texts |= {f"x {literal} 20 win 2026 bill", literal.upper() + " president game election", literal.replace("s", "ſ"),
+                      literal.replace("k", "K"), literal[:-1], f"by the {literal.title()}ed 1,000 million points ahead be first"}
+    rows = spark.createDataFrame([(t,) for t in sorted(texts)], "t string").withColumn("plain", tx.plain_lower("t"))
+    different = rows.select(*[F.count_if(tx.has("t", p) != (tx.may_have(F.col("plain"), p) & tx.has("t", p))).alias(f"c{i}")
+                              for i, p in enumerate(patterns)]).first()
+    assert set(different) == {0}
+    ruled_out = rows.select(*[F.count_if(~tx.may_have(F.col("plain"), p)).alias(f"c{i}") for i, p in enumerate(patterns)]).first()
+    assert sum(n > 0 for n in ruled_out) > 0.9 * len(patterns)
+    assert tx.required(r"\b(price|rate)\b.*x?") == ("price", "rate") and tx.required(r"[a-z]+(ab)?") == ()

@@ -96,7 +96,7 @@ ents AS (SELECT *, {_distinct('d0')} AS dates,
     's': CAST(CASE WHEN regexp_matches(lower(m), '[0-9,]\\s*(billion|b)$') THEN 1e9 WHEN regexp_matches(lower(m), '[0-9,]\\s*(million|m)$') THEN 1e6
          WHEN regexp_matches(lower(m), '[0-9,]\\s*(thousand|k)$') THEN 1e3 ELSE 1 END AS DOUBLE)}}) AS t0
   FROM alld),
-feats AS (SELECT *, list_slice({_distinct('e0')}, 1, 10) AS entities,
+feats AS (SELECT *, {_distinct('e0')} AS entities,
   list_transform(list_filter(t0, lambda t: t.v IS NOT NULL AND NOT (t.v BETWEEN 1900 AND 2200 AND t.v = floor(t.v))), lambda t: t.v * t.s) AS thresholds,
   {_JURIS} AS jurisdiction, {_HINTS} AS hints, {_COMPARATORS} AS comparators,
   CASE WHEN {_ANY('question', tx.NEGATIVE_PATTERNS)} THEN 'negative' WHEN {_ANY('question', tx.POSITIVE_PATTERNS)} THEN 'positive' END AS polarity,
@@ -221,9 +221,9 @@ def question_pairs(spark, sf_dir):
     return pairs.withColumn("candidate_id", tx.pair_hash("id_a", "id_b"))
 
 
-def checked_pairs(spark, sf_dir):
-    # not materialised: each use then computes only the features it needs
-    return va.contradictions(va.attach_sides(question_pairs(spark, sf_dir), featured(spark, sf_dir)))
+def checked_pairs(spark, sf_dir, *fields):
+    sides = va.attach_sides(question_pairs(spark, sf_dir), featured(spark, sf_dir), va.CONTRADICTION_FIELDS, *fields)
+    return va.contradictions(sides)
 
 
 @query("negation_flags", _QP + """
@@ -258,7 +258,7 @@ def contradictions(spark, sf_dir):
 @query("rerank", _QP + """
 SELECT candidate_id, round(text_score, 6) AS text_overlap, round(date_score, 6) AS date_proximity, round(rerank, 6) AS score FROM scored""")
 def rerank(spark, sf_dir):
-    return va.rerank(checked_pairs(spark, sf_dir)).select(
+    return va.rerank(checked_pairs(spark, sf_dir, va.RERANK_FIELDS)).select(
         "candidate_id", F.round("rerank.text_overlap", 6).alias("text_overlap"),
         F.round("rerank.date_proximity", 6).alias("date_proximity"), F.round("rerank.score", 6).alias("score"))
 
@@ -277,12 +277,40 @@ def verdict_counts(spark, sf_dir):
     return va.verdict_without_judge(checked_pairs(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query("judge_prompts", _QP + """
-SELECT candidate_id, concat('=== MARKET A ===|Platform: ', pa, '|Question: ', a.question) AS head FROM flagged WHERE NOT hard_reject""")
+# Numbers as the prompts write them: always with a fraction part.
+_NUMBER = "CASE WHEN x = floor(x) THEN format('{:.1f}', x) ELSE CAST(x AS VARCHAR) END"
+
+
+def _quoted_list(values):
+    return f"concat('[', array_to_string(list_transform({values}, lambda v: concat('''', v, '''')), ', '), ']')"
+
+
+def _side_text(s):
+    thresholds = f"list_transform({s}.thresholds, lambda x: {_NUMBER})"
+    return f"""concat('Platform: ', p{s}, chr(10), 'Question: ', {s}.question,
+  CASE WHEN {s}.description <> '' THEN concat(chr(10), 'Description: ', {s}.description) ELSE '' END, chr(10), 'Outcomes: [''Yes'', ''No'']',
+  chr(10), 'Template: ', coalesce({s}.rk[1].t, 'unknown'), format(' (conf {{:.2f}})', coalesce(-{s}.rk[1].s, 0.5)),
+  chr(10), 'Primary entity: ', coalesce({s}.primary_entity, 'None'), chr(10), 'Dates: ', {_quoted_list(s + '.dates')},
+  chr(10), 'Thresholds: [', array_to_string({thresholds}, ', '), ']')"""
+
+
+_FLAG_TEXTS = f"""list_filter([
+  CASE WHEN f_entity THEN concat('entity_mismatch: ''', a.primary_entity, ''' vs ''', b.primary_entity, ''' (confidence 0.85)') END,
+  CASE WHEN f_date THEN concat('date_gap_exceeded: ', gap, ' days apart (threshold 45)') END,
+  CASE WHEN f_threshold THEN concat('threshold_mismatch: ', list_transform([a.t1], lambda x: {_NUMBER})[1], ' vs ',
+    list_transform([b.t1], lambda x: {_NUMBER})[1], ' (', format('{{:.1f}}', abs(a.t1 - b.t1) / greatest(a.t1, b.t1) * 100), '% difference)') END,
+  CASE WHEN f_stage THEN 'nomination_vs_general_election_mismatch' END], lambda f: f IS NOT NULL)"""
+
+
+@query("judge_prompts", _QP + f"""
+SELECT candidate_id, sha256(concat('=== MARKET A ===', chr(10), {_side_text('a')}, chr(10), chr(10), '=== MARKET B ===', chr(10), {_side_text('b')},
+  chr(10), chr(10), '=== SIGNALS ===', chr(10), 'Contradiction flags: ', {_quoted_list(_FLAG_TEXTS)},
+  chr(10), 'Hard reject signal: False', chr(10), 'Reranker score: ', format('{{:.3f}}', rerank))) AS prompt_sha256
+FROM scored WHERE NOT hard_reject""")
 def judge_prompts(spark, sf_dir):
-    prompts = va.judge_prompts(va.rerank(checked_pairs(spark, sf_dir)))
-    lines = F.split("prompt", "\n")
-    return prompts.select("candidate_id", F.concat_ws("|", F.slice(lines, 1, 3)).alias("head"))
+    """Whole prompts, compared by their hash."""
+    prompts = va.judge_prompts(va.rerank(checked_pairs(spark, sf_dir, va.RERANK_FIELDS, va.PROMPT_FIELDS)))
+    return prompts.select("candidate_id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
 # A table of judge replies derived from the pairs: readable, fenced, odd and broken ones.
@@ -311,7 +339,7 @@ def replies(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    pairs = va.rerank(checked_pairs(spark, sf_dir))
+    pairs = va.rerank(checked_pairs(spark, sf_dir, va.RERANK_FIELDS, va.DECISION_FIELDS))
     return va.decide(pairs, va.judge_verdicts(replies(spark, sf_dir)))
 
 
