@@ -44,12 +44,13 @@ def test_merges_go_by_score_then_from_the_left(own):
         word = "▁" + "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 25)))
         left = list(word)
         while True:
-            pairs = [(-own._scores[a + b], i) for i, (a, b) in enumerate(zip(left, left[1:])) if a + b in own._scores]
+            pairs = [(-own.library.get_score(own._ids[a + b]), i) for i, (a, b) in enumerate(zip(left, left[1:])) if a + b in own._ids]
             if not pairs:
                 break
             at = min(pairs)[1]
             left[at:at + 2] = [left[at] + left[at + 1]]
-        assert own.merged(word) == left
+        assert [own.pieces[i] for i in own.word_ids(word)] == left
+        assert own.words_ids([word, "▁" + word, "é中"]) == [own.word_ids(w) for w in (word, "▁" + word, "é中")]
 
 
 def test_long_words(own, library):
@@ -59,8 +60,24 @@ def test_long_words(own, library):
         assert own.decode(ids) == library.decode(ids)
 
 
+def test_the_check_finds_what_is_wrong():
+    """A pair that is ranked wrongly changes some texts; exactly those are not checked."""
+    fresh = pieces.Vocabulary()
+    pair = fresh._ids["▁t"] * fresh._size + fresh._ids["he"]
+    at = list(fresh._ranks).index(pair)
+    fresh._rank_of[at] = pieces.NONE  # as if it made no piece
+    del fresh._ranks[pair]
+    texts = ["", "a b", "the", "cat\nthe", "ab\tx the y", "tea " * 30]
+    right = [fresh.library.encode(t, add_eos=True) for t in texts]
+    ids, agrees = fresh.encode_all(texts, True)
+    assert agrees == [a == b for a, b in zip(ids, right)] and agrees[1] and not agrees[2]
+    assert fresh.encode_all(texts, True) == (ids, agrees)
+
+
 def test_whole_table(spark, library):
     rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    again = pieces.encoded(spark.read.parquet(f"{SF}/documents.parquet"), check="texts").collect()
+    assert len(again) == len(rows) and all(r.checked for r in again)
     got = pieces.op11_piece_agenda(spark, SF).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -74,7 +91,7 @@ def test_odd_rows(spark, odd, empty, library):
     got = sorted(((r.doc_id, r.ids, r.decoded, r.n_tokens, r.checked) for r in pieces.encoded(odd).collect()), key=repr)
     ids = [(i, library.encode(text or "", add_eos=True)) for i, text, *_ in ODD]
     assert got == sorted(((i, x, library.decode(x), len(x), True) for i, x in ids), key=repr)
-    assert {r.checked for r in pieces.encoded(odd, check=False).collect()} == {None}
+    assert {r.checked for r in pieces.encoded(odd, check=None).collect()} == {None}
     assert pieces.encoded(empty).collect() == []
 
 
