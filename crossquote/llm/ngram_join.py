@@ -7,17 +7,18 @@ with its position there.
 
 Two relations spare most of the work on the index:
 
-* positions: a list entry is met only while both sets have enough left after their positions for the
-  needed overlap; entries further back are skipped as a block by the join condition;
-* answers: the first set of a list is compared with all others, and sets that turn out
-  to belong together take over each other's answers: pairs inside one component are not looked at again. A
-  group of thousands of near copies costs one comparison each, not one per pair.
+* positions: a set far back in its prefix has too little left for the needed overlap with large sets. The join key holds
+  size steps, and a leading set is put only at the steps that its size and position can meet;
+* answers: each set is first compared with one other, which leads most of its lists, and sets that turn out
+  to belong together take over each other's answers: pairs inside one component are not looked at again, and only
+  sets outside the largest component of a list lead it afterwards. A group of thousands of near copies costs a few
+  comparisons each, not one per pair.
 
 Before any text is read, parity sketches rule out pairs: the bits in which two sketches differ are at most the
 shingles in which the sets differ.
 
-Lists that still span several components after that are short (all pairs left in them are
-compared) or go on with further leading sets, until nothing is left. No cap is set on lists or partners.
+Lists with many sets outside their largest component go on with further leading sets, until nothing is left. No cap is
+set on lists or partners.
 """
 
 from __future__ import annotations
@@ -38,8 +39,11 @@ SHINGLE, PERCENT = 4, 85
 SAMPLE = 5_000  # documents, about, whose shingles tell which are frequent; this decides only the order
 FREQUENT = 5  # sampled documents with a frequent shingle, at least
 MOST_FREQUENT = 1_000_000  # frequent shingles kept
-SHORT_LIST = 64
-LEADERS = 64  # leading sets of a longer list in its first round, and how many times more in the next ones
+SINGLE = 2  # rounds in which each set is compared with one other set
+LEADERS = 64  # leading sets of a list in the round after those, at most, and
+MORE = 64  # how many times more in each of the next ones
+STEPS = 8
+SLICE = 512 << 10  # bytes of text worked on at a time
 SKETCH = 1024  # bits of a parity sketch, at least; doubled until there is one for every two shingles
 FEW_IDS = 2_000_000  # up to so many wanted texts (16 MB of ids), the others are dropped before the shuffle
 MEMBERS = 500  # sets compared with a leading set in one group
@@ -76,7 +80,7 @@ def frequent_shingles(docs: DataFrame, n: int, sample: int = SAMPLE, least: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
-        for _, texts in chunks(batches):
+        for _, texts in chunks(batches, size=SLICE):
             keys, counts = np.unique(np.concatenate(shingles(texts)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
 
@@ -101,7 +105,7 @@ def shingle_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, late = Shingles(n), last.value
-        for batch, texts in chunks(batches):
+        for batch, texts in chunks(batches, size=SLICE):
             sets = shingles(texts)
             prefixes, sketches = [], []
             for one in sets:
@@ -128,28 +132,59 @@ def _may_link(size_a: Column, at_a: Column, size_b: Column, at_b: Column, percen
             & ((100 + percent) * rest >= percent * (size_a + size_b)))
 
 
-def _led_pairs(active: DataFrame, slots: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of every list's leading sets (one per slot) with its other sets, and the index without the leading ones."""
-    slot = F.pmod(F.xxhash64("rep"), F.lit(slots))
-    step = F.floor(F.log(F.col("size").cast("double")) / float(np.log(100 / percent) + 1e-9)).cast("int")
-    heads = active.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("rep", "size", "at", "comp")).alias("head"))
-    heads = heads.select("token", F.inline(F.array("head"))).toDF("token", "head", "head_size", "head_at", "head_comp")
-    # sizes in reach are at most one step apart, so an entry meets only the leading sets of three steps
-    near = heads.withColumn("size", F.col("head_size")).withColumn("step", F.explode(F.array(step - 1, step, step + 1))).drop("size")
-    met = active.withColumn("step", step).join(near, ["token", "step"]).where(
-        (F.col("rep") != F.col("head")) & (F.col("comp") != F.col("head_comp"))
-        & _may_link(F.col("size"), F.col("at"), F.col("head_size"), F.col("head_at"), percent))
-    rest = active.join(heads.select("token", F.col("head").alias("rep")), ["token", "rep"], "left_anti")
-    return met.select(F.col("head").alias("lead"), F.col("rep").alias("other")).distinct(), rest
+def _step(size: Column, percent: int) -> Column:
+    """Sizes in steps, ``STEPS`` of them from the smallest size in reach of a set to its own."""
+    return F.floor(F.log(size.cast("double")) / float(np.log(100 / percent) / STEPS)).cast("int") if percent < 100 else size.cast("int")
 
 
-def _short_pairs(active: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components in short lists."""
-    active = active.select("token", "rep", "size", "at", "comp")
-    a, b = active.alias("a"), active.alias("b")
-    return (a.join(b, "token").where((F.col("a.rep") < F.col("b.rep")) & (F.col("a.comp") != F.col("b.comp")) & _may_link(
-        F.col("a.size"), F.col("a.at"), F.col("b.size"), F.col("b.at"), percent))
-        .select(F.col("a.rep").alias("lead"), F.col("b.rep").alias("other")).distinct())
+def _met(entries: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(rep, head) of entries and heads of a list, of different components, as often as size and position leave them to each other.
+
+    A head at position ``at`` of its set has so much left behind that only sets up to a certain size can reach the overlap. It is
+    put at the size steps it can meet and nowhere else, so what it cannot meet is not joined.
+    """
+    most = F.least(F.col("size") * 100 / percent, (100 * F.col("size") - (100 + percent) * F.col("at")) / F.lit(percent))
+    least = F.ceil(F.col("size") * percent / F.lit(100))
+    reach = heads.where(most >= least).withColumn("step", F.explode(F.sequence(
+        _step(least, percent), _step(F.floor(most), percent)))).select(
+        "token", "step", F.col("rep").alias("head"), F.col("size").alias("head_size"), F.col("at").alias("head_at"),
+        F.col("comp").alias("head_comp"))
+    return entries.withColumn("step", _step(F.col("size"), percent)).join(reach, ["token", "step"]).where(
+        (F.col("comp") != F.col("head_comp")) & _may_link(F.col("size"), F.col("at"), F.col("head_size"), F.col("head_at"), percent)
+    ).select("rep", "head")
+
+
+def _lists(active: DataFrame) -> DataFrame:
+    """Entries of lists that span several components, with their list's largest one and how many sets are outside of it."""
+    comps = active.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    lists = comps.groupBy("token").agg(F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("outside"),
+                                       F.max_by("comp", F.struct("n", "comp")).alias("major")).where("comps > 1")
+    return active.join(lists, "token").select("token", "rep", "size", "at", "comp", "outside", "major")
+
+
+def _one_each(filed: DataFrame, seed: int, percent: int) -> DataFrame:
+    """One pair for each set outside: with the set that leads most of its lists. Of a list's largest component, the lowest hash leads."""
+    inside = F.col("comp") == F.col("major")
+    heads = filed.where(inside).groupBy("token").agg(
+        F.min_by(F.struct("rep", "size", "at", "comp"), F.struct(F.xxhash64("rep", F.lit(seed)), "rep")).alias("head"))
+    met = _met(filed.where(~inside), heads.select("token", "head.*"), percent)
+    return met.groupBy("rep", "head").agg(F.count("*").alias("n")).groupBy("rep").agg(
+        F.max_by("head", F.struct("n", "head")).alias("lead")).select("lead", F.col("rep").alias("other"))
+
+
+def _all_pairs_outside(filed: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, what is left of the lists): sets outside a list's largest component lead it.
+
+    A list with at most ``leaders`` sets outside is finished by them; of a longer one, one set per hash slot leads, and the rest waits.
+    """
+    slot = F.when(F.col("outside") > leaders, F.pmod(F.xxhash64("rep"), F.lit(leaders))).otherwise(F.col("rep"))
+    heads = filed.where("comp <> major").groupBy("token", slot.alias("slot")).agg(
+        F.min(F.struct("rep", "size", "at", "comp")).alias("head")).select("token", "head.*")
+    rest = filed.where(F.col("outside") > leaders).join(heads.select("token", "rep"), ["token", "rep"], "left_anti")
+    once = _met(filed, heads, percent).groupBy(F.least("head", "rep").alias("lo"), F.greatest("head", "rep").alias("hi")).agg(
+        F.min("head").alias("lead"))
+    return once.select("lead", F.when(F.col("lead") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other")), rest.select(
+        "token", "rep", "size", "at", "comp")
 
 
 def _folded(sketch: Column, bits_of: Column) -> Column:
@@ -198,7 +233,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, own, leading = Shingles(n), None, []
-        for batch, raw in chunks(batches):
+        for batch, raw in chunks(batches, size=SLICE):
             sets, a, b = shingles(raw), [], []
             for lead, part, first, rep, one in zip(*(batch.column(c).to_pylist() for c in ("lead", "part", "first", "rep")), sets):
                 if first:
@@ -213,7 +248,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def class_links(classes: DataFrame, texts: DataFrame, n: int, percent: int, everything: bool = False,
-                short: int = SHORT_LIST, leaders: int = LEADERS) -> DataFrame:
+                leaders: int = LEADERS, single: int = SINGLE) -> DataFrame:
     """Links (id_a, id_b) between classes (rep, size, prefix, sketch); ``texts`` has their text by rep.
 
     Enough links to connect whatever is connected; with ``everything`` all links, without the skipping
@@ -221,27 +256,24 @@ def class_links(classes: DataFrame, texts: DataFrame, n: int, percent: int, ever
     """
     index = classes.select("rep", "size", F.posexplode("prefix").alias("at", "token"))
     met = index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    active = stored(index.join(met, "token").withColumn("comp", F.col("rep")))
-    pairs, rest = _led_pairs(active, 1, percent)
-    links = stored(verified(stored(sketch_passes(pairs, classes, percent)), texts, n, percent))
-    named, slots = None, leaders
+    active, links, seed = stored(index.join(met, "token").withColumn("comp", F.col("rep"))), None, 0
     while True:
-        if not everything and named is None:
+        filed = stored(_lists(active))
+        if filed.isEmpty():
+            return links if links is not None else classes.sparkSession.createDataFrame([], "id_a long, id_b long")
+        if seed < single and not everything:
+            pairs, rest = _one_each(filed, seed, percent), filed.select(*active.columns)
+        else:
+            pairs, rest = _all_pairs_outside(filed, leaders, percent)
+            leaders *= MORE
+        seed += 1
+        pairs = stored(pairs)
+        new = stored(verified(stored(sketch_passes(pairs, classes, percent)), texts, n, percent))
+        links = new if links is None else links.unionByName(new)
+        if not everything and not new.isEmpty():
             named = stored(connected_components(links).toDF("rep", "named"))
-        active = rest if named is None else rest.join(named, "rep", "left").withColumn(
-            "comp", F.coalesce("named", "comp")).drop("named")
-        open_lists = active.groupBy("token").agg(F.count("*").alias("many"), F.min("comp").alias("lo"),
-                                                 F.max("comp").alias("hi")).where("lo < hi").select("token", "many")
-        active = stored(active.join(open_lists, "token").select("token", "many", "rep", "size", "at", "comp"))
-        if active.isEmpty():
-            return links
-        pairs = _short_pairs(active.where(F.col("many") <= short).drop("many"), percent)
-        led, rest = _led_pairs(active.where(F.col("many") > short).drop("many"), slots, percent)
-        slots *= max(2, leaders)
-        pairs = stored(sketch_passes(pairs.unionByName(led).distinct(), classes, percent))
-        more = stored(verified(pairs, texts, n, percent))
-        if not more.isEmpty():
-            links, named = links.unionByName(more), None
+            rest = rest.join(named, "rep", "left").withColumn("comp", F.coalesce("named", "comp")).drop("named")
+        active = rest.select(*active.columns)
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:

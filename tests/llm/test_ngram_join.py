@@ -52,7 +52,7 @@ def near_copies(seed, docs=70):
 
 
 @pytest.mark.parametrize("seed,n,percent,options", [
-    (1, 4, 85, {}), (2, 4, 60, {"short": 2, "leaders": 1})])
+    (1, 4, 85, {}), (2, 4, 60, {"leaders": 1}), (3, 3, 100, {}), (5, 2, 50, {"leaders": 2}), (6, 3, 70, {"single": 0, "leaders": 3})])
 def test_components(spark, seed, n, percent, options):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -60,8 +60,7 @@ def test_components(spark, seed, n, percent, options):
     assert got == brute(rows, n, percent)[0]
 
 
-@pytest.mark.parametrize("short", [2])
-def test_all_links(spark, short):
+def test_all_links(spark):
     rows = [(i, t) for i, (_, t) in enumerate(near_copies(4, 50))]
     rows = [(min(j for j, u in rows if shingles(u, 3) == shingles(t, 3)), t) for i, t in rows]
     rows = sorted({d: t for d, t in rows}.items())
@@ -69,10 +68,29 @@ def test_all_links(spark, short):
     sets = stored(nj.shingle_sets(df, 3, 60, nj.frequent_shingles(df, 3)))
     classes = sets.where("n_shingles > 0").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("size"), "prefix", "sketch")
     texts = df.select(F.col("doc_id").alias("rep"), "text")
-    links = nj.class_links(classes, texts, 3, 60, everything=True, short=short, leaders=2)
+    links = nj.class_links(classes, texts, 3, 60, everything=True, leaders=2)
     assert {tuple(r) for r in links.collect()} == brute(rows, 3, 60)[1]
 
 
+@pytest.mark.parametrize("copies", [100, 300])
+def test_pairs_grow_with_the_groups(spark, monkeypatch, copies):
+    """Several groups of near copies: the pairs looked at are in proportion to the group, not to its square."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for i in range(copies):
+            text = list(base)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(200)] = f"x{rng.randrange(10_000)}"
+            rows.append((g * copies + i, " ".join(text)))
+    pairs, own = [], nj.sketch_passes
+    monkeypatch.setattr(nj, "sketch_passes", lambda df, *a: pairs.append(df) or own(df, *a))
+    got = nj.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0, copies, 2 * copies}
+    assert sum(df.count() for df in pairs) <= 3 * len(rows)
+
+
 def test_against_oracle(spark):
     assert compare(nj.op10_ngram_jaccard(spark, SF), oracle_connection(SF), nj.ORACLE).startswith("ok")
 
