@@ -338,8 +338,9 @@ def added_spans(tagger: Tagger | None, texts: list[str], base: list[list[Span]],
         taken = np.zeros(len(texts[i]) + 1 if spans else 0, bool)
         for _, a, b in base[i] if spans else []:
             taken[a:b] = True
-        out[i] = [s for p, s in best_set(spans) if p >= sure and not taken[s[1]:s[2]].any()
-                  and plausible(s[0], texts[i][s[1]:s[2]])]
+        # what may not be reported must not win a place from what may
+        fit = [(p, s) for p, s in spans if p >= sure and not taken[s[1]:s[2]].any() and plausible(s[0], texts[i][s[1]:s[2]])]
+        out[i] = [s for _, s in best_set(fit)]
     return out
 
 

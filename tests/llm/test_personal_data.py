@@ -103,6 +103,18 @@ def trained(spark):
     return pii.fit(pii.training_windows(docs.select("doc_id", "text")))
 
 
+def test_unreportable_spans_take_no_place(monkeypatch):
+    """A long unsure span, and one that no check would pass, lie over a sure one."""
+    text = "call 0049 551 555 0826 today, name at place, thank you"
+    phone = ("phone", 5, 22)
+    for other in [(0.6, ("email", 0, len(text))), (0.99, ("card", 3, 40)), (0.99, ("email", 0, len(text)))]:
+        monkeypatch.setattr(pii, "windows", lambda text, known=(): [(0, len(text))])
+        monkeypatch.setattr(pii, "tagged", lambda tagger, texts, other=other: [[(0.99, phone), other]] * len(texts))
+        assert pii.plausible("phone", text[5:22])
+        assert pii.added_spans(object(), [text], [[]]) == [[phone]]
+        assert pii.redact_text(text, [phone]) == "call [PHONE] today, name at place, thank you"
+
+
 def test_other_spellings_on_held_out_texts(spark, trained):
     rng = np.random.default_rng(8)
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(
