@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossquote.llm.words import WORD, documents
+from crossquote.llm.substrings import stored
+from crossquote.llm.words import WORD, documents, few
 from crossquote.session import materialize
 
 SEED = 17
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = SEED, buckets: int = BU
     place = F.struct("_key", "_id", "_size")
     more = (F.when(F.col("_place").isNull() | (place > F.col("_place")), 0)
             .when(place == F.col("_place"), F.col("_last")).otherwise(F.col("_size")))
-    return narrow.join(source_plans(narrow), "_source").select(
+    return narrow.join(few(stored(source_plans(narrow))), "_source").select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), "source_size", "target",
         (F.col("_epochs") * F.col("_size") + more).cast("long").alias("taken"))
 
@@ -134,7 +135,7 @@ def mixed_documents(docs: DataFrame, weights: DataFrame, seed: int = SEED, bucke
             .when(place == F.col("_place"), (2 * F.col("_last") >= F.col("_size")).cast("int")).otherwise(1))
     times = F.col("_epochs") + more
     times = F.when(F.col("_size") == 0, F.greatest(times, F.lit(1))).otherwise(times)
-    taken = keyed.join(source_plans(narrow), "_source").withColumn("_times", times.cast("int"))
+    taken = keyed.join(few(stored(source_plans(narrow))), "_source").withColumn("_times", times.cast("int"))
     return taken.where("_times > 0").select("_doc", F.explode(F.sequence(F.lit(1), "_times")).alias("_n")).select("_doc.*")
 
 

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossquote.llm.scripts import NAMES, script_codes
-from crossquote.llm.words import RaggedTable, WordTable, chunks, documents
+from crossquote.llm.substrings import stored
+from crossquote.llm.words import RaggedTable, WordTable, chunks, documents, few
 from crossquote.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -172,7 +173,7 @@ def rules(docs: DataFrame, width: float = WIDTH, byte_path: str | None = None,
     is fine. Null and blank texts have no words and fail the plain rules.
     """
     measured = materialize(measure(docs, byte_path, piece_path))
-    judged = measured.join(bands(measured, width), "band", "left")
+    judged = measured.join(few(stored(bands(measured, width))), "band", "left")
     wider = F.sqrt(1 + F.try_divide(F.lit(SHORT), F.col("n_words")))
     beyond = {m: F.col(m) - F.col(f"{m}_edge") if m in UPPER else F.col(f"{m}_edge") - F.col(m) for m in LEAST}
     out = [F.when(beyond[m] > wider * F.col(f"{m}_reach"), F.lit(m)) for m in LEAST]

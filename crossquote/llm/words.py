@@ -160,3 +160,11 @@ def word_hashes(words: Sequence[bytes]) -> np.ndarray:
 
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter(map(digest, words), np.uint64, len(words))
+
+
+FEW_ROWS = 100_000  # narrow rows that are sent to all tasks, at most
+
+
+def few(table: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table of few rows as one to broadcast, so that a hot key on the other side stays where it is; a longer one as it is."""
+    return F.broadcast(table) if table.count() <= most else table
