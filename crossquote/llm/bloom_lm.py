@@ -10,8 +10,8 @@ where c* is the count that a level stands for. Every token has one follower (the
 first word), so c(h) is the total over all followers of h. Words and pairs go by 64-bit hashes.
 
 The filter is built in segments, each by the task that has counted its entries, and sized by them. It
-is broadcast in shards of at most ``SHARD_BYTES``; with more than one, the texts pass them one by one and
-carry the levels found so far.
+is broadcast in shards of at most ``SHARD_BYTES``. A task cuts a group of texts into words once, gathers the different words
+and pairs and looks them up shard by shard, with one shard in memory; texts are read once, however many shards there are.
 """
 
 from __future__ import annotations
@@ -36,6 +36,9 @@ WEIGHT = 50.0
 SHARD_BYTES = 64 << 20
 FREQUENT_WORDS = 1 << 23  # words whose exact counts are broadcast, at most: 128 MB
 FLUSH = 1_000_000
+TOKEN_BYTES, SLICE_KEYS = 3, 1 << 21  # a word makes two keys and has six bytes, about; a slice of the key space has so many keys
+GROUP_BYTES = 8 << 20  # text whose different words and pairs are looked up together
+LOT = 1 << 18  # codes probed at a time
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying by it can be undone
 UNSPREAD = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 ONE = np.uint64(1)
@@ -269,37 +272,51 @@ def shards(table: DataFrame, most: int) -> list[list[int]]:
     return out
 
 
-def _filter(table: DataFrame, group: list[int]) -> Filter:
-    return Filter({r.segment: r.bits for r in table.where(F.col("segment").isin(group)).toLocalIterator()})
+class Shards:
+    """The filter as broadcast variables, of which a task holds one at a time."""
 
+    def __init__(self, spark: SparkSession, table: DataFrame, most: int):
+        groups = shards(table, most)
+        self._of = np.zeros(SEGMENTS, np.int32)
+        for number, group in enumerate(groups):
+            self._of[group] = number
+        self._parts = [spark.sparkContext.broadcast(Filter({
+            r.segment: r.bits for r in table.where(F.col("segment").isin(group)).toLocalIterator()})) for group in groups]
 
-def _word_levels(own: Filter):
-    """Levels of words."""
-    return lambda hashes: [own.levels(unigrams(hashes))]
-
+    def levels(self, codes: np.ndarray) -> np.ndarray:
+        """Levels of codes, shard by shard. Of several shards none stays in memory."""
+        if len(self._parts) == 1:
+            return self._in(self._parts[0].value, codes)
+        found, own = np.zeros(len(codes), np.uint8), self._of[Filter.segment(codes)]
+        for number, part in enumerate(self._parts):
+            at = np.flatnonzero(own == number)
+            if len(at):
+                found[at] = self._in(part.value, codes[at])
+                del part._value  # it is read again from the executor's copy when needed
+        return found
 
-def _probed(docs: DataFrame, part: Filter) -> DataFrame:
-    """The texts with the levels of their tokens as found so far: of words and pairs, a byte each."""
-    known = docs.sparkSession.sparkContext.broadcast(part)
+    @staticmethod
+    def _in(part: Filter, codes: np.ndarray) -> np.ndarray:
+        """A probe has several numbers for each code, so many codes go one lot after the other."""
+        lots = np.split(codes, range(LOT, len(codes), LOT))
+        return np.concatenate([part.levels(lot) for lot in lots])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = known.value
-        table = Tokens(_word_levels(own), (np.uint8,))
-        for batch, texts in chunks(batches, size=2 << 20):
-            offsets, (words, single) = table(texts)
-            found = np.stack([single, own.levels(pairs(shifted(words), words))], 1)
-            rows = []
-            for row, have in enumerate(batch.column("levels").to_pylist()):
-                one = found[offsets[row]:offsets[row + 1]]
-                rows.append((one if have is None else one | np.frombuffer(have, np.uint8).reshape(-1, 2)).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "text")), pa.array(rows, pa.binary())],
-                                             ["doc_id", "held_out", "text", "levels"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, text string, levels binary")
+def grouped(slices: Iterator, size: int) -> Iterator[list]:
+    """Slices of text together until they have ``size`` bytes."""
+    held, total = [], 0
+    for batch, texts in slices:
+        held.append((batch, texts))
+        total += sum(map(len, texts))
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, shard_bytes: int = SHARD_BYTES,
-                frequent: int = FREQUENT_WORDS) -> DataFrame:
+                frequent: int = FREQUENT_WORDS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of ``docs``.
 
     Both tables have doc_id and text, ``docs`` also held_out. A null or empty text is its end alone. Without
@@ -307,7 +324,8 @@ def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, sh
     a 1 / ``frequent`` of all, so that many at most) are broadcast, the others joined. Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    slices = max(16, 1 << (training.count() // 64).bit_length())
+    size = training.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(64, 1 << (size // (TOKEN_BYTES * SLICE_KEYS)).bit_length())
     counts = stored(count_ngrams(training, slices))
     words = counts.where(F.col("key").bitwiseAND(F.lit(1)) == 0)
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -318,32 +336,23 @@ def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, sh
     head = spark.sparkContext.broadcast((top.column("key").to_numpy().view(np.uint64)[order], top.column("n").to_numpy()[order]))
     below = n + 0.1 * (v + 1)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text",
-                        F.lit(None).cast("binary").alias("levels"))
-    *others, final = shards(table, shard_bytes)
-    for group in others:
-        texts = stored(_probed(texts, _filter(table, group)))
-    last = spark.sparkContext.broadcast(_filter(table, final))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    parts = Shards(spark, table, shard_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, exact), own = head.value, last.value
+        known, exact = head.value
 
-        def counted(hashes: np.ndarray) -> np.ndarray:
+        def counted(hashes: np.ndarray) -> list[np.ndarray]:
             """Exact counts of frequent words, 0 for others."""
             place = np.minimum(np.searchsorted(known, unigrams(hashes)), max(len(known) - 1, 0))
-            return np.where(known[place] == unigrams(hashes), exact[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
+            return [np.where(known[place] == unigrams(hashes), exact[place], 0) if len(known) else np.zeros(len(hashes), np.int64)]
 
-        table = Tokens(lambda hashes: [*_word_levels(own)(hashes), counted(hashes)], (np.uint8, np.int64))
+        table = Tokens(counted, (np.int64,))
         at = TaskContext.get().partitionId() << 33
-        for batch, raw in chunks(batches, size=2 << 20):
-            offsets, (words, single, seen) = table(raw)
-            before, pair = shifted(words), np.zeros(len(words), np.uint8)
-            if batch.column("levels").null_count == 0:
-                levels = np.frombuffer(b"".join(batch.column("levels").to_pylist()), np.uint8).reshape(-1, 2)
-                single, pair = single | levels[:, 0], levels[:, 1].copy()
-            total = shifted(single)
-            held = np.flatnonzero((total > 0) & (single > 0))  # both words of a pair are there, and as often as it is
-            pair[held] |= own.levels(pairs(before[held], words[held]))
+
+        def scored(batch, raw, offsets, words, seen, single, total, pair) -> Iterator[pa.RecordBatch]:
+            """Sums of texts, and their words whose exact counts are elsewhere."""
+            nonlocal at
             single, total, pair = MEANT[single], MEANT[total], MEANT[np.minimum(pair, np.minimum(total, single))]
             p = (pair + weight * (single + 0.1) / below) / (total + weight)
             key, inside = unigrams(words), seen > 0
@@ -368,10 +377,23 @@ def score_texts(docs: DataFrame, training: DataFrame, weight: float = WEIGHT, sh
             for columns in (of_docs, of_words):
                 yield pa.RecordBatch.from_arrays(columns, ["key", "row", "times", "doc_id", "held_out", "n_tokens", "known", "base", "score"])
 
-    parts = texts.mapInArrow(run, "key long, row long, times long, doc_id long, held_out boolean, n_tokens long, "
+        for group in grouped(chunks(batches), group_bytes):
+            tokens, codes = [], []
+            for batch, raw in group:
+                offsets, (words, seen) = table(raw)
+                # the first word of a slice follows the end that closes it
+                own, place = np.unique(np.concatenate([unigrams(words), pairs(shifted(words), words)]), return_inverse=True)
+                tokens.append((batch, raw, offsets, words, seen, place.astype(np.uint32)))
+                codes.append(own)
+            levels = np.split(parts.levels(np.concatenate(codes)), np.cumsum([len(c) for c in codes])[:-1])
+            for (batch, raw, offsets, words, seen, place), level in zip(tokens, levels):
+                single, pair = np.split(level[place], 2)
+                yield from scored(batch, raw, offsets, words, seen, single, shifted(single), pair)
+
+    found = texts.mapInArrow(run, "key long, row long, times long, doc_id long, held_out boolean, n_tokens long, "
                                   "known long, base double, score double")
     rare = words.where(F.col("n") <= floor).select("key", F.col("n").alias("seen"))
-    joined = parts.join(rare, "key", "left")
+    joined = found.join(rare, "key", "left")
     value = F.col("times") * F.log10((F.coalesce("seen", F.lit(0)) + 0.1) / F.lit(below))
     known = F.coalesce("known", F.lit(0)) + F.when(F.col("seen").isNotNull(), F.col("times")).otherwise(0)
     return joined.groupBy("row").agg(

@@ -24,7 +24,7 @@ def brute(rows, train, weight):
     pairs = Counter(p for t in train for p in zip([None, *split(t)], split(t)))
     totals = Counter()
     for (h, _), k in pairs.items():
-        totals[h] += k - 1
+        totals[h] += k
 
     def meant(k):
         return lm.MEANT[np.searchsorted(lm.EDGES, k, "right")]
@@ -35,7 +35,7 @@ def brute(rows, train, weight):
         score = 0.0
         for h, w in zip([None, *t], t):
             total = meant(totals[h])
-            pair = min(meant(max(pairs[h, w] - 1, 0)), total)
+            pair = min(meant(pairs[h, w]), total, meant(c[w]))
             score += math.log10((pair + weight * (meant(c[w]) + 0.1) / (n + 0.1 * (v + 1))) / (total + weight))
         out.append((d, len(t), sum(c[w] > 0 for w in t), n, base, score))
     return out
