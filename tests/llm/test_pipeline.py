@@ -59,3 +59,16 @@ def test_odd_and_empty(spark, odd, empty):
         assert out.columns == odd.columns
     assert cp.packed(spark, odd, SF).count() >= odd.count()
     assert cp.one_of_each_group(spark, odd, SF).where("doc_id = 4").count() == 1
+
+
+def test_different_texts_of_one_id(spark):
+    """One of them stays, the same one however the rows are dealt out."""
+    rows = [(7, f"text number {i} of seven", "en", "a", i) for i in range(6)] + [(8, "another text", "en", "a", 1), (None, "x", "en", "a", 1)]
+    kept = set()
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(parts, "n_chars")
+        out = cp.one_of_each_group(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept.add(tuple(sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr)))
+    (only,) = kept
+    assert [d for d, _, _ in only] == [7, 8, None]
