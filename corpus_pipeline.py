@@ -20,12 +20,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest id stays. Rows of one id are one document."""
+    """Of documents that links connect, the one with the smallest id stays.
+
+    Rows of one id are one document: of different texts that with the smallest hash stays. Rows with a null id, and
+    null or blank texts of different ids, link with nothing and stay. An empty table stays empty.
+    """
     linked = stored(ngram_join.link_documents(docs, SHINGLE, PERCENT))
     repeated = linked.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if not repeated.isEmpty():
-        named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-        docs = named.unionByName(docs.where("doc_id is null"))
+        first = F.struct(F.xxhash64("text"), F.col("text"), F.xxhash64(*docs.columns))
+        again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(
+            F.min_by(F.struct(*docs.columns), first).alias("r")).select("r.*")
+        alone = docs.join(repeated.select("doc_id"), "doc_id", "left_anti")  # null ids too
+        docs = alone.unionByName(again)
     gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
     if gone.count() <= ngram_join.FEW_IDS:
         gone = F.broadcast(gone)
@@ -33,16 +40,20 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans are replaced by their kind. Every row stays, repeated ones too; a null text stays null, n_chars counts the new text."""
     tagger = personal_data.fit(personal_data.training_windows(docs.select("doc_id", "text")))
     return personal_data.redact(docs, tagger)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them. A null source is one of its own; null and blank texts have no words and stay once at
+    least; rows that repeat, and equal keys, count one by one. An empty table stays empty."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mixing.mixed_documents(docs, mixing.quality_weights(labels))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, repeated ones too; a null or empty text is its end id. An empty table has no pieces."""
     return packing.pack(docs)
 
 
