@@ -47,8 +47,9 @@ def euclidean(a, b) -> Column:
 
 def l2_normalise(v) -> Column:
     v = _c(v)
-    size = norm(v)
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), size), F.lit(0.0)))
+    # the norm is bound to a variable: inside the inner lambda it would be computed for every component
+    return F.get(F.transform(F.array(norm(v)), lambda size: F.transform(
+        v, lambda x: F.coalesce(F.try_divide(x.cast("double"), size), F.lit(0.0)))), F.lit(0))
 
 
 METRICS = {"cosine": cosine, "dot": dot}
@@ -83,9 +84,11 @@ def hash_embed(text, dims: int = 128) -> Column:
     """Dense unit vector of a short text in one expression; zeros for blank text."""
     parts = F.transform(embed_tokens(text), lambda t: F.struct(
         token_slot(t, dims).alias("slot"), token_weight(t).alias("w")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(
-        F.filter(parts, lambda p: p["slot"] == i), F.lit(0.0), lambda acc, p: acc + p["w"]))
-    return F.when(F.coalesce(F.length(F.trim(_c(text))), F.lit(0)) > 0, l2_normalise(raw)) \
+    # a value used inside a lambda is computed again in each call, so it is bound to a variable first
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    raw = once(parts, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(
+        F.filter(own, lambda p: p["slot"] == i), F.lit(0.0), lambda acc, p: acc + p["w"])))
+    return F.when(F.coalesce(F.length(F.trim(_c(text))), F.lit(0)) > 0, once(raw, l2_normalise)) \
         .otherwise(F.array_repeat(F.lit(0.0), dims))
 
 

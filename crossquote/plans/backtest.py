@@ -35,7 +35,7 @@ def leg_rows(actions: DataFrame, pairs: DataFrame) -> DataFrame:
             F.try_element_at(snap["best_ask"], label).alias("best_price"),
             F.try_element_at(snap["last_traded"], label).alias("last_price"),
             F.try_element_at(snap["asks"], label).alias("levels"), quote["fees"].alias("platform_fee"),
-            F.lit("active").alias("market_status"))
+            F.coalesce(F.lower(snap["status"]), F.lit("active")).alias("market_status"))
 
     keyed = actions.join(pairs.select("pair_id", "platform_a", "id_a", "platform_b", "id_b"), "pair_id")
     return keyed.select(
@@ -44,6 +44,20 @@ def leg_rows(actions: DataFrame, pairs: DataFrame) -> DataFrame:
         "pair_id", "entry_time", "observations", "requested_size", "leg.*")
 
 
+def order_rejections(orders: DataFrame, events: DataFrame, min_size: float = fl.MIN_TRADE_SIZE,
+                     max_size: float = fl.MAX_BASKET_SIZE) -> DataFrame:
+    """Orders (order_id, platform, market_id, ts, requested_size) with ``market_status`` at their time and the first reason against them.
+
+    A market is unknown (null status) until its first snapshot or resolution; events at an order's time count.
+    """
+    asked = orders.withColumnRenamed("order_id", "probe_id")
+    states = rp.state_as_of(events, asked, prints=False).select(
+        F.col("probe_id").alias("order_id"),
+        F.when(F.col("quote").isNotNull() | (F.col("status") == "resolved"), F.col("status")).alias("market_status"))
+    return orders.join(states, "order_id").withColumn(
+        "rejection", fl.action_rejection(orders, min_size, max_size))
+
+
 def attempts(intervals: DataFrame, pairs: DataFrame, *modes: str,
              strategy: Callable[[DataFrame], DataFrame] | None = None,
              min_profit: float = fl.MIN_PROFIT, **overrides) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossquote.functions.vectors import hash_embed
 from crossquote.session import materialize
 
 
@@ -145,6 +146,10 @@ class VectorCollection(KeyedTable):
             raise ValueError(f"vector length mismatch in namespaces {bad}")
         super().upsert(incoming.withColumn("vector", F.col("vector").cast("array<float>")), version, oldest_first)
 
+    def add_texts(self, texts: DataFrame, dims: int) -> None:
+        """Texts (namespace, id, text, ...) with their hash embeddings of ``dims`` components as vectors."""
+        super().upsert(texts.withColumn("vector", hash_embed(F.coalesce("text", F.lit("")), dims).cast("array<float>")))
+
     def counts(self) -> DataFrame | None:
         current = self.read()
         return None if current is None else namespace_counts(current)

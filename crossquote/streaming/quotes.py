@@ -106,20 +106,12 @@ def upsert_sink(table, prepare: Callable[[DataFrame], DataFrame] = lambda batch:
     return write
 
 
-def incremental_pairing(stored, match: Callable[[DataFrame], DataFrame], found) -> Callable[[DataFrame, int], None]:
-    """Match each batch of new questions against stored ones and each other, then store both.
+def incremental_pairing(index, threshold: float, match: Callable[[DataFrame], DataFrame], found) -> Callable[[DataFrame, int], None]:
+    """Match each batch of new questions against stored ones and each other, and store both.
 
-    ``stored`` and ``found`` are ``KeyedTable``s of questions and pairs. ``match(questions)``
-    gets all questions with a ``fresh`` flag and returns the pairs that have a fresh side.
+    ``index`` is a ``CellIndex`` of the questions, ``found`` a ``KeyedTable`` of the pairs. ``match(questions)`` gets the batch and
+    the stored questions within reach of ``threshold``, with a ``fresh`` flag, and returns the pairs that have a fresh side.
     """
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        known = stored.read()
-        marked = batch.withColumn("fresh", F.lit(True))
-        if known is not None:
-            old = known.join(batch.select(*stored.keys), stored.keys, "left_anti")
-            marked = marked.unionByName(old.withColumn("fresh", F.lit(False)))
-        found.upsert(match(marked))
-        stored.upsert(batch)
+    def write(batch: DataFrame, number: int) -> None:
+        found.upsert(index.update(batch, number, threshold, match))
     return write

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crossquote.functions import filters, text as tx, vectors as vf
 from crossquote.operators import neighbours, simjoin
 from crossquote.plans import serving
+from crossquote.session import shared_dir
 from crossquote.sources import markets, upserts
 from workload.registry import query
-from workload.views import view, with_views
+from workload.views import table, view, with_views
 
 THRESHOLD = 0.30  # the given vectors are nearly independent; 0.70 would return nothing
 SWEEP = (0.20, 0.25, 0.30, 0.35, 0.40)
@@ -145,6 +148,25 @@ def hash_embedding(spark, sf_dir):
     return rows.select("market_id", "slot", F.round("weight", 6).alias("weight"))
 
 
+@query("text_query", with_views("v_question", also=_TOKENS + """,
+asked AS (SELECT slot, weight FROM unit WHERE market_id = (SELECT min(market_id) FROM v_question WHERE question LIKE '%NBA%')),
+found AS (SELECT q.market_id, greatest(0.0, least(1.0, coalesce((SELECT sum(u.weight * a.weight) FROM unit u JOIN asked a USING (slot) WHERE u.market_id = q.market_id), 0.0))) AS score
+  FROM v_question q WHERE platform <> 'gamma')""") + """
+SELECT CAST(market_id AS VARCHAR) AS id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, CAST(market_id AS VARCHAR)) AS rank
+FROM found QUALIFY rank <= 25""")
+def text_query(spark, sf_dir):
+    """Texts are added to a collection, which embeds them, one namespace is cleared, and a text is asked for."""
+    rows = view(spark, sf_dir, "v_question", spread=True)
+    path = f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}"
+    collection = upserts.VectorCollection(spark, path, buckets=8)
+    texts = rows.select(F.col("platform").alias("namespace"), F.col("market_id").cast("string").alias("id"), F.col("question").alias("text"))
+    collection.add_texts(texts, 128)
+    collection.clear("gamma")
+    text = rows.where("question LIKE '%NBA%'").agg(F.min_by("question", "market_id")).first()[0]
+    best = neighbours.text_matches(collection.read(), text, 25, 128)
+    return best.select("id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("text_similarity", with_views("v_question", also=_TOKENS) + """
 SELECT a.market_id, round(least(1.0, greatest(0.0, coalesce(
   (SELECT sum(x.weight * y.weight) FROM unit x JOIN unit y ON x.slot = y.slot
@@ -169,9 +191,11 @@ def score_distribution(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("min_score", "max_score")})
 
 
-AHEAD = 8
-_MARKED = f"""marked AS (SELECT {_DOT_AB} AS score, a.label = b.label AS is_match
-  FROM v_vec a JOIN v_vec b ON b.market_id BETWEEN a.market_id + 1 AND a.market_id + {AHEAD})"""
+# Labelled pairs: every order line names two vectors, by its part and by its supplier; its line number is the sector.
+_MARKED = f"""sz AS (SELECT max(market_id) + 1 AS n FROM v_vec),
+asked AS (SELECT l_linenumber AS sector, l_partkey % n AS va, l_suppkey * 7 % n AS vb FROM lineitem, sz),
+marked AS (SELECT sector, {_DOT_AB} AS score, a.label = b.label AS is_match
+  FROM asked JOIN v_vec a ON a.market_id = va JOIN v_vec b ON b.market_id = vb)"""
 _SWEEP = _MARKED + f""",
 sweep AS (SELECT threshold, count_if(score >= threshold AND is_match) AS tp,
   count_if(score >= threshold AND NOT is_match) AS fp, count_if(score < threshold AND is_match) AS fn
@@ -182,12 +206,33 @@ f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1
 
 
 def _labelled(spark, sf_dir):
-    """A labelled pair table, scored row by row: each vector with the next AHEAD ones, a match when the labels agree."""
+    """The labelled pair table, scored row by row: a match when the labels of the two vectors agree."""
     rows = view(spark, sf_dir, "v_vec").select("market_id", "label", "vector")
-    later = rows.select(F.col("market_id").alias("other"), F.col("label").alias("other_label"), F.col("vector").alias("other_vector"))
-    asked = rows.withColumn("other", F.explode(F.sequence(F.col("market_id") + 1, F.col("market_id") + AHEAD)))
-    return asked.join(later, "other").select(vf.dot("vector", "other_vector").alias("score"),
-                                             (F.col("label") == F.col("other_label")).alias("is_match"))
+    count = rows.agg(F.max("market_id") + 1).first()[0] or 1
+    asked = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("sector"), (F.col("l_partkey") % count).alias("va"),
+                                                    (F.col("l_suppkey") * 7 % count).alias("vb"))
+    side = lambda s: rows.toDF(f"v{s}", f"label_{s}", f"vector_{s}")
+    return asked.join(side("a"), "va").join(side("b"), "vb").select(
+        "sector", vf.dot("vector_a", "vector_b").alias("score"), (F.col("label_a") == F.col("label_b")).alias("is_match"))
+
+
+_BY_SECTOR = _SWEEP.replace("sweep AS (SELECT threshold,", "sweep AS (SELECT sector, threshold,").replace("GROUP BY 1)", "GROUP BY 1, 2)")
+
+
+@query("sector_sweep", with_views("v_vec", also=_BY_SECTOR) + """
+SELECT sector, CAST(threshold AS DOUBLE) AS threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+       CAST(fn AS BIGINT) AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f""")
+def sector_sweep(spark, sf_dir):
+    out = serving.threshold_sweep(_labelled(spark, sf_dir), SWEEP, ["sector"])
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
+
+
+@query("best_sector_threshold", with_views("v_vec", also=_BY_SECTOR) + """
+SELECT sector, CAST(threshold AS DOUBLE) AS best_threshold, round(f1, 6) AS best_f1 FROM f
+QUALIFY row_number() OVER (PARTITION BY sector ORDER BY f1 DESC, threshold) = 1""")
+def best_sector_threshold(spark, sf_dir):
+    sweep = serving.threshold_sweep(_labelled(spark, sf_dir), SWEEP, ["sector"])
+    return serving.best_threshold(sweep, ["sector"]).withColumn("best_f1", F.round("best_f1", 6))
 
 
 @query("threshold_sweep", with_views("v_vec", also=_SWEEP) + """

@@ -132,6 +132,25 @@ def state_as_of(spark, sf_dir):
     return out.select("probe_id", F.coalesce("quote.snapshot_seq", F.lit(-1)).alias("quote_seq"), "status")
 
 
+@query("order_rejections", with_views("v_replay", also=_STATE + """,
+od AS (SELECT seq AS order_id, platform, market_id + CASE WHEN seq % 4 = 0 THEN 1000000 ELSE 0 END AS market_id, ts, CAST(seq % 13 * 50 AS DOUBLE) AS requested_size
+  FROM v_replay WHERE event_type = 'trade_print'),
+sz AS (SELECT od.*, hs.quote_seq, hs.status, concat(od.platform, '::', od.market_id) AS key
+  FROM od ASOF LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY platform, market_id, ts ORDER BY seq DESC) AS k FROM hs QUALIFY k = 1) hs
+  ON hs.platform = od.platform AND hs.market_id = od.market_id AND hs.ts <= od.ts)""") + """
+SELECT order_id, CASE WHEN coalesce(status, 'active') = 'active' AND quote_seq IS NULL THEN concat('Unknown market: ', key)
+  WHEN status <> 'active' THEN concat('Market not active: ', key)
+  WHEN requested_size < 1 THEN 'size below minimum' WHEN requested_size > 500 THEN 'size exceeds maximum' END AS rejection FROM sz""")
+def order_rejections(spark, sf_dir):
+    """An order at every trade print: some for markets that do not exist, some too small or too large."""
+    prints = view(spark, sf_dir, "v_replay").where("event_type = 'trade_print'")
+    orders = prints.select(
+        F.col("seq").alias("order_id"), "platform",
+        (F.col("market_id") + F.when(F.col("seq") % 4 == 0, 1000000).otherwise(0)).cast("string").alias("market_id"), "ts",
+        (F.col("seq") % 13 * 50).cast("double").alias("requested_size"))
+    return backtest.order_rejections(orders, events(spark, sf_dir)).select("order_id", "rejection")
+
+
 @query("normalised_events", with_views("v_replay") + """
 SELECT seq, CASE WHEN event_type = 'trade_print' THEN 'market_updated' ELSE event_type END AS event_type, epoch_us(ts) // 1000000 AS sec,
   CASE WHEN event_type <> 'market_resolved' THEN round(ask_yes, 4) ELSE -1.0 END AS ask_yes,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from crossquote.functions import pricing as px
 from crossquote.functions.text import TOPIC_STOPWORDS
 from crossquote.operators import replay, series
 from crossquote.plans import decay, learning, live, scoring, serving
-from crossquote.session import materialize
+from crossquote.session import materialize, shared_dir
+from crossquote.sources import history
 from workload.registry import micros, query, quoted
 from workload.views import view, with_views
 
@@ -239,6 +242,31 @@ def hourly_spread(spark, sf_dir):
     return spreads(spark, sf_dir).select("pair_id", micros("hour").alias("hour_us"), F.round("spread", 6).alias("spread"))
 
 
+def stored_history(spark, sf_dir):
+    """The ticks as a bucketed table."""
+    name = "ticks_" + uuid.uuid4().hex[:12]
+    out = history.History(spark, name, f"{shared_dir(spark)}/{name}", buckets=8)
+    out.append(view(spark, sf_dir, "v_tick"))
+    return out
+
+
+@query("market_history", with_views("v_tick") + """
+SELECT seq, epoch_us(ts) AS us, round(yes_price, 6) AS yes_price FROM v_tick
+WHERE market_id = (SELECT max(market_id) FROM v_tick WHERE platform = 'alpha')""")
+def market_history(spark, sf_dir):
+    """One market's ticks, out of the one bucket that holds them."""
+    market = view(spark, sf_dir, "v_tick").where("platform = 'alpha'").agg(F.max("market_id")).first()[0] or ""
+    rows = stored_history(spark, sf_dir).market("alpha", market)
+    return rows.select("seq", micros("ts").alias("us"), F.round("yes_price", 6).alias("yes_price"))
+
+
+@query("history_hours", with_views("v_tick") + """
+SELECT platform, market_id, epoch_us(date_trunc('hour', ts)) AS hour_us, round(arg_max(yes_price, (ts, seq)), 6) AS price, count(*) AS points FROM v_tick GROUP BY 1, 2, 3""")
+def history_hours(spark, sf_dir):
+    return stored_history(spark, sf_dir).hourly().select("platform", "market_id", micros("hour").alias("hour_us"),
+                                                         F.round("price", 6).alias("price"), "points")
+
+
 @query("hourly_spread_single", with_views("v_price", also="""odd AS (SELECT *, ts - CASE WHEN platform = 'beta' THEN INTERVAL 1 YEAR ELSE INTERVAL 0 DAY END AS shifted FROM v_price),
 last AS (SELECT platform, market_id, topic, arg_max(yes_price, (ts, seq)) AS last FROM odd GROUP BY ALL)""") + """
 SELECT concat(a.market_id, '~', b.market_id) AS pair_id, round(a.last - b.last, 6) AS spread FROM last a JOIN last b ON a.topic = b.topic

@@ -10,6 +10,7 @@ from crossquote.operators import simjoin
 from crossquote.session import materialize, shared_dir
 from crossquote.sources.upserts import KeyedTable
 from crossquote.streaming import carried
+from crossquote.streaming.cells import CellIndex
 from crossquote.streaming import quotes as sq
 from workload import scoring as sc
 from workload.registry import micros, query
@@ -192,18 +193,14 @@ SELECT a.platform AS platform_a, CAST(a.market_id AS VARCHAR) AS id_a, b.platfor
 FROM v_vec a JOIN v_vec b ON a.platform < b.platform
 WHERE list_dot_product(CAST(a.vector AS DOUBLE[]), CAST(b.vector AS DOUBLE[])) >= 0.35""")
 def stream_pairing(spark, sf_dir):
-    """New vectors arrive as a stream; each batch is matched against everything stored so far."""
+    """New vectors arrive in three batches; each is matched against all that are stored, as far as its bounds reach."""
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    name = "s_" + uuid.uuid4().hex[:12]
-    stream_of(spark, sf_dir, "embeddings").createOrReplaceTempView(name)
-    vectors = spark.sql(VIEWS["v_vec"].replace("{embeddings}", name))
-    stored = KeyedTable(spark, f"{base}/questions", ["platform", "market_id"], buckets=4)
+    index = CellIndex(spark, f"{base}/questions", ["platform", "market_id"], buckets=4)
     found = KeyedTable(spark, f"{base}/pairs", ["platform_a", "id_a", "platform_b", "id_b"], buckets=4)
 
     def match(questions):
         return simjoin.similarity_pairs(questions, 0.35, fresh=F.col("fresh"))
 
-    sq.each_batch(vectors, sq.incremental_pairing(stored, match, found), f"{base}/state").awaitTermination()
+    handle = sq.incremental_pairing(index, 0.35, match, found)
+    run_in_parts(spark, view(spark, sf_dir, "v_vec"), F.pmod(F.xxhash64("market_id"), F.lit(3)), 3, handle, base)
     return found.read().select("platform_a", "id_a", "platform_b", "id_b")
-
-
