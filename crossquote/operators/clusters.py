@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crossquote.session import materialize
@@ -36,8 +36,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m"))
-    return (both.where(F.col("v") > F.col("u")).join(low, "u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
+    return (both.where(F.col("v") > F.col("u")).join(low, "u")  # one row per edge; the small star makes them distinct
+            .select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -61,9 +61,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
-        current = materialize(_small_star(_large_star(current)))
-        # equal row count and equal order-free sum of row hashes: nothing changed
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        current = materialize(_small_star(_large_star(current)).observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        # equal row count and equal order-free sum of row hashes, taken while the rows are written: nothing changed
+        now = seen.get
         if mark == now:
             break
         mark = now
