@@ -67,3 +67,31 @@ def test_neighbours_find_every_pair(spark):
                 if (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= radius}
         found = [tuple(r) for r in sh.neighbours(df, radius).collect()]
         assert set(found) == want and len(found) == len(want)
+
+
+def test_votes_against_plain_integers():
+    """Every bit from its own signed votes, with Python integers."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import xxhash
+
+    full = (1 << 64) - 1
+
+    def mix(v):
+        v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) & full
+        v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) & full
+        return v ^ (v >> 31)
+
+    def vote(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.split()]
+        terms = Counter(mix((a * 0x9E3779B97F4A7C15 + b) & full) for a, b in zip(h, h[1:])) if len(h) > 1 else Counter(map(mix, h))
+        out = 0
+        for bit in range(64):
+            total = sum(round(16 * (1 + math.log(c))) * (1 if t >> bit & 1 else -1) for t, c in terms.items())
+            out |= (total > 0) << bit
+        return out
+
+    texts = [b"", b"one", b"one one", b"a b a b a b a b c", " ".join(f"w{i % 37}" for i in range(500)).encode(), "é ü x\ty".encode()]
+    assert sh.Fingerprints()(texts).view(np.uint64).tolist() == [vote(t) for t in texts]
