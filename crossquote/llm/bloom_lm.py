@@ -284,15 +284,22 @@ class Shards:
             r.segment: r.bits for r in table.where(F.col("segment").isin(group)).toLocalIterator()})) for group in groups]
 
     def levels(self, codes: np.ndarray) -> np.ndarray:
-        """Levels of codes, shard by shard. Of several shards none stays in memory."""
-        if len(self._parts) == 1:
-            return self._in(self._parts[0].value, codes)
-        found, own = np.zeros(len(codes), np.uint8), self._of[Filter.segment(codes)]
-        for number, part in enumerate(self._parts):
-            at = np.flatnonzero(own == number)
-            if len(at):
-                found[at] = self._in(part.value, codes[at])
-                del part._value  # it is read again from the executor's copy when needed
+        """Levels of codes, shard by shard. Of several shards none stays in memory.
+
+        Codes go in order of their segment, so that their probes meet a small part of the filter at a time.
+        """
+        segment = Filter.segment(codes).astype(np.uint16)
+        order = np.argsort(segment, kind="stable")
+        sorted_codes, own = codes[order], self._of[segment[order]]
+        cuts = np.searchsorted(own, np.arange(len(self._parts) + 1))
+        levels = np.zeros(len(codes), np.uint8)
+        for part, a, b in zip(self._parts, cuts[:-1], cuts[1:]):
+            if a < b:
+                levels[a:b] = self._in(part.value, sorted_codes[a:b])
+                if len(self._parts) > 1:
+                    del part._value  # it is read again from the executor's copy when needed
+        found = np.empty_like(levels)
+        found[order] = levels
         return found
 
     @staticmethod
