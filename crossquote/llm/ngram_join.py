@@ -9,7 +9,7 @@ Two relations spare most of the work on the index:
 
 * positions: a set far back in its prefix has too little left for the needed overlap with large sets. The join key holds
   size steps, and a leading set is put only at the steps that its size and position can meet;
-* answers: each set is first compared with one other, which leads most of its lists, and sets that turn out
+* answers: each set is first compared with one other at a time, which leads most of its lists, and sets that turn out
   to belong together take over each other's answers: pairs inside one component are not looked at again, and only
   sets outside the largest component of a list lead it afterwards. A group of thousands of near copies costs a few
   comparisons each, not one per pair.
@@ -39,10 +39,11 @@ SHINGLE, PERCENT = 4, 85
 SAMPLE = 5_000  # documents, about, whose shingles tell which are frequent; this decides only the order
 FREQUENT = 5  # sampled documents with a frequent shingle, at least
 MOST_FREQUENT = 1_000_000  # frequent shingles kept
-SINGLE = 2  # rounds in which each set is compared with one other set
+PRODUCTIVE = 8  # rounds with one comparison per set go on while one in so many of them links
 LEADERS = 64  # leading sets of a list in the round after those, at most, and
 MORE = 64  # how many times more in each of the next ones
 STEPS = 8
+ENTRY = ("token", "rep", "size", "at", "comp")
 SLICE = 512 << 10  # bytes of text worked on at a time
 SKETCH = 1024  # bits of a parity sketch, at least; doubled until there is one for every two shingles
 FEW_IDS = 2_000_000  # up to so many wanted texts (16 MB of ids), the others are dropped before the shuffle
@@ -159,7 +160,7 @@ def _lists(active: DataFrame) -> DataFrame:
     comps = active.groupBy("token", "comp").agg(F.count("*").alias("n"))
     lists = comps.groupBy("token").agg(F.count("*").alias("comps"), (F.sum("n") - F.max("n")).alias("outside"),
                                        F.max_by("comp", F.struct("n", "comp")).alias("major")).where("comps > 1")
-    return active.join(lists, "token").select("token", "rep", "size", "at", "comp", "outside", "major")
+    return active.join(lists, "token").select(*ENTRY, "outside", "major")
 
 
 def _one_each(filed: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -248,32 +249,36 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def class_links(classes: DataFrame, texts: DataFrame, n: int, percent: int, everything: bool = False,
-                leaders: int = LEADERS, single: int = SINGLE) -> DataFrame:
+                leaders: int = LEADERS) -> DataFrame:
     """Links (id_a, id_b) between classes (rep, size, prefix, sketch); ``texts`` has their text by rep.
 
     Enough links to connect whatever is connected; with ``everything`` all links, without the skipping
     of answers, so that near copies cost a comparison per pair.
     """
     index = classes.select("rep", "size", F.posexplode("prefix").alias("at", "token"))
-    met = index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    active, links, seed = stored(index.join(met, "token").withColumn("comp", F.col("rep"))), None, 0
-    while True:
-        filed = stored(_lists(active))
-        if filed.isEmpty():
-            return links if links is not None else classes.sparkSession.createDataFrame([], "id_a long, id_b long")
-        if seed < single and not everything:
-            pairs, rest = _one_each(filed, seed, percent), filed.select(*active.columns)
+    # at first each set is a component of its own, so that the counts of a list are enough to file it
+    lists = index.groupBy("token").agg(F.count("*").alias("many"), F.max("rep").alias("major")).where("many > 1")
+    filed = stored(index.join(lists, "token").select(
+        "token", "rep", "size", "at", F.col("rep").alias("comp"), (F.col("many") - 1).alias("outside"), "major"))
+    links, seed, single = None, 0, not everything
+    while not filed.isEmpty():
+        if single:
+            pairs, rest = _one_each(filed, seed, percent), filed.select(*ENTRY)
+            seed += 1
         else:
             pairs, rest = _all_pairs_outside(filed, leaders, percent)
             leaders *= MORE
-        seed += 1
         pairs = stored(pairs)
         new = stored(verified(stored(sketch_passes(pairs, classes, percent)), texts, n, percent))
         links = new if links is None else links.unionByName(new)
-        if not everything and not new.isEmpty():
+        found = new.count()
+        # a round that links few of its sets has found what is easy; the others are then compared with all
+        single = single and found * PRODUCTIVE >= pairs.count()
+        if not everything and found:
             named = stored(connected_components(links).toDF("rep", "named"))
             rest = rest.join(named, "rep", "left").withColumn("comp", F.coalesce("named", "comp")).drop("named")
-        active = rest.select(*active.columns)
+        filed = stored(_lists(rest.select(*ENTRY)))
+    return links if links is not None else classes.sparkSession.createDataFrame([], "id_a long, id_b long")
 
 
 def link_documents(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:

@@ -52,7 +52,7 @@ def near_copies(seed, docs=70):
 
 
 @pytest.mark.parametrize("seed,n,percent,options", [
-    (1, 4, 85, {}), (2, 4, 60, {"leaders": 1}), (3, 3, 100, {}), (5, 2, 50, {"leaders": 2}), (6, 3, 70, {"single": 0, "leaders": 3})])
+    (1, 4, 85, {}), (2, 4, 60, {"leaders": 1}), (3, 3, 100, {}), (5, 2, 50, {"leaders": 2}), (6, 3, 70, {"leaders": 3})])
 def test_components(spark, seed, n, percent, options):
     rows = near_copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
