@@ -23,6 +23,7 @@ from crossquote.session import materialize
 SEED = 17
 BUCKETS = 4096
 MOST_EPOCHS = 3
+FEW_WEIGHTS = 2_000_000  # weights that are sent to all tasks, at most: 32 MB
 CYCLE = 3  # source weights 1, 2, 3, 1, 2, 3, ...
 #: Sampling weight of a document by its quality label.
 GOOD, PLAIN, POOR = 4.0, 2.0, 1.0
@@ -45,8 +46,9 @@ def _keyed(docs: DataFrame, weights: DataFrame, seed: int, buckets: int) -> Data
                       F.concat(F.when(F.col("source").isNull(), "~").otherwise("="),
                                F.coalesce(F.col("source"), F.lit(""))).alias("_source"),
                       word_count().alias("_size"))
-    weighted = own.join(weights.select(F.col("doc_id").alias("_wid"), F.col("weight").alias("_weight")),
-                        F.col("_id") == F.col("_wid"), "left")
+    narrow = stored(weights.select(F.col("doc_id").alias("_wid"), F.col("weight").alias("_weight")))
+    # with more weights than are sent to all tasks, the documents are shuffled with their texts
+    weighted = own.join(few(narrow, FEW_WEIGHTS), F.col("_id") == F.col("_wid"), "left")
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col("_id").cast("string"), F.lit("")),
                                         F.lit(f":{seed}")).cast("binary")), 1, 12)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
