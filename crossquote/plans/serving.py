@@ -38,13 +38,12 @@ def top_signals(signals: DataFrame, texts: DataFrame | None = None, *, min_ev: f
         rows = rows.where(F.col("confidence") >= min_confidence)
     if platform:
         rows = rows.where((F.col("platform_a") == platform) | (F.col("platform_b") == platform))
-    most = limit if diversity is None else pool
-    best = rows if most is None else rows.orderBy(F.desc("expected_profit"), "pair_id").limit(most)
+    if diversity is not None:
+        return diversify(rows, limit, pool=pool, weight=diversity, texts=texts)
+    best = rows.orderBy(F.desc("expected_profit"), "pair_id").limit(limit)
     if texts is not None:
         best = best.join(texts.select("pair_id", "text_a", "text_b"), "pair_id", "left").fillna(
             "", ["text_a", "text_b"])
-    if diversity is not None:
-        return diversify(best, limit, pool=None, weight=diversity)
     return best.orderBy(F.desc("expected_profit"), "pair_id")
 
 
@@ -53,64 +52,80 @@ def top_validated(validated: DataFrame, executable_only: bool = False, *, limit:
     return rows.orderBy(F.desc("expected_profit"), "pair_id").limit(limit)
 
 
-def _greedy(block: Sequence[Row], picked: list[Row], limit: int, weight: float, next_best: tuple | None) -> list[Row]:
-    """Picks from ``block``, rows with their scores against ``picked``, while no row outside can be better.
+def _greedy(block: Sequence[Row], wanted: int, weight: float, next_best: tuple | None, floor: float) -> tuple[list[Row], list[float]]:
+    """(picks, scores of the others) from ``block``, rows with their overlap with earlier picks, while no row outside can be better.
 
-    Scores only fall as more is picked, so ``next_best``, the key of the best row outside, bounds all of those.
+    Scores only fall as more is picked, so ``next_best``, the key of the best row that was scored but is not in the block, bounds all of
+    those, and ``floor`` those that were not scored.
     """
     words = [set(r["words"]) for r in block]
     overlap = [r["overlap"] for r in block]
     place = {pair: n for n, pair in enumerate(sorted(r["pair_id"] for r in block))}
     left, chosen = set(range(len(block))), []
-    while left and len(picked) + len(chosen) < limit:
-        best = max(left, key=lambda i: (block[i]["gain"] - (1.0 - weight) * overlap[i], block[i]["expected_profit"],
-                                        -place[block[i]["pair_id"]]))
+    score = lambda i: block[i]["gain"] - (1.0 - weight) * overlap[i]
+    while left and len(chosen) < wanted:
+        best = max(left, key=lambda i: (score(i), block[i]["expected_profit"], -place[block[i]["pair_id"]]))
         row = block[best]
-        score = row["gain"] - (1.0 - weight) * overlap[best]
+        if score(best) < floor:
+            break
         if next_best is not None:
-            other, profit, pair = next_best
-            if (score, row["expected_profit"]) < (other, profit) or (
-                    (score, row["expected_profit"]) == (other, profit) and row["pair_id"] > pair):
+            mine = (score(best), row["expected_profit"])
+            if mine < next_best[:2] or mine == next_best[:2] and row["pair_id"] > next_best[2]:
                 break
         chosen.append(row)
         left.discard(best)
         for i in left:
             overlap[i] = max(overlap[i], len(words[i] & words[best]) / len(words[i] | words[best]))
-    return chosen
+    return chosen, sorted(map(score, left), reverse=True)
 
 
-def diversify(signals: DataFrame, limit: int, *, pool: int | None, weight: float = DIVERSITY, block: int = 1000) -> DataFrame:
+def diversify(signals: DataFrame, limit: int, *, pool: int | None, weight: float = DIVERSITY, block: int = 1000,
+              texts: DataFrame | None = None) -> DataFrame:
     """Adds ``pick`` (1..limit) by maximal marginal relevance over topic words, among the ``pool`` best signals (None: all).
 
-    Lazy greedy: a score can only fall while more is picked, so scores of an earlier round are upper bounds. A round scores all signals against
-    the picks so far in Spark and takes the ``block`` best to the driver; picks go on there as long as they beat the best signal outside the block.
-    Each round picks at least one, usually many. Equal scores go by profit, then by pair_id.
+    Lazy greedy: without any overlap a signal scores its gain, a share of its profit, and while more is picked scores can only fall. A round
+    scores in Spark, against the picks so far, the signals whose gain reaches what the signals at hand still score, and takes the ``block`` best of
+    them to the driver; picks go on there as long as they beat the best signal outside. Each round picks at least one, usually many.
+    Texts (pair_id, text_a, text_b; else columns of ``signals``) are joined to those signals only. Equal scores go by profit, then by pair_id.
     """
-    have = set(signals.columns)
-    texts = [F.col(c) for c in ("text_a", "text_b") if c in have] or [F.lit("")]
+    have = [c for c in ("text_a", "text_b") if c in signals.columns]
     rows = signals if pool is None else signals.orderBy(F.desc("expected_profit"), "pair_id").limit(pool)
-    rows = materialize(rows.withColumn("_words", topic_words(*texts)))
+    rows = materialize(rows)
     top = rows.agg(F.max("expected_profit")).first()[0] or 0.0
-    words = F.when(F.size("_words") > 0, F.col("_words")).otherwise(F.array("pair_id"))
-    keyed = rows.select("pair_id", "expected_profit", words.alias("words"),
-                        (F.lit(weight) * F.col("expected_profit") / F.lit(float(top) if top > 0 else 1.0)).alias("gain"))
-    spark, picked = signals.sparkSession, []
+    gain = F.lit(weight) * F.col("expected_profit") / F.lit(float(top) if top > 0 else 1.0)
+    keyed = rows.select("pair_id", "expected_profit", *have, gain.alias("gain"))
+
+    def with_words(some: DataFrame) -> DataFrame:
+        if texts is not None:
+            some = some.drop(*have).join(texts.select("pair_id", "text_a", "text_b"), "pair_id", "left")
+        named = [F.col(c) for c in ("text_a", "text_b") if c in some.columns] or [F.lit("")]
+        words = topic_words(*named)
+        return some.withColumn("words", F.when(F.size(words) > 0, words).otherwise(F.array("pair_id")))
+
+    spark, picked, floor = signals.sparkSession, [], float("-inf")
     while len(picked) < limit:
-        sets = F.broadcast(spark.createDataFrame([([r["words"] for r in picked], [r["pair_id"] for r in picked])],
-                                                 "sets array<array<string>>, gone array<string>"))  # at most ``limit`` sets
-        shared = lambda w: F.size(F.array_intersect("words", w)) / F.size(F.array_union("words", w))
-        scored = keyed.crossJoin(sets).where(~F.array_contains("gone", F.col("pair_id"))).withColumn(
-            "overlap", F.coalesce(F.array_max(F.transform("sets", shared)), F.lit(0.0)))
-        scored = scored.select("pair_id", "expected_profit", "words", "gain", "overlap",
-                               (F.col("gain") - F.lit(1.0 - weight) * F.col("overlap")).alias("score"))
-        best = scored.orderBy(F.desc("score"), F.desc("expected_profit"), "pair_id").limit(block + 1).collect()
+        if not picked:
+            first = keyed.orderBy(F.desc("gain"), F.desc("expected_profit"), "pair_id").limit(block + 1)
+            scored = with_words(first).withColumns({"overlap": F.lit(0.0), "score": F.col("gain")})
+        else:
+            sets = F.broadcast(spark.createDataFrame([([r["words"] for r in picked], [r["pair_id"] for r in picked])],
+                                                     "sets array<array<string>>, gone array<string>"))  # at most ``limit`` sets
+            shared = lambda w: F.size(F.array_intersect("words", w)) / F.size(F.array_union("words", w))
+            near = keyed.where(F.col("gain") >= floor).crossJoin(sets).where(~F.array_contains("gone", F.col("pair_id")))
+            scored = with_words(near).withColumn("overlap", F.array_max(F.transform("sets", shared)))
+            scored = scored.withColumn("score", F.col("gain") - F.lit(1.0 - weight) * F.col("overlap"))
+        best = scored.select("pair_id", "expected_profit", "words", "gain", "overlap", "score").orderBy(
+            F.desc("score"), F.desc("expected_profit"), "pair_id").limit(block + 1).collect()
         rest = best[block] if len(best) > block else None
-        chosen = _greedy(best[:block], picked, limit, weight, rest and (rest["score"], rest["expected_profit"], rest["pair_id"]))
+        chosen, others = _greedy(best[:block], limit - len(picked), weight, rest and (rest["score"], rest["expected_profit"], rest["pair_id"]), floor)
         picked += chosen
-        if not chosen:  # none are left
-            break
+        if not chosen and (floor == float("-inf") or not best):
+            break  # none are left
+        # with as many signals at hand as are wanted, no signal below the last of them is needed yet
+        floor = others[min(limit - len(picked), len(others)) - 1] if chosen and others and len(picked) < limit else float("-inf")
     order = spark.createDataFrame([(r["pair_id"], n) for n, r in enumerate(picked, 1)], "pair_id string, pick int")
-    return rows.drop("_words").join(F.broadcast(order), "pair_id")
+    out = rows.join(F.broadcast(order), "pair_id")
+    return out if texts is None else out.drop(*have).join(texts.select("pair_id", "text_a", "text_b"), "pair_id", "left").fillna("", ["text_a", "text_b"])
 
 
 def signal_stats(signals: DataFrame) -> DataFrame:
