@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossquote.llm.scripts import NAMES, OTHER, script_codes
-from crossquote.llm.words import CACHE_WORDS, Rows, WordTable, chunks, documents, id_remainder, mixed, ragged
+from crossquote.llm.words import Rows, WordTable, chunks, documents, id_remainder, mixed, ragged
 
 GRAMS = (1, 2, 3, 4)
 BITS = 16  # hashed n-gram table of a language
 PIECE = 64  # letters that are scored at a time; longer runs are cut into consecutive pieces
+KNOWN = 80_000  # words, and pieces of words, whose scores a task remembers; more would crowd other stages' workers
 SAMPLE = 3_000  # documents per language that the model is fitted on, about
 SWITCH = 8.0
 UNKNOWN = "und"
@@ -153,7 +154,7 @@ class PieceTable:
         self._clear()
 
     def _clear(self) -> None:
-        self._words = WordTable(self._new, [(np.int64, None), (np.int32, None)])
+        self._words = WordTable(self._new, [(np.int64, None), (np.int32, None)], KNOWN)
         self._scores, self._letters = Rows(np.float32, len(self._model.langs)), Rows(np.int32)
 
     def _new(self, words: list[bytes]):
@@ -168,7 +169,7 @@ class PieceTable:
 
     def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Piece numbers of all texts in a row and the offsets of the texts; pieces of each word and the offsets in words."""
-        if len(self._letters.values) > CACHE_WORDS:
+        if len(self._letters.values) > KNOWN:
             self._clear()
         numbers, offsets = self._words.number(texts)
         counts = self._words[1][numbers]
