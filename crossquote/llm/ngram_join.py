@@ -45,6 +45,7 @@ MORE = 64  # how many times more in each of the next ones
 STEPS = 8
 ENTRY = ("token", "rep", "size", "at", "comp")
 SLICE = 512 << 10  # bytes of text worked on at a time
+KNOWN = 50_000  # words whose hashes a task remembers; hashing again is cheap
 SKETCH = 1024  # bits of a parity sketch, at least; doubled until there is one for every two shingles
 FEW_IDS = 2_000_000  # up to so many wanted texts (16 MB of ids), the others are dropped before the shuffle
 MEMBERS = 500  # sets compared with a leading set in one group
@@ -55,7 +56,7 @@ class Shingles:
 
     def __init__(self, n: int):
         self._n = n
-        self._table = WordTable(lambda words: [word_hashes(words)], [(np.uint64, None)])
+        self._table = WordTable(lambda words: [word_hashes(words)], [(np.uint64, None)], KNOWN)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         numbers, offsets = self._table.number([t.lower() for t in texts])  # of bytes, this lowers A-Z only
