@@ -80,6 +80,17 @@ THRESHOLD_PATTERN = (
     r"\$?\s*([\d,]+(?:\.\d+)?)\s*(?:(?:billion|million|thousand|percent)\b|[%]|(?:k|m|b)(?![a-zA-Z]))?|"
     r"\$\s*([\d,]+(?:\.\d+)?)\s*(?:(?:billion|million|thousand|percent)\b|[%]|(?:k|m|b)(?![a-zA-Z]))?")
 
+CHECKED_DATES = [  # pattern and Spark format
+    (r"\b(\d{4})-(\d{2})-(\d{2})\b", "yyyy-MM-dd"),
+    (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", "M/d/yyyy"),
+    (r"\b(\d{1,2})-(\d{1,2})-(\d{4})\b", "M-d-yyyy"),
+]
+MONTH_DATE = r"\b({names}){dot}\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
+QUARTER_DATE = r"\bQ([1-4])\s+(\d{4})\b"
+YEAR_END = r"\bend of\s+(20\d{2})\b|\bby\s+end\s+of\s+(20\d{2})\b"
+BEFORE_YEAR = r"\bbefore\s+(20\d{2})\b|\bprior to\s+(20\d{2})\b"
+BARE_YEAR = r"\b(20\d{2})\b"
+
 COMPARATOR_PATTERNS = [
     (">=", r"\bmore than\b|\bexceed[s]?\b|\babove\b|\bover\b|\bat least\b"),
     ("<=", r"\bless than\b|\bbelow\b|\bunder\b|\bat most\b"),
@@ -267,7 +278,7 @@ def _checked_dates(text, pattern: str, fmt: str) -> Column:
 
 
 def _month_dates(text, names: list[str], dot: str) -> Column:
-    pattern = rf"\b({'|'.join(names)}){dot}\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
+    pattern = MONTH_DATE.format(names="|".join(names), dot=dot)
     number = F.create_map(*[F.lit(x) for i, n in enumerate(names, 1) for x in (n.lower(), i)])
     part = lambda m, g: F.regexp_extract(m, "(?iU)" + pattern, g)
     return F.transform(matches(text, pattern), lambda m: _iso(
@@ -275,7 +286,7 @@ def _month_dates(text, names: list[str], dot: str) -> Column:
 
 
 def _quarter_dates(text) -> Column:
-    return F.transform(matches(text, r"\bQ([1-4])\s+(\d{4})\b"), lambda m: _iso(
+    return F.transform(matches(text, QUARTER_DATE), lambda m: _iso(
         F.right(m, F.lit(4)), (F.substring(m, 2, 1).cast("int") - 1) * 3 + 1, F.lit(1)))
 
 
@@ -285,14 +296,10 @@ def date_mentions(text) -> Column:
     Order: ISO, m/d/y, m-d-y, written months, quarters, end of a year, before a year (the
     previous 31 December), then bare years that no earlier kind already covers.
     """
-    year_end = F.transform(matches(text, r"\bend of\s+(20\d{2})\b|\bby\s+end\s+of\s+(20\d{2})\b"),
-                           lambda m: F.right(m, F.lit(4)))
-    before = F.transform(matches(text, r"\bbefore\s+(20\d{2})\b|\bprior to\s+(20\d{2})\b"),
-                         lambda m: F.right(m, F.lit(4)))
+    year_end = F.transform(matches(text, YEAR_END), lambda m: F.right(m, F.lit(4)))
+    before = F.transform(matches(text, BEFORE_YEAR), lambda m: F.right(m, F.lit(4)))
     specific = F.concat(
-        _checked_dates(text, r"\b(\d{4})-(\d{2})-(\d{2})\b", "yyyy-MM-dd"),
-        _checked_dates(text, r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", "M/d/yyyy"),
-        _checked_dates(text, r"\b(\d{1,2})-(\d{1,2})-(\d{4})\b", "M-d-yyyy"),
+        *[_checked_dates(text, pattern, fmt) for pattern, fmt in CHECKED_DATES],
         _month_dates(text, MONTHS, ""),
         _month_dates(text, MONTHS_SHORT, r"\.?"),
         _quarter_dates(text),
@@ -309,7 +316,7 @@ def date_mentions(text) -> Column:
     # Without any digit there is no date, and most texts stop here.
     return F.when(_c(text).rlike(r"(?U)\d"), bind(F.struct(
         specific.alias("specific"), before.alias("before"),
-        matches(text, r"\b(20\d{2})\b", 1, flags="U").alias("years")), with_bare_years)).when(
+        matches(text, BARE_YEAR, 1, flags="U").alias("years")), with_bare_years)).when(
         _c(text).isNotNull(), F.array().cast("array<string>"))
 
 
